@@ -87,11 +87,17 @@ _PPF_D = (
 _PPF_TAIL = 0.02425
 
 
+def _literal(c: float) -> str:
+    """A double literal in both SQL dialects."""
+    text = repr(float(c))
+    return text if "e" in text else text + "e0"
+
+
 def horner(coefficients, x: str) -> str:
     """A polynomial as SQL text, highest power first."""
-    text = repr(coefficients[0])
+    text = _literal(coefficients[0])
     for c in coefficients[1:]:
-        text = f"({text} * {x} + {c!r})"
+        text = f"({text} * {x} + {_literal(c)})"
     return text
 
 
@@ -119,8 +125,8 @@ def ppf_sql(p: str) -> str:
     r = f"(({p} - 5.0e-1) * ({p} - 5.0e-1))"
     middle = f"({horner(_PPF_A, r)} * ({p} - 5.0e-1) / {horner(_PPF_B, r)})"
     return (
-        f"(case when {p} < {_PPF_TAIL!r} then {tail(p)} "
-        f"when {p} > {1 - _PPF_TAIL!r} then -{tail(f'(1.0e0 - {p})')} else {middle} end)"
+        f"(case when {p} < {_literal(_PPF_TAIL)} then {tail(p)} "
+        f"when {p} > {_literal(1 - _PPF_TAIL)} then -{tail(f'(1.0e0 - {p})')} else {middle} end)"
     )
 
 

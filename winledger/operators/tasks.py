@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winledger.plans.ordered import scan
+from winledger.plans.ordered import Ordered, scan
 from winledger.schema import STATUS, TEMPLATE, grade_rank
 
 GAP_SECONDS = 120
@@ -43,10 +43,8 @@ def chain_attempts(
         F.col(TEMPLATE).alias("template"),
         F.col("input_shingles").alias("shingles"),
     )
-    linked = scan(
-        attempts.filter(F.col("session_id").isNotNull()),
-        SESSION, IN_TIME, lag={"_prev": previous}, keep_slices=True,
-    )
+    rows = Ordered(attempts.filter(F.col("session_id").isNotNull()), SESSION, IN_TIME)
+    rows.add(lag={"_prev": previous})
     gap = F.unix_micros("ts_start") - F.unix_micros(F.col("_prev.ts_end"))
     joins = (
         F.col("_prev").isNotNull()
@@ -54,9 +52,8 @@ def chain_attempts(
         & (gap < F.lit(int(gap_s * 1_000_000)))
         & (jaccard(F.col("_prev.shingles"), F.col("input_shingles")) > min_overlap)
     )
-    chained = scan(
-        linked, SESSION, IN_TIME, carry={"task_key": F.when(~joins, F.col("trace_id"))}
-    ).drop("_prev")
+    rows.add(carry={"task_key": F.when(~joins, F.col("trace_id"))})
+    chained = rows.result().drop("_prev")
     return chained.unionByName(alone)
 
 

@@ -1,12 +1,13 @@
 """Ordered per-key computations that stay parallel when one key is very large.
 
-A plain ``Window.partitionBy(key).orderBy(...)`` puts a whole key in one task. Here a key with
-more than ``max_rows`` rows is cut into order-preserving slices, each slice is scanned on its own,
-and what the earlier slices contribute (a last row, a sum, a running minimum) is carried in from a
-small per-slice summary. Results equal those of the plain window.
-
-Cut points come from a hash-chosen sample of the rows, so they are a pure function of the data: a
-recomputed task sees the same slices. Only the cut points are sampled, never the result.
+A plain ``Window.partitionBy(key).orderBy(...)`` puts a whole key in one task. That is what runs
+when the input is small, or when a count shows no key above the limit. Otherwise each hot key is
+cut into order-preserving slices, every slice is scanned on its own, and what earlier or later
+slices contribute (a neighbouring row, a sum, a running minimum) comes from a small per-slice
+summary. Results equal those of the plain window.
+
+Cut points come from a hash-chosen sample of the hot rows, so they are a pure function of the data.
+Only the cut points are sampled, never the result.
 """
 
 from __future__ import annotations
@@ -16,41 +17,58 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_HOT_ROWS = 2_000_000
+HOT_ROWS = 2_000_000
+"""A key with more rows is sliced (``spark.winledger.hotKeyRows``)."""
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
+"""Inputs known to be smaller skip the count (``spark.winledger.smallInputBytes``)."""
 MAX_SLICES = 256
 _SAMPLES_PER_SLICE = 32
 _HASH_SPACE = 1_000_000_000
 
 SLICE = "_slice"
 
+Exprs = Mapping[str, Column] | None
+
 
-def hot_rows(df: DataFrame) -> int:
-    """Rows per key above which a key is sliced (``spark.winledger.hotKeyRows``)."""
-    return int(df.sparkSession.conf.get("spark.winledger.hotKeyRows", str(DEFAULT_HOT_ROWS)))
+def _setting(df: DataFrame, name: str, default: int) -> int:
+    return int(df.sparkSession.conf.get(f"spark.winledger.{name}", str(default)))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:
-    """Keys with more than ``max_rows`` rows: at most rows / max_rows of them, so safe to
-    broadcast."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
+def known_bytes(df: DataFrame) -> float:
+    """Size of everything the plan reads, from table statistics; infinite when unknown."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(leaves.apply(i).stats().sizeInBytes().toString())
+                 for i in range(leaves.size())]
+        return float(sum(sizes))
+    except Exception:  # a remote session has no local plan
+        return float("inf")
 
 
-def with_slices(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int | None = None
-) -> DataFrame:
-    """Add ``_slice``: NULL for ordinary keys, an order-preserving slice number for hot keys.
+def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """Keys with more than ``limit`` rows: at most rows / limit of them."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
 
-    ``order`` must be a total order of the rows of a key, ascending and without NULLs.
-    """
-    limit = max_rows or hot_rows(df)
+
+def _cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame | None:
+    """A small table (keys, _cuts) of slice boundaries for hot keys, or None without any."""
+    if known_bytes(df) <= _setting(df, "smallInputBytes", SMALL_INPUT_BYTES):
+        return None
+    limit = _setting(df, "hotKeyRows", HOT_ROWS)
     slim = df.select(*keys, *[c for c in order if c not in keys])
+    found = hot_keys(slim, keys, limit).collect()
+    if not found:
+        return None
+    spark = df.sparkSession
+    hot = spark.createDataFrame(found, hot_keys(slim, keys, limit).schema).withColumn(
+        "_k", F.least(F.lit(MAX_SLICES), F.ceil(F.col("_n") * 2 / F.lit(limit))).cast("int")
+    )
     point = F.struct(*[F.col(c) for c in order])
-    wanted = F.least(F.lit(MAX_SLICES), F.ceil(F.col("_n") * 2 / F.lit(limit))).cast("int")
-    hot = hot_keys(slim, keys, limit).withColumn("_k", wanted)
     chosen = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(_HASH_SPACE)) < (
         F.lit(float(_HASH_SPACE)) * _SAMPLES_PER_SLICE * F.col("_k") / F.col("_n")
     )
-    cuts = (
+    # Per hot key about MAX_SLICES * _SAMPLES_PER_SLICE points are gathered, whatever its size.
+    table = (
         slim.join(F.broadcast(hot), list(keys))
         .filter(chosen)
         .groupBy(*keys)
@@ -58,115 +76,139 @@ def with_slices(
         .select(
             *keys,
             F.expr(
-                "transform(sequence(1, greatest(_k - 1, 1)), "
-                "i -> _pts[cast(floor(i * size(_pts) / greatest(_k, 2)) as int)])"
+                "array_distinct(transform(sequence(1, greatest(_k - 1, 1)), "
+                "i -> _pts[cast(floor(i * size(_pts) / greatest(_k, 2)) as int)]))"
             ).alias("_cuts"),
         )
     )
-    found = F.size(F.filter(F.col("_cuts"), lambda c: c <= point))
-    return (
-        df.join(F.broadcast(cuts), list(keys), "left")
-        .withColumn(SLICE, F.when(F.col("_cuts").isNotNull(), found))
-        .drop("_cuts")
-    )
+    return spark.createDataFrame(table.collect(), table.schema)
+
+
+class Ordered:
+    """Rows of each key in a total order (ascending, without NULLs), with columns added in order.
+
+    ``add`` computes, per key: the previous or next row's value (``lag``, ``lead``), inclusive
+    running sums, minima and maxima, and the last non-NULL value so far (``carry``). Later ``add``
+    calls may use earlier results and share their partitioning."""
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]):
+        self.keys, self.order = list(keys), list(order)
+        cuts = _cuts(df, keys, order)
+        self.sliced = cuts is not None
+        if self.sliced:
+            point = F.struct(*[F.col(c) for c in order])
+            place = F.size(F.filter(F.col("_cuts"), lambda c: c <= point))
+            df = (
+                df.join(F.broadcast(cuts), self.keys, "left")
+                .withColumn(SLICE, F.when(F.col("_cuts").isNotNull(), place))
+                .drop("_cuts")
+            )
+        self.df = df
+
+    def map(self, change) -> Ordered:
+        """Apply a row-wise change that keeps keys and order columns."""
+        self.df = change(self.df)
+        return self
+
+    def result(self) -> DataFrame:
+        return self.df.drop(SLICE) if self.sliced else self.df
+
+    def _window(self):
+        return Window.partitionBy(*self.keys, *([SLICE] if self.sliced else [])).orderBy(
+            *self.order
+        )
 
+    @staticmethod
+    def _local(kind: str, value: Column, window) -> Column:
+        upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return {
+            "lag": lambda: F.lag(value).over(window),
+            "lead": lambda: F.lead(value).over(window),
+            "sum": lambda: F.sum(value).over(upto),
+            "min": lambda: F.min(value).over(upto),
+            "max": lambda: F.max(value).over(upto),
+            "carry": lambda: F.last(value, ignorenulls=True).over(upto),
+        }[kind]()
+
+    def add(
+        self, *, lag: Exprs = None, lead: Exprs = None, running_sum: Exprs = None,
+        carry: Exprs = None, running_min: Exprs = None, running_max: Exprs = None,
+    ) -> Ordered:
+        wanted = [
+            (kind, name, value)
+            for kind, group in (
+                ("lag", lag), ("lead", lead), ("sum", running_sum), ("carry", carry),
+                ("min", running_min), ("max", running_max),
+            )
+            for name, value in (group or {}).items()
+        ]
+        window = self._window()
+        if not self.sliced:
+            self.df = self.df.select(
+                "*", *[self._local(kind, value, window).alias(n) for kind, n, value in wanted]
+            )
+            return self
+
+        columns = self.df.columns
+        base = self.df.select("*", *[v.alias(f"_in_{n}") for _, n, v in wanted])
+        local = base.select(
+            "*",
+            *[self._local(k, F.col(f"_in_{n}"), window).alias(f"_at_{n}") for k, n, _ in wanted],
+            F.lag(F.lit(1)).over(window).isNull().alias("_opens"),
+            F.lead(F.lit(1)).over(window).isNull().alias("_closes"),
+        )
+        point = F.struct(*[F.col(c) for c in self.order])
+
+        def whole(kind: str, v: Column) -> Column:
+            return {
+                "lag": F.max_by(F.struct(v.alias("v")), point),
+                "lead": F.min_by(F.struct(v.alias("v")), point),
+                "sum": F.sum(v) if kind == "sum" else None,
+                "carry": F.max_by(v, F.when(v.isNotNull(), point)),
+                "min": F.min(v),
+                "max": F.max(v),
+            }[kind]
+
+        summary = (
+            base.filter(F.col(SLICE).isNotNull()).groupBy(*self.keys, SLICE)
+            .agg(*[whole(k, F.col(f"_in_{n}")).alias(f"_all_{n}") for k, n, _ in wanted])
+        )
+        slices = Window.partitionBy(*self.keys).orderBy(SLICE)
+        earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
+
+        def outside(kind: str, v: Column) -> Column:
+            return {
+                "lag": lambda: F.lag(v).over(slices),
+                "lead": lambda: F.lead(v).over(slices),
+                "sum": lambda: F.sum(v).over(earlier),
+                "carry": lambda: F.last(v, ignorenulls=True).over(earlier),
+                "min": lambda: F.min(v).over(earlier),
+                "max": lambda: F.max(v).over(earlier),
+            }[kind]()
+
+        offsets = summary.select(
+            *self.keys, SLICE,
+            *[outside(k, F.col(f"_all_{n}")).alias(f"_pre_{n}") for k, n, _ in wanted],
+        )
 
-def scan(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    *,
-    lag: Mapping[str, Column] | None = None,
-    lead: Mapping[str, Column] | None = None,
-    running_sum: Mapping[str, Column] | None = None,
-    carry: Mapping[str, Column] | None = None,
-    running_min: Mapping[str, Column] | None = None,
-    running_max: Mapping[str, Column] | None = None,
-    max_rows: int | None = None,
-    keep_slices: bool = False,
-) -> DataFrame:
-    """Per key and in order, add: the previous or next row's value (``lag``, ``lead``), inclusive running
-    sums, minima and maxima, and the last non-NULL value so far (``carry``).
-
-    With ``keep_slices`` the slice column stays, and a following scan over the same keys and order
-    reuses it and its partitioning."""
-    lag, lead = dict(lag or {}), dict(lead or {})
-    running_sum, carry = dict(running_sum or {}), dict(carry or {})
-    running_min, running_max = dict(running_min or {}), dict(running_max or {})
-    every = {**lag, **lead, **running_sum, **carry, **running_min, **running_max}
-
-    base = df if SLICE in df.columns else with_slices(df, keys, order, max_rows)
-    base = base.select("*", *[e.alias(f"_in_{n}") for n, e in every.items()])
-    part = Window.partitionBy(*keys, SLICE).orderBy(*order)
-    upto = part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def inside(n: str) -> Column:
-        v = F.col(f"_in_{n}")
-        if n in lag:
-            return F.lag(v).over(part)
-        if n in lead:
-            return F.lead(v).over(part)
-        if n in running_sum:
-            return F.sum(v).over(upto)
-        if n in carry:
-            return F.last(v, ignorenulls=True).over(upto)
-        return (F.min(v) if n in running_min else F.max(v)).over(upto)
-
-    local = base.select(
-        "*",
-        *[inside(n).alias(f"_at_{n}") for n in every],
-        *([F.lag(F.lit(1)).over(part).isNull().alias("_opens")] if lag else []),
-        *([F.lead(F.lit(1)).over(part).isNull().alias("_closes")] if lead else []),
-    )
+        def combined(kind: str, n: str) -> Column:
+            here, pre = F.col(f"_at_{n}"), F.col(f"_pre_{n}")
+            if kind in ("lag", "lead"):
+                edge = F.col("_opens" if kind == "lag" else "_closes")
+                return F.when(edge & pre.isNotNull(), pre["v"]).otherwise(here)
+            if kind == "sum":
+                return F.when(pre.isNull(), here).when(here.isNull(), pre).otherwise(here + pre)
+            if kind == "carry":
+                return F.coalesce(here, pre)
+            return F.least(here, pre) if kind == "min" else F.greatest(here, pre)
+
+        joined = local.join(offsets, [*self.keys, SLICE], "left")
+        self.df = joined.select(
+            *columns, *[combined(kind, n).alias(n) for kind, n, _ in wanted]
+        )
+        return self
 
-    point = F.struct(*[F.col(c) for c in order])
 
-    def whole(n: str) -> Column:
-        v = F.col(f"_in_{n}")
-        if n in lag:
-            return F.max_by(F.struct(v.alias("v")), point)
-        if n in lead:
-            return F.min_by(F.struct(v.alias("v")), point)
-        if n in running_sum:
-            return F.sum(v)
-        if n in carry:
-            return F.max_by(v, F.when(v.isNotNull(), point))
-        return F.min(v) if n in running_min else F.max(v)
-
-    per_slice = (
-        base.filter(F.col(SLICE).isNotNull())
-        .groupBy(*keys, SLICE)
-        .agg(*[whole(n).alias(f"_all_{n}") for n in every])
-    )
-    by_slice = Window.partitionBy(*keys).orderBy(SLICE)
-    earlier = by_slice.rowsBetween(Window.unboundedPreceding, -1)
-
-    def before(n: str) -> Column:
-        v = F.col(f"_all_{n}")
-        if n in lag:
-            return F.lag(v).over(by_slice)
-        if n in lead:
-            return F.lead(v).over(by_slice)
-        if n in running_sum:
-            return F.sum(v).over(earlier)
-        if n in carry:
-            return F.last(v, ignorenulls=True).over(earlier)
-        return (F.min(v) if n in running_min else F.max(v)).over(earlier)
-
-    offsets = per_slice.select(*keys, SLICE, *[before(n).alias(f"_pre_{n}") for n in every])
-
-    def combined(n: str) -> Column:
-        here, pre = F.col(f"_at_{n}"), F.col(f"_pre_{n}")
-        if n in lag:
-            return F.when(F.col("_opens") & pre.isNotNull(), pre["v"]).otherwise(here)
-        if n in lead:
-            return F.when(F.col("_closes") & pre.isNotNull(), pre["v"]).otherwise(here)
-        if n in running_sum:
-            return F.when(pre.isNull(), here).when(here.isNull(), pre).otherwise(here + pre)
-        if n in carry:
-            return F.coalesce(here, pre)
-        return F.least(here, pre) if n in running_min else F.greatest(here, pre)
-
-    joined = local.join(offsets, [*keys, SLICE], "left")
-    kept = [c for c in df.columns if c != SLICE] + ([SLICE] if keep_slices else [])
-    return joined.select(*[F.col(c) for c in kept], *[combined(n).alias(n) for n in every])
+def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], **added) -> DataFrame:
+    """One ``Ordered.add`` step."""
+    return Ordered(df, keys, order).add(**added).result()

@@ -20,7 +20,7 @@ class Query:
 CATALOGUE: dict[str, Query] = {}
 
 _AREAS = (
-    "tasks", "money",
+    "tasks", "money", "statistics", "packs",
 
 )
 
