@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from winledger.functions.text import squeeze
+
 TEMPLATE_WEIGHT = 9.0
 TOOLS_WEIGHT = 4.0
 TYPE_WEIGHT = 1.0
@@ -305,7 +307,7 @@ def representatives(features: DataFrame, *, k: int = 5) -> DataFrame:
 
 def sanitize_label(text: Column) -> Column:
     """A short human tag: lower case, at most six words and sixty characters, empty is NULL."""
-    words = F.filter(F.split(F.lower(F.trim(text)), r"(?U)\s+"), lambda w: w != "")
+    words = F.split(squeeze(F.lower(text)), " ")
     label = F.substring(F.array_join(F.slice(words, 1, 6), " "), 1, 60)
     return F.nullif(label, F.lit(""))
 
