@@ -66,7 +66,7 @@ def main() -> int:
     prefixes = tuple(sys.argv[2:])
     spark = build_session(master="local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g",
-        "spark.ui.enabled": "false",
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
     })
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)

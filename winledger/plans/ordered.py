@@ -88,7 +88,8 @@ class Ordered:
     """Rows of each key in a total order (ascending, without NULLs), with columns added in order.
 
     ``add`` computes, per key: the previous or next row's value (``lag``, ``lead``), inclusive
-    running sums, minima and maxima, and the last non-NULL value so far (``carry``). Later ``add``
+    running sums, minima and maxima, the last non-NULL value so far (``carry``), and the list of the
+    last k values including the row's own (``recent``, name -> (value, k), k small). Later ``add``
     calls may use earlier results and share their partitioning."""
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]):
@@ -133,7 +134,10 @@ class Ordered:
     def add(
         self, *, lag: Exprs = None, lead: Exprs = None, running_sum: Exprs = None,
         carry: Exprs = None, running_min: Exprs = None, running_max: Exprs = None,
+        recent: Mapping[str, tuple[Column, int]] | None = None,
     ) -> Ordered:
+        for name, (value, k) in (recent or {}).items():
+            self._add_recent(name, value, k)
         wanted = [
             (kind, name, value)
             for kind, group in (
@@ -142,6 +146,8 @@ class Ordered:
             )
             for name, value in (group or {}).items()
         ]
+        if not wanted:
+            return self
         window = self._window()
         if not self.sliced:
             self.df = self.df.select(
@@ -208,6 +214,43 @@ class Ordered:
         )
         return self
 
+    def _add_recent(self, name: str, value: Column, k: int) -> None:
+        # Wrapped, so that NULL values keep their place.
+        boxed = F.struct(value.alias("v"))
+        frame = self._window().rowsBetween(-(k - 1), 0)
+        unbox = lambda c: F.transform(c, lambda b: b["v"])
+        columns = self.df.columns
+        local = self.df.withColumn(name, F.collect_list(boxed).over(frame))
+        if not self.sliced:
+            self.df = local.withColumn(name, unbox(F.col(name)))
+            return
+        point = F.struct(*[F.col(c) for c in self.order])
+        backwards = Window.partitionBy(*self.keys, SLICE).orderBy(
+            *[F.col(c).desc() for c in self.order]
+        )
+        tails = (
+            self.df.filter(F.col(SLICE).isNotNull())
+            .select(*self.keys, SLICE, point.alias("_p"), boxed.alias("_b"), *[
+                F.col(c) for c in self.order if c not in self.keys])
+            .withColumn("_r", F.row_number().over(backwards)).filter(F.col("_r") < k)
+            .groupBy(*self.keys, SLICE)
+            .agg(F.array_sort(F.collect_list(F.struct("_p", "_b"))).alias("_t"))
+        )
+        earlier = Window.partitionBy(*self.keys).orderBy(SLICE).rowsBetween(
+            Window.unboundedPreceding, -1
+        )
+        # At most MAX_SLICES lists of k entries per key.
+        before = tails.select(
+            *self.keys, SLICE,
+            F.transform(F.flatten(F.collect_list("_t").over(earlier)), lambda e: e["_b"])
+            .alias("_pre"),
+        )
+        every = F.concat(F.coalesce(F.col("_pre"), F.slice(F.col(name), 1, 0)), F.col(name))
+        last = F.slice(every, F.greatest(F.size(every) - k + 1, F.lit(1)), F.lit(k))
+        self.df = local.join(before, [*self.keys, SLICE], "left").select(
+            *columns, unbox(last).alias(name)
+        )
+
 
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], **added) -> DataFrame:
     """One ``Ordered.add`` step."""

@@ -20,7 +20,7 @@ class Query:
 CATALOGUE: dict[str, Query] = {}
 
 _AREAS = (
-    "tasks", "money", "statistics", "packs", "migration", "checks",
+    "tasks", "money", "statistics", "packs", "migration", "checks", "guarding", "market", "jury",
 
 )
 
