@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from winledger.functions.text import let
+
 Z95 = 1.96
 
 
@@ -130,11 +132,6 @@ def ppf_sql(p: str) -> str:
     )
 
 
-def _let(value: Column, build) -> Column:
-    """Evaluate ``build`` on a named value once, through a one-element array."""
-    return F.transform(F.array(value.cast("double")), build)[0]
-
-
 def _poly(coefficients, x: Column) -> Column:
     acc = F.lit(float(coefficients[0]))
     for c in coefficients[1:]:
@@ -154,7 +151,7 @@ def upper_tail(x) -> Column:
         return F.when(a > 37.0, 0.0).when(a < 7.07106781186547, near).otherwise(far)
 
     value = _col(x).cast("double")
-    tail = _let(F.abs(value), positive)
+    tail = let(F.abs(value), positive)
     return F.when(value >= 0, tail).when(value < 0, 1.0 - tail)
 
 
@@ -169,14 +166,14 @@ def normal_ppf(p) -> Column:
         return _poly(_PPF_C, q) / _poly(_PPF_D, q)
 
     def solve(v: Column) -> Column:
-        low = _let(F.sqrt(-2.0 * F.log(v)), tail)
-        high = -_let(F.sqrt(-2.0 * F.log(1.0 - v)), tail)
+        low = let(F.sqrt(-2.0 * F.log(v)), tail)
+        high = -let(F.sqrt(-2.0 * F.log(1.0 - v)), tail)
         c = v - 0.5
-        middle = _let(c * c, lambda r: _poly(_PPF_A, r) / _poly(_PPF_B, r)) * c
+        middle = let(c * c, lambda r: _poly(_PPF_A, r) / _poly(_PPF_B, r)) * c
         return F.when(v < _PPF_TAIL, low).when(v > 1 - _PPF_TAIL, high).otherwise(middle)
 
     value = _col(p).cast("double")
-    return F.when((value > 0) & (value < 1), _let(value, solve))
+    return F.when((value > 0) & (value < 1), let(value, solve))
 
 
 def two_proportion_p(sa, na, sb, nb, *, two_sided: bool = True) -> Column:

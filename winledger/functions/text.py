@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLANK = r"\s\x1c-\x1f\x85"
 """White space inside a character class, with the separators Java leaves out."""
@@ -33,7 +37,7 @@ def slugify(c: Column, max_len: int = 128) -> Column:
     """A safe identifier: unexpected characters become '-', none at the ends, capped, never empty."""
     dashed = F.regexp_replace(strip_blank(c), r"[^A-Za-z0-9.:/+_-]+", "-")
     cut = F.substring(F.regexp_replace(dashed, r"^-+|-+$", ""), 1, max_len)
-    return F.when((cut == "") | cut.isNull(), F.lit("unknown")).otherwise(cut)
+    return F.coalesce(F.regexp_replace(cut, r"^\z", "unknown"), F.lit("unknown"))
 
 
 def strip_variables(c: Column) -> Column:
@@ -74,18 +78,33 @@ def norm_cell(c: Column) -> Column:
     return F.lower(F.when(number, F.replace(bare, F.lit(","))).otherwise(bare))
 
 
-def word_trigrams(c: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+)"), 1)
-    return F.when(
-        F.size(words) >= 3,
-        F.transform(
-            F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, 3), " ")
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+def let(value: Column, build) -> Column:
+    """``build`` on a value that is evaluated once: inside a lambda a plain column expression would
+    be evaluated again for every element."""
+    return F.transform(F.array(value), build)[0]
+
+
+def trigram_share(before: str | None, now: str | None) -> float:
+    """Share of the word trigrams of ``now`` that occur in ``before``; 0 when either has none."""
+    def grams(text):
+        words = re.findall(r"\w+", (text or "").lower())
+        return list(zip(words, words[1:], words[2:], strict=False))
+
+    known, fresh = set(grams(before)), grams(now)
+    if not known or not fresh:
+        return 0.0
+    return sum(g in known for g in fresh) / len(fresh)
+
+
+@F.pandas_udf(T.DoubleType())
+def trigram_overlap(before: pd.Series, now: pd.Series) -> pd.Series:
+    """``trigram_share`` of two columns. Set lookups keep it linear in the text, which array
+    functions would not be."""
+    return pd.Series([trigram_share(a, b) for a, b in zip(before, now, strict=True)], dtype="float64")
 
 
-def trigram_overlap(a: Column, b: Column) -> Column:
-    """Share of the word trigrams of ``b`` that occur in ``a``; 0 when either has none."""
-    ta, tb = word_trigrams(a), word_trigrams(b)
-    hits = F.size(F.filter(tb, lambda t: F.array_contains(ta, t)))
-    return F.when((F.size(ta) > 0) & (F.size(tb) > 0), hits / F.size(tb)).otherwise(0.0)
+def word_shingles(text: Column, size: int) -> Column:
+    """The distinct word n-grams of a text; NULL for shorter texts."""
+    words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
+    return let(words, lambda ws: F.when(F.size(ws) >= size, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.size(ws) - size + 1), lambda i: F.array_join(F.slice(ws, i, size), " ")))))

@@ -67,36 +67,31 @@ def normalise_turns(
         .result()
     )
     lengths = runs.groupBy(*key, "_run").agg(
-        F.first("role").alias("role"),
+        F.first("role").alias("_who"),
         (F.sum(F.length("content")) + 2 * (F.count(F.lit(1)) - 1)).alias("_len"),
     )
-    # Runs alternate, so at most one is cut at each end.
-    ends = lengths.groupBy(*key).agg(
-        F.min_by("role", "_run").alias("_head"), F.max_by("role", "_run").alias("_tail"),
-        F.max("_run").alias("_runs"),
+    # Counted from the newest run: a final user run is left out, then runs pair up as
+    # (assistant, user before it), and a leading assistant run has no partner.
+    back = Ordered(lengths.withColumn("_back", -F.col("_run")), key, ["_back"])
+    back.add(lag={"_later": F.col("_run")}, lead={"_partner": F.col("_len")})
+    ends_open = F.col("_later").isNull() & (F.col("_who") == "user")
+    back.map(lambda d: d.withColumn("_in", (~ends_open).cast("int")))
+    back.add(running_sum={"_seat": F.col("_in"), "_sum": F.col("_in") * F.col("_len")})
+    asks = F.col("_who") == "user"
+    ranked = (
+        back.result().filter("_in = 1").filter(asks | F.col("_partner").isNotNull())
+        .withColumn("_pair", F.expr("(_seat - 1) div 2"))
+        .withColumn("_suffix", F.col("_sum") + F.when(asks, 0).otherwise(F.col("_partner")))
+        .withColumn("_kept", (F.col("_suffix") <= max_chars) | (F.col("_pair") == 0))
     )
-    lead = (F.col("_head") == "assistant").cast("long")
-    trail = (F.col("_tail") == "user").cast("long")
-    inside = (
-        lengths.join(ends, key)
-        .withColumn("_pos", F.col("_run") - 1 - lead)
-        .withColumn("_size", F.col("_runs") - lead - trail)
-        .filter((F.col("_pos") >= 0) & (F.col("_pos") < F.col("_size")))
-        .withColumn("_pair", F.expr("_pos div 2"))
+    counts = ranked.groupBy(*key).agg(
+        F.max("_pair").alias("_oldest"),
+        F.max(F.when(F.col("_kept"), F.col("_pair"))).alias("_first"),
     )
-    pairs = inside.groupBy(*key, "_pair").agg(
-        F.sum("_len").alias("_len"), F.max(F.expr("_size div 2")).alias("_pairs"))
-    newest = scan(
-        pairs.withColumn("_back", -F.col("_pair")), key, ["_back"],
-        running_sum={"_suffix": F.col("_len")},
-    )
-    kept = newest.filter(
-        (F.col("_suffix") <= max_chars) | (F.col("_pair") == F.col("_pairs") - 1)
-    ).select(*key, "_pair")
-    dropped = kept.groupBy(*key).agg(F.min("_pair").alias("_dropped"))
-    chosen = (
-        inside.join(kept, [*key, "_pair"]).join(dropped, key)
-        .select(*key, "_run", "_pos", "_dropped")
+    chosen = ranked.filter("_kept").join(counts, key).select(
+        *key, "_run",
+        (2 * (F.col("_first") - F.col("_pair")) + F.when(asks, 0).otherwise(1)).alias("_pos"),
+        (F.col("_oldest") - F.col("_first")).alias("_dropped"),
     )
     merged = (
         runs.join(chosen, [*key, "_run"])
@@ -108,14 +103,14 @@ def normalise_turns(
         )
     )
     text = F.array_join(F.transform("_parts", lambda p: p["content"]), "\n\n")
-    first = F.col("_pos") == 2 * F.col("_dropped")
+    first = F.col("_pos") == 0
     long_text = F.length("_text") > max_chars
     cut = F.when(first & long_text, F.expr(f"right(_text, {max_chars})")).otherwise(F.col("_text"))
     note = F.format_string(
         "[imported — %d earlier exchange(s) omitted to fit the prompt budget]\n\n", "_dropped")
     return merged.withColumn("_text", text).select(
         *key,
-        (F.col("_pos") - 2 * F.col("_dropped")).alias("turn"),
+        F.col("_pos").alias("turn"),
         "role",
         F.when(first & (F.col("_dropped") > 0), F.concat(note, cut)).otherwise(cut).alias("content"),
     )

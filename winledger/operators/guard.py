@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winledger.functions.text import trigram_overlap
+from winledger.functions.text import let, trigram_overlap
 from winledger.plans.ordered import Ordered, scan
 
 # The default policy. Money in USD.
@@ -211,12 +211,12 @@ def path_findings(text: Column, policy: Mapping[str, Column], cwd: Column | None
     roots = F.transform(F.concat(roots, F.array(F.lit("/tmp"))), _folded)
     paths = F.transform(_tokens(text, PATH, 1), lambda p: F.regexp_replace(p, r"[.,;:]+\z", ""))
 
-    def outside(p: Column) -> Column:
-        at = _folded(p)
-        return ~F.exists(roots, lambda r: (at == r) | at.startswith(F.concat(r, F.lit("/"))))
+    def outside(p: Column, inside: Column) -> Column:
+        return let(_folded(p), lambda at: ~F.exists(
+            inside, lambda r: (at == r) | at.startswith(F.concat(r, F.lit("/")))))
 
     return F.transform(
-        F.filter(paths, outside),
+        let(roots, lambda rs: F.filter(paths, lambda p: outside(p, rs))),
         lambda p: _finding("outside_workspace", severity, F.lit("path outside the workspace"),
                            scrub(F.substring(p, 1, 80))),
     )
@@ -241,11 +241,11 @@ def network_findings(text: Column, policy: Mapping[str, Column]) -> Column:
 
     def refused(h: Column) -> Column:
         ok = F.exists(allowed, lambda a: (h == a) | h.endswith(F.concat(F.lit("."), a)))
-        open_list = ~listed & ~text.rlike(NET_COMMAND)
-        return ~h.isin(*LOCAL_HOSTS) & (h != "") & ~(listed & ok) & ~open_list
+        return ~h.isin(*LOCAL_HOSTS) & (h != "") & ~(listed & ok)
 
+    counted = F.when(listed | text.rlike(NET_COMMAND), hosts).otherwise(F.slice(hosts, 1, 0))
     links = F.transform(
-        F.filter(hosts, refused),
+        F.filter(counted, refused),
         lambda h: _finding("network", severity, F.concat(F.lit("outbound host: "), h), h),
     )
     return F.concat(runs, links)
@@ -399,10 +399,12 @@ def session_state(events: DataFrame) -> DataFrame:
     )
     n = F.size(mine)
     before = F.array_join(F.slice(mine, 1, F.greatest(n - 1, F.lit(0))), " ")
-    ratio = F.when(n >= 2, trigram_overlap(before, F.col("text"))).otherwise(0.0)
+    ratio = F.when(F.col("_n") >= 2, F.col("_share")).otherwise(0.0)
+    texts = texts.withColumn("_n", n).withColumn("_share", trigram_overlap(before, F.col("text")))
+    n = F.col("_n")
     texts = texts.withColumn("_said_now", F.when(
         F.col("_said"), F.struct(ratio.alias("r"), n.alias("n"))
-    ).when(user, F.struct(F.lit(0.0).alias("r"), F.lit(0).alias("n")))).drop("_texts", "_said")
+    ).when(user, F.struct(F.lit(0.0).alias("r"), F.lit(0).alias("n")))).drop("_texts", "_said", "_n", "_share")
     rows = scan(texts, SESSION, EVENT_ORDER, carry={"_repeat": F.col("_said_now")})
     return rows.select(
         *[c for c in rows.columns if c not in ("_said_now", "_repeat", "_segment")],
