@@ -21,7 +21,7 @@ CATALOGUE: dict[str, Query] = {}
 
 _AREAS = (
     "tasks", "money", "statistics", "packs", "migration", "checks", "guarding", "market", "jury",
-    "conversations", "ingest",
+    "conversations", "ingest", "streams",
 
 )
 
