@@ -9,8 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLANK = r"\s\x1c-\x1f\x85"
-"""White space inside a character class, with the separators Java leaves out."""
+# White space as text handling in the log format sees it, as characters and as the
+# inside of a character class.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+BLANK = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 
 # Variable parts of a prompt and their placeholders, applied in this order.
@@ -25,12 +30,12 @@ VARIABLES = (
 
 def strip_blank(c: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(c, rf"(?U)^[{BLANK}]+|[{BLANK}]+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def squeeze(c: Column) -> Column:
     """Single spaces between words, none at the ends."""
-    return F.trim(F.regexp_replace(c, rf"(?U)[{BLANK}]+", " "))
+    return F.trim(F.regexp_replace(c, f"[{BLANK}]+", " "))
 
 
 def slugify(c: Column, max_len: int = 128) -> Column:

@@ -61,6 +61,13 @@ def event_lines(spark, sf_dir):
     return rows.select("event_id", "value", F.explode("_c").alias("_n")).drop("_n")
 
 
+def event_files(spark, sf_dir) -> str:
+    """The lines as a folder of text files."""
+    folder = f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    event_lines(spark, sf_dir).select("value").write.text(folder)
+    return folder
+
+
 GOOD_SQL = """
 V as (select *, event_id % 100 as m, event_type in ('view') as quiet,
     case when event_id % 7 = 0 and event_id % 50 = 1 then 2 else 1 end as copies from events),
@@ -75,7 +82,7 @@ B as (select case m when 10 then 'ts_start' when 20 then 'end_before_start' when
 select 'ok' as rule, cast(sum(copies) as bigint) as n from OK
 union all select rule, cast(sum(copies) as bigint) from B group by rule""")
 def s1(spark, sf_dir):
-    events, rejects = ev.parse_events(event_lines(spark, sf_dir).select("value"))
+    events, rejects = ev.read_events(spark, event_files(spark, sf_dir))
     bad = rejects.select(F.when(F.array_contains("violations", "malformed"), "malformed").otherwise(
         F.col("violations")[0]).alias("rule"))
     return events.select(F.lit("ok").alias("rule")).unionByName(bad).groupBy("rule").agg(
@@ -134,7 +141,7 @@ select concat('00000000-0000-4000-8000-', lpad(cast(event_id as varchar), 12, '0
   (['json','code','mixed','text'])[event_id % 4 + 1] as out_type
 from OK where event_id % 7 <> 0""")
 def s4(spark, sf_dir):
-    traces, _ = ev.ingest(event_lines(spark, sf_dir).select("value"), TENANT, SALT)
+    traces, _ = ev.ingest(spark.read.text(event_files(spark, sf_dir)), TENANT, SALT)
     return traces.filter(F.length("trace_id") == 36).select(
         "trace_id", "provider", "model_id", F.unix_micros("ts_start").alias("start_us"),
         F.col("latency.total_ms").alias("total_ms"), F.col("input_shape.n_messages").cast("int").alias("n_messages"),
@@ -146,7 +153,7 @@ def s4(spark, sf_dir):
 @query("S4_ids_of_copies", f"""
 with {GOOD_SQL} select cast(sum(copies) as bigint) as n, cast(sum(copies) as bigint) as n_ids from OK""")
 def s4_ids(spark, sf_dir):
-    traces, _ = ev.ingest(event_lines(spark, sf_dir).select("value"), TENANT, SALT)
+    traces, _ = ev.ingest(spark.read.text(event_files(spark, sf_dir)), TENANT, SALT)
     return traces.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("trace_id").alias("n_ids"))
 
 
