@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from winledger.llm import simhash
+from winledger.llm import decontaminate, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_benchmark_decontamination": decontaminate.SQL,
+}
