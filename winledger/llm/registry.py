@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from winledger.llm import decontaminate, simhash
+from winledger.llm import decontaminate, simhash, suffixes
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op3_suffix_array_dedup": suffixes.op3_suffix_array_dedup,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
 }
 
