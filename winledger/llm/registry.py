@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from winledger.llm import decontaminate, simhash, suffixes
+from winledger.llm import decontaminate, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op3_suffix_array_dedup": suffixes.op3_suffix_array_dedup,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 SQL: dict[str, str] = {
