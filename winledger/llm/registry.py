@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from winledger.llm import decontaminate, mixing, simhash, suffixes, toxicity
+from winledger.llm import decontaminate, mixing, mtree, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op3_suffix_array_dedup": suffixes.op3_suffix_array_dedup,
     "op5_temperature_mixing": mixing.op5_temperature_mixing,
+    "op7_exact_top_k": mtree.op7_exact_top_k,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
 }
 
 SQL: dict[str, str] = {
     "op5_temperature_mixing": mixing.SQL,
+    "op7_exact_top_k": mtree.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
 }
