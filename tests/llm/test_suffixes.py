@@ -33,7 +33,8 @@ def plain(docs, length):
 def run(spark, docs, length):
     frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr(
         "*", "1 AS doc", "2 AS start", "3 AS length", "4 AS print")
-    got = suffixes.without(frame, suffixes.repeats(frame, length=length), "doc_id", "text", [],
+    read = suffixes.opened(frame, "doc_id", "text", [])
+    got = suffixes.without(frame, read, suffixes.repeats(frame, read, length=length), "doc_id", [],
                            "n_bytes long, n_removed long, n_spans long, kept_sha256 string", suffixes._digest)
     return sorted([tuple(r) for r in got.collect()], key=str)
 

@@ -15,11 +15,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winledger.llm import windows
-from winledger.llm.shared import pieces, runs, shuffle_parts, table, text_bytes, utf8
+from winledger.llm.shared import cut, pieces, runs, shuffle_parts, stored, table, text_bytes, utf8
 
 LENGTH = 50
 ANCHOR = 20
@@ -28,11 +29,37 @@ _PIECE = 4 << 20
 _SPANS = "doc long, print int, start long, length long"
 
 
-def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def opened(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -> DataFrame:
+    """``_doc``, ``_print`` (tells rows of one id apart), the compressed text ``_zip`` and ``extra`` as ``_x0``...
+
+    Both joins with texts read this frame whole, so that one shuffle of it serves them.
+    """
     text = utf8(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("_doc"),
-                       F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("_print"),
-                       text.alias("_text"))
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            zipped = pa.array([small.compress(t) for t in text_bytes(batch.column(2))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), zipped, *batch.columns[3:]],
+                                             names=names)
+
+    more = [f"_x{i}" for i in range(len(extra))]
+    names = ["_doc", "_print", "_zip", *more]
+    kinds = "".join(f", {x} {docs.schema[c].dataType.simpleString()}" for x, c in zip(more, extra, strict=True))
+    return docs.select(F.col(id_col).cast("long").alias("_doc"), _print(text), text.alias("_text"),
+                       *(F.col(c).alias(x) for x, c in zip(more, extra, strict=True))).mapInArrow(
+        shrink, f"_doc long, _print int, _zip binary{kinds}")
+
+
+def _print(text):
+    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("_print")
+
+
+def _with_lists(read: DataFrame, lists: DataFrame, name: str) -> DataFrame:
+    """Each row of ``read`` with its list, null where there is none."""
+    keyed = lists.select(F.col("doc").alias("_d"), F.col("print").alias("_p"), F.col(name).alias("_list"))
+    return read.join(keyed, (F.col("_doc") == F.col("_d")) & (F.col("_print") == F.col("_p")), "left").select(
+        "_list", *read.columns)
 
 
 def _matrix(strings: list[bytes], width: int) -> np.ndarray:
@@ -111,18 +138,19 @@ def _joined(rows: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarr
 
 def _contexts(read: DataFrame, shared: DataFrame, length: int) -> DataFrame:
     """The bytes around the anchors of ``shared`` stretches."""
-    lists = shared.groupBy(F.col("doc").alias("_d"), F.col("print").alias("_p")).agg(
+    lists = shared.groupBy("doc", "print").agg(
         F.collect_list(F.struct("name", "crowd", "start", "count", "lead")).alias("places"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large = zstandard.ZstdDecompressor()
         for batch in batches:
-            for part in pieces(batch, 2, _PIECE):
-                doc, print_, text, places = (part.column(i) for i in range(4))
-                sizes = places.value_lengths().to_numpy(zero_copy_only=False)
+            batch = batch.filter(batch.column(0).is_valid())
+            for part in pieces(batch, 3, _PIECE):
+                places, doc, print_ = part.column(0), part.column(1), part.column(2)
+                texts = [large.decompress(z) for z in part.column(3).to_pylist()]
+                row = np.repeat(np.arange(part.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
                 flat = places.flatten()
                 name, crowd, start, count, lead = (flat.field(i) for i in range(5))
-                row = np.repeat(np.arange(part.num_rows), sizes)
-                texts = text_bytes(text)
                 cut = [texts[r][a:a + n + length - 1] for r, a, n in
                        zip(row.tolist(), start.to_pylist(), count.to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -131,30 +159,33 @@ def _contexts(read: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                      pa.array(cut, pa.binary())],
                     names=["name", "crowd", "doc", "print", "start", "count", "lead", "context"])
 
-    return (read.join(lists, (F.col("_doc") == F.col("_d")) & (F.col("_print") == F.col("_p")))
-            .select("_doc", "_print", "_text", "places")
-            .mapInArrow(take, "name long, crowd boolean, doc long, print int, start long, count int, lead int, "
-                              "context binary"))
+    return _with_lists(read, lists, "places").mapInArrow(
+        take, "name long, crowd boolean, doc long, print int, start long, count int, lead int, context binary")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-            anchor: int = ANCHOR) -> DataFrame:
+def repeats(docs: DataFrame, read: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """Spans of bytes covered by strings of ``length`` that also start in a document of smaller id.
 
-    Rows of ``doc``, ``print`` (tells rows of one id with different texts apart), ``start`` and ``length``;
-    spans may overlap. Rows without an id or text take no part. Rows that share an id are no smaller than
-    each other, so they take nothing from one another.
+    ``read`` is ``opened(docs, ...)``. Rows of ``doc``, ``print`` (tells rows of one id with different texts
+    apart), ``start`` and ``length``; spans may overlap. Rows without an id or text take no part. Rows that
+    share an id are no smaller than each other, so they take nothing from one another.
     """
-    read = _read(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
     parts = shuffle_parts(docs.sparkSession)
-    found = windows.stretches(read, windows.byte_letters, length, anchor, within=False)
+    text = utf8(text_col)
+    found = stored(windows.stretches(
+        docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_doc"), _print(text),
+                                                     text.alias("_text")),
+        windows.byte_letters, length, anchor, within=False).drop("context", "from_doc", "from_start"))
     whole = found.where("copied").select(
         "doc", "print", "start", (F.col("count") + (length - 1)).cast("long").alias("length"))
     shared = found.where("NOT copied")
-    crowds = (shared.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > SORTED_TOGETHER)
-              .select(F.col("name").alias("_name")))
-    shared = shared.join(crowds, F.col("name") == F.col("_name"), "left").select(
-        "name", F.col("_name").isNotNull().alias("crowd"), "doc", "print", "start", "count", "lead")
+    crowds = cut(shared.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > SORTED_TOGETHER)
+                 .select(F.col("name").alias("_name")))
+    crowded = not crowds.isEmpty()
+    shared = (shared.join(crowds, F.col("name") == F.col("_name"), "left") if crowded
+              else shared.withColumn("_name", F.lit(None).cast("long")))
+    shared = shared.select("name", F.col("_name").isNotNull().alias("crowd"), "doc", "print", "start", "count", "lead")
     contexts = _contexts(read, shared, length)
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,15 +210,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     sorted_ = (contexts.where("NOT crowd").select("name", "doc", "print", "start", "count", "lead", "context")
                .repartition(parts, "name").sortWithinPartitions("name").mapInArrow(induce, _SPANS))
+    spans = whole.unionByName(sorted_)
+    if not crowded:
+        return spans
     one_by_one = (contexts.where("crowd")
                   .select("doc", "print", "start", "context", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("at"))
                   .select("doc", "print", (F.col("start") + F.col("at")).alias("start"),
                           F.expr(f"substring(context, at + 1, {length})").alias("string")))
     least = one_by_one.groupBy(F.col("string").alias("_string")).agg(
         F.min("doc").alias("_least"), F.max("doc").alias("_most")).where("_least < _most")
-    crowded = (one_by_one.join(least, F.col("string") == F.col("_string")).where("doc > _least")
-               .select("doc", "print", "start", F.lit(length).cast("long").alias("length")))
-    return whole.unionByName(sorted_).unionByName(crowded)
+    return spans.unionByName(
+        one_by_one.join(least, F.col("string") == F.col("_string")).where("doc > _least")
+        .select("doc", "print", "start", F.lit(length).cast("long").alias("length")))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -201,32 +235,28 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, extra: list[str], schema: str,
+def without(docs: DataFrame, read: DataFrame, spans: DataFrame, id_col: str, extra: list[str], schema: str,
             finish: Callable[[bytes, list[tuple[int, int]]], tuple]) -> DataFrame:
     """Each row's id, ``extra`` columns and what ``finish`` makes of its bytes and its merged spans."""
-    lists = spans.groupBy(F.col("doc").alias("_d"), F.col("print").alias("_p")).agg(
-        F.collect_list(F.struct("start", "length")).alias("_spans"))
-    text = utf8(text_col)
-    read = docs.select(F.col(id_col).cast("long").alias("_doc"),
-                       F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("_print"),
-                       text.alias("_text"), *(F.col(c).alias(f"_x{i}") for i, c in enumerate(extra)))
+    lists = spans.groupBy("doc", "print").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     names = [id_col, *extra]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    made_names = [x.split()[0] for x in schema.split(", ")]
+    id_kind = docs.schema[id_col].dataType
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large = zstandard.ZstdDecompressor()
         for batch in batches:
-            for part in pieces(batch, 1, _PIECE):
-                made = [finish(t, merged(s or [])) for t, s in
-                        zip(text_bytes(part.column(1)), part.column(2).to_pylist(), strict=True)]
-                columns = list(zip(*made, strict=True))
+            for part in pieces(batch, 3, _PIECE):
+                made = [finish(large.decompress(z), merged(s or [])) for z, s in
+                        zip(part.column(3).to_pylist(), part.column(0).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(part.column(3 + i) for i in range(len(extra))),
-                     *(pa.array(c) for c in columns)],
-                    names=[*names, *(x.split()[0] for x in schema.split(", "))])
+                    [part.column(1), *part.columns[4:], *(pa.array(c) for c in zip(*made, strict=True))],
+                    names=["_doc", *extra, *made_names])
 
-    joined = read.join(lists, (F.col("_doc") == F.col("_d")) & (F.col("_print") == F.col("_p")), "left")
-    return joined.select(F.col("_doc").cast(docs.schema[id_col].dataType), "_text", "_spans",
-                         *(f"_x{i}" for i in range(len(extra)))).mapInArrow(scan, f"{kinds}, {schema}")
+    made = _with_lists(read, lists, "spans").mapInArrow(scan, kinds.replace(f"`{id_col}` {id_kind.simpleString()}",
+                                                                            "_doc long", 1) + f", {schema}")
+    return made.select(F.col("_doc").cast(id_kind).alias(id_col), *extra, *made_names)
 
 
 def _digest(text: bytes, spans: list[tuple[int, int]]) -> tuple:
@@ -258,9 +288,10 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     Removal keeps whole characters: a character of which only some bytes are covered stays. Rows whose text
     was empty or null before stay as they are.
     """
-    spans = repeats(docs, id_col, text_col, length)
     rest = [c for c in docs.columns if c != id_col]
-    cleaned = without(docs, spans, id_col, text_col, rest, "_kept string", _keep)
+    read = opened(docs, id_col, text_col, rest)
+    spans = repeats(docs, read, id_col, text_col, length)
+    cleaned = without(docs, read, spans, id_col, rest, "_kept string", _keep)
     kept = F.when(F.col(text_col).isNull(), F.lit(None)).otherwise(F.col("_kept"))
     return cleaned.where((F.coalesce(F.col(text_col), F.lit("")) == "") | (F.col("_kept") != "")).select(
         *((kept if c == text_col else F.col(c)).alias(c) for c in docs.columns))
@@ -268,5 +299,6 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return without(docs, repeats(docs), "doc_id", "text", [],
+    read = opened(docs, "doc_id", "text", [])
+    return without(docs, read, repeats(docs, read), "doc_id", [],
                    "n_bytes long, n_removed long, n_spans long, kept_sha256 string", _digest)

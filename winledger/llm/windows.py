@@ -193,20 +193,24 @@ class Gathered:
         for x, y in zip(edges, np.append(edges[1:], len(some)), strict=True):
             part = some[x:y]
             yield int(bucket[part[0]]), OPEN, packed(tuple(c[part] for c in rows))
+        head = np.nonzero(first)[0][contexts - 1]
+        from_ = (rows[2][head], rows[4][head])
         for kind in (SHARED, COPIED):
             some = np.nonzero(state == kind)[0]
             for x in range(0, len(some), 1 << 14):
                 part = some[x:x + (1 << 14)]
-                yield int(name[part[0]] % U(self.buckets)), kind, packed(tuple(c[part] for c in rows))
+                yield int(name[part[0]] % U(self.buckets)), kind, packed(tuple(c[part] for c in (*rows, *from_)))
 
 
 def repeated(rows: tuple[np.ndarray, ...], first: np.ndarray, within: bool) -> np.ndarray:
     """Which sorted tuples have an equal one in a smaller document or, if ``within``, earlier in their own."""
-    _, _, doc, print_, _, _ = rows
+    _, _, doc, print_, start, _ = rows
     head = np.nonzero(first)[0][np.cumsum(first) - 1]
     copied = doc > doc[head]
     if within:
-        copied[1:] |= ~first[1:] & (doc[1:] == doc[:-1]) & (print_[1:] == print_[:-1])
+        own = first.copy()
+        own[1:] |= (doc[1:] != doc[:-1]) | (print_[1:] != print_[:-1])
+        copied |= start > start[np.nonzero(own)[0][np.cumsum(own) - 1]]
     return copied
 
 
@@ -219,7 +223,7 @@ def in_order(rows: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], np.n
     return rows, np.concatenate(([True], (name[1:] != name[:-1]) | (context[1:] != context[:-1])))
 
 
-_KINDS = (np.uint64, np.uint64, np.int64, np.int32, np.int64, np.int16)
+_KINDS = (np.uint64, np.uint64, np.int64, np.int32, np.int64, np.int16, np.int64, np.int64)
 
 
 def packed(rows: tuple[np.ndarray, ...]) -> bytes:
@@ -228,12 +232,14 @@ def packed(rows: tuple[np.ndarray, ...]) -> bytes:
     columns = (name, *rows[1:])
     return len(name).to_bytes(8, "little") + b"".join(
         np.ascontiguousarray(c.astype(k).view(np.uint8).reshape(len(name), -1).T).tobytes()
-        for c, k in zip(columns, _KINDS, strict=True))
+        for c, k in zip(columns, _KINDS, strict=False))
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, ...]:
     n, at, columns = int.from_bytes(data[:8], "little"), 8, []
     for k in _KINDS:
+        if at == len(data):
+            break
         size = np.dtype(k).itemsize
         planes = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n)
         columns.append(np.ascontiguousarray(planes.T).view(k).reshape(n))
@@ -242,7 +248,8 @@ def unpacked(data: bytes) -> tuple[np.ndarray, ...]:
     return tuple(columns)
 
 
-STRETCHES = "name long, doc long, print int, start long, count int, lead int, copied boolean"
+STRETCHES = ("name long, context long, doc long, print int, start long, count int, lead int, copied boolean, "
+             "from_doc long, from_start long")
 
 
 def stretches(docs: DataFrame, letters: Callable[[bytes], np.ndarray], length: int, anchor: int,
@@ -251,7 +258,7 @@ def stretches(docs: DataFrame, letters: Callable[[bytes], np.ndarray], length: i
 
     ``docs`` has ``_doc`` (long), ``_print`` (int, tells rows of one id apart) and ``_text``. With ``copied``
     every window of the stretch also starts earlier: in a document of smaller id or, if ``within``, earlier
-    in the same one. Without, the stretch shares its anchor string with other contexts, and its windows have
+    in the same one, and ``from_doc`` and ``from_start`` say where one such stretch starts. Without, the stretch shares its anchor string with other contexts, and its windows have
     to be compared one by one. Windows in no returned stretch start nowhere earlier.
     """
     spark = docs.sparkSession
@@ -284,25 +291,26 @@ def stretches(docs: DataFrame, letters: Callable[[bytes], np.ndarray], length: i
             rows = tuple(np.concatenate(c) for c in zip(*found, strict=True))
             state = run.column(1)[0].as_py()
             if state != OPEN:
-                yield told(rows, np.full(len(rows[0]), state == COPIED))
+                yield told(rows[:6], np.full(len(rows[0]), state == COPIED), *rows[6:])
                 continue
             rows, first = in_order(rows)
             copied = repeated(rows, first, within)
             name = rows[0]
-            new_name = np.concatenate(([True], name[1:] != name[:-1]))
-            begin = np.nonzero(new_name)[0]
+            begin = np.nonzero(np.concatenate(([True], name[1:] != name[:-1])))[0]
             several = np.add.reduceat(first.astype(np.int64), begin) > 1
             shared = np.repeat(several, np.diff(np.append(begin, len(name))))
             keep = np.nonzero(copied | shared)[0]
             if len(keep):
-                yield told(tuple(c[keep] for c in rows), copied[keep])
+                head = np.nonzero(first)[0][np.cumsum(first) - 1][keep]
+                yield told(tuple(c[keep] for c in rows), copied[keep], rows[2][head], rows[4][head])
 
-    def told(rows, copied) -> pa.RecordBatch:
-        name, _, doc, print_, start, shape = rows
+    def told(rows, copied, from_doc, from_start) -> pa.RecordBatch:
+        name, context, doc, print_, start, shape = rows
         return pa.RecordBatch.from_arrays(
-            [pa.array(name.view(np.int64)), pa.array(doc), pa.array(print_), pa.array(start),
-             pa.array(shape.astype(np.int32) // 64), pa.array(shape.astype(np.int32) % 64), pa.array(copied)],
-            names=["name", "doc", "print", "start", "count", "lead", "copied"])
+            [pa.array(np.where(copied, 0, name.view(np.int64))), pa.array(context.view(np.int64)), pa.array(doc),
+             pa.array(print_), pa.array(start), pa.array(shape.astype(np.int32) // 64),
+             pa.array(shape.astype(np.int32) % 64), pa.array(copied), pa.array(from_doc), pa.array(from_start)],
+            names=[c.split()[0] for c in STRETCHES.split(", ")])
 
     return (docs.select("_doc", "_print", "_text").mapInArrow(gather, "bucket long, state int, run binary")
             .repartition(parts, "bucket").sortWithinPartitions("bucket", "state").mapInArrow(merge, STRETCHES))
