@@ -56,9 +56,11 @@ def test_empty_tables(spark):
     assert run(spark, [(1, "a b")], []) == [(1, 2, 0, [])]
 
 
-def test_clean_rows(spark):
+@pytest.mark.parametrize("passes", [4 << 20, 60])
+def test_clean_rows(spark, passes):
     item = " ".join(f"w{i}" for i in range(12))
-    docs = [(1, "x " + item), (1, "other"), (2, "other"), (None, "q"), (3, None)]
+    docs = [(1, "x " + item), (1, "other"), (2, "other"), (None, "q"), (3, None), (4, "y " + item.replace("w", "v"))]
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    b = spark.createDataFrame([(1, item)], "item_id long, text string")
-    assert sorted(r.doc_id or 0 for r in dec.clean_rows(d, b).collect()) == [0, 2, 3]
+    b = spark.createDataFrame([(1, item), (2, item.replace("w", "v"))], "item_id long, text string")
+    got = dec.clean_rows(d, b, item_bytes=passes)
+    assert sorted(r.doc_id or 0 for r in got.collect()) == [0, 1, 2, 3] and got.columns == d.columns

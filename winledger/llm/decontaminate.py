@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winledger.llm.shared import pieces, table, text_bytes, utf8
+from winledger.llm.shared import pieces, stored, table, text_bytes, utf8
 
 WINDOW = 10
 BLOCK = 2
@@ -123,6 +123,19 @@ def _searched(docs: DataFrame, items, window: int) -> DataFrame:
     return docs.select("_id", "_print", "_text").mapInArrow(scan, f"_id {kind}, _print long, {_FOUND}")
 
 
+def _passes(items: DataFrame, item_col: str, text_col: str, item_bytes: int) -> Iterator:
+    """The items, broadcast in passes of about ``item_bytes``: a name for the pass, and its (id, text) rows."""
+    spark = items.sparkSession
+    texts = items.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text"))
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = int(-(-2 * total // item_bytes)) if total > item_bytes else 1
+    for k in range(passes):
+        mine = texts if passes == 1 else texts.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
+        rows = sorted((r.item, r.text.encode()) for r in mine.toLocalIterator())
+        yield spark.sparkContext.broadcast((hashlib.sha256(repr(rows).encode()).hexdigest(), rows))
+
+
 def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
                   item_bytes: int = ITEM_BYTES) -> DataFrame:
@@ -133,19 +146,10 @@ def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Items with a null id or text have no windows; rows that share an item id count as one item. Rows that
     share a document id are searched and returned each for itself.
     """
-    spark = docs.sparkSession
     read = docs.select(F.col(id_col).alias("_id"), F.xxhash64(utf8(text_col)).alias("_print"),
                        utf8(text_col).alias("_text"))
-    texts = items.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(
-        F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = int(-(-2 * total // item_bytes)) if total > item_bytes else 1
     found = None
-    for k in range(passes):
-        mine = texts if passes == 1 else texts.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
-        rows = sorted((r.item, r.text.encode()) for r in mine.toLocalIterator())
-        name = hashlib.sha256(repr(rows).encode()).hexdigest()
-        piece = spark.sparkContext.broadcast((name, rows))
+    for piece in _passes(items, item_col, item_text_col, item_bytes):
         one = _searched(read, piece, window)
         if found is None:
             found = one
@@ -186,15 +190,27 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                         _id_digest("items").alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
-def clean_rows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` in which no item's window occurs, with their columns.
+def clean_rows(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
+               item_text_col: str = "text", window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The rows of ``docs`` in which no item's window occurs, with their columns; each is judged by its own text.
 
-    An id is rejected if any row that bears it holds a passage; a row with a null id is judged with the
-    other rows of null id.
+    With more than one pass of items, the rows that are left are written between passes.
     """
-    hit = find_passages(docs, items, id_col).where(F.size("items") > 0).select(
-        F.col(id_col).alias("_hit")).distinct()
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_hit")), "left_anti")
+    at = docs.columns.index(text_col)
+
+    def keeping(items_sent):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            patterns = _tables(items_sent, window)
+            for batch in batches:
+                for part in pieces(batch, at, _PIECE):
+                    hit = [bool(patterns.search(words_of(t))[0]) for t in text_bytes(part.column(at))]
+                    yield part.filter(pa.array([not h for h in hit], pa.bool_()))
+        return keep
+
+    left = None
+    for piece in _passes(items, item_col, item_text_col, item_bytes):
+        left = (docs if left is None else stored(left)).mapInArrow(keeping(piece), docs.schema)
+    return left
 
 
 SQL = r"""

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from winledger.llm import decontaminate, mixing, mtree, simhash, suffixes, toxicity
+import corpus_pipeline
+from winledger.llm import debruijn, decontaminate, mixing, mtree, quality, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_suffix_array_dedup": suffixes.op3_suffix_array_dedup,
+    "op4_substring_dedup": debruijn.op4_substring_dedup,
     "op5_temperature_mixing": mixing.op5_temperature_mixing,
     "op7_exact_top_k": mtree.op7_exact_top_k,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
+    "op4_substring_dedup": debruijn.SQL,
     "op5_temperature_mixing": mixing.SQL,
     "op7_exact_top_k": mtree.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,

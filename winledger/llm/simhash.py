@@ -12,11 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from winledger.llm.graph import components
-from winledger.llm.shared import pieces, runs, shuffle_parts, table, text_bytes, utf8
+from winledger.llm.shared import cut, pieces, runs, shuffle_parts, table, text_bytes, utf8
 
 MAX_BITS = 3
 BLOCKS = 4
@@ -167,6 +167,16 @@ def close_links(prints: DataFrame, most: int = MAX_BITS) -> DataFrame:
             .mapInArrow(compare, "a long, b long").distinct())
 
 
+def _placed(prints: DataFrame, id_col: str, most: int) -> DataFrame:
+    """``_print`` and ``component_id`` for every distinct fingerprint."""
+    nodes = prints.groupBy("fingerprint").agg(F.min(id_col).alias("least_id"))
+    roots = components(close_links(nodes.select("fingerprint"), most), "a", "b")
+    placed = nodes.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
+        "fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root"))
+    named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return placed.join(named, "root").select(F.col("fingerprint").alias("_print"), "root", "component_id")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3,
                 most: int = MAX_BITS) -> DataFrame:
     """Every row's id, ``fingerprint`` (long) and ``component_id``, the least id its links lead to.
@@ -176,16 +186,33 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component but never name it (null only where all its ids are null).
     """
     prints = fingerprints(docs, id_col, text_col, size)
-    nodes = prints.groupBy("fingerprint").agg(F.min(id_col).alias("least_id"))
-    roots = components(close_links(nodes.select("fingerprint"), most), "a", "b")
-    placed = nodes.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_print = placed.join(named, "root").select(F.col("fingerprint").alias("_print"), "component_id")
-    return prints.join(by_print, F.col("fingerprint") == F.col("_print"), "left").select(
+    return prints.join(_placed(prints, id_col, most), F.col("fingerprint") == F.col("_print"), "left").select(
         id_col, "fingerprint", "component_id")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3,
+                    most: int = MAX_BITS) -> DataFrame:
+    """One row of every component with its columns: the least id, then the least hash of the text.
+
+    Of rows alike in both, one stays; rows with a null id stay only where their component has no other.
+    """
+    id_kind = docs.schema[id_col].dataType
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(utf8(text_col)).alias("text")).alias("_key"),
+                        utf8(text_col).alias("_text"))
+    prints = cut(fingerprints(keyed, "_key", "_text", size).select(
+        F.col("_key.id").cast(id_kind).alias("_id"), F.col("_key.text").alias("_hash"), "fingerprint"))
+    rank = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_hash"))
+    chosen = (prints.join(_placed(prints, "_id", most), F.col("fingerprint") == F.col("_print"))
+              .groupBy("root").agg(F.min(rank).alias("_best"))
+              .select(F.col("_best._id").alias("_k1"), F.col("_best._hash").alias("_k2")))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    held = docs.withColumns({"_n1": name(id_col), "_n2": F.xxhash64(utf8(text_col))})
+    kept = held.join(chosen.select(name("_k1").alias("_c1"), F.col("_k2").alias("_c2")),
+                     (F.col("_n1") == F.col("_c1")) & (F.col("_n2") == F.col("_c2")), "left_semi")
+    alike = Window.partitionBy("_n1", "_n2").orderBy("_n1")
+    return kept.withColumn("_nth", F.row_number().over(alike)).where("_nth = 1").select(*docs.columns)
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
