@@ -39,9 +39,10 @@ def opened(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -> Dat
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            zipped = pa.array([small.compress(t) for t in text_bytes(batch.column(2))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), zipped, *batch.columns[3:]],
-                                             names=names)
+            for part in pieces(batch, 2, _PIECE):
+                zipped = pa.array([small.compress(t) for t in text_bytes(part.column(2))], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), zipped, *part.columns[3:]],
+                                                 names=names)
 
     more = [f"_x{i}" for i in range(len(extra))]
     names = ["_doc", "_print", "_zip", *more]

@@ -27,7 +27,7 @@ U = np.uint64
 _MASK = (1 << 64) - 1
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SLICE = 1 << 20  # letters hashed at a time; longer documents are cut into overlapping slices
-FLUSH = 1 << 20  # tuples a task gathers into one run per bucket
+FLUSH = 1 << 18  # tuples a task gathers into one run per bucket
 OPEN, SHARED, COPIED = 0, 1, 2
 CROWD = 64  # contexts of one name in one run; the others go on without being compared here
 BUCKET_BYTES = 1 << 20  # of text for each bucket of names
