@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from winledger.llm import debruijn, decontaminate, mixing, mtree, quality, simhash, suffixes, toxicity
+from winledger.llm import chat, debruijn, decontaminate, mixing, mtree, quality, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_suffix_array_dedup": suffixes.op3_suffix_array_dedup,
     "op4_substring_dedup": debruijn.op4_substring_dedup,
     "op5_temperature_mixing": mixing.op5_temperature_mixing,
+    "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_exact_top_k": mtree.op7_exact_top_k,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
@@ -20,6 +21,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op4_substring_dedup": debruijn.SQL,
     "op5_temperature_mixing": mixing.SQL,
+    "op6_chat_formatting": chat.SQL,
     "op7_exact_top_k": mtree.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
 }
