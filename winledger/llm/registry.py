@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from winledger.llm import chat, debruijn, decontaminate, mixing, mtree, quality, simhash, suffixes, toxicity
+from winledger.llm import chat, debruijn, decontaminate, mixing, mtree, pages, quality, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_exact_top_k": mtree.op7_exact_top_k,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_html_extraction": pages.op10_html_extraction,
     "pipeline": corpus_pipeline.run,
 }
 
