@@ -207,19 +207,26 @@ def test_loop_silence_and_caps(spark):
 
 
 def test_batch_and_stream_judge_alike(spark):
-    from winledger.streaming.stateful import fresh_session, judge_session, take_event
+    """The memory kept batch by batch, judged by the same columns, gives the batch verdicts."""
+    import pandas as pd
+
+    from winledger.streaming import stateful
 
     rows = [{"ts": float(i * 50), "kind": k, "progress": k == "progress" and i % 2 == 0, "tool": "B",
              "tool_args": str(i % 2), "text": "the same words again and again", "out_tokens": 1,
              "thinking_tokens": 3 * i, "cost_usd": 0.4}
             for i, k in enumerate("assistant tool tool progress user tool assistant assistant tool tool tool".split())]
     batch = guard.stall_verdicts(session(spark, rows)).orderBy("event_id").collect()
-    s = fresh_session()
-    for r, b in zip(rows, batch, strict=True):
-        take_event(s, r)
-        v = judge_session(s, guard.POLICY_DEFAULTS, r["ts"])
-        assert (v["state"], v["score"], v["reasons"], v["tool_loops"]) == (
-            b["state"], b["score"], b["reasons"], b["tool_loops"])
+    for size in (1, 3, len(rows)):
+        held, memory = None, []
+        for at in range(0, len(rows), size):
+            memory += stateful.remembered(held, pd.DataFrame(rows[at:at + size]))
+            held = memory[-1]
+        frame = spark.createDataFrame(
+            [tuple(stateful._columns(m).values()) for m in memory], ", ".join(f"{c} {t}" for c, t in stateful.MEMORY.items()))
+        told = stateful._judged(frame, "", guard.policy_columns(None), None).orderBy("ts").collect()
+        fields = ("state", "score", "reasons", "tool_loops", "repeat_ratio")
+        assert [tuple(t[f] for f in fields) for t in told] == [tuple(b[f] for f in fields) for b in batch]
 
 
 def test_cage(spark):

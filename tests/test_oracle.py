@@ -15,7 +15,7 @@ SAMPLE = [
     "A32_combine_panel", "C2_density_clusters", "K3_representatives", "W9_optimisation_result",
     "W11_grading_tick", "J4_price_longest", "J11_effective_policy", "P8_resolve_verdicts",
     "P14_grade_outputs", "P2_scan_metadata_only", "S2_validate_events", "S4_normalize",
-    "S15_parse_market", "S16_bundle", "T3_stream_stalls", "T6_stream_tasks", "T7_stream_windows",
+    "S15_parse_market", "S16_bundle", "T3_stream_stalls", "T3_stream_silence", "T6_stream_tasks", "T7_stream_windows",
 ]
 # Results that must not change when keys are cut into slices.
 ORDERED = [

@@ -434,6 +434,19 @@ def session_state(events: DataFrame) -> DataFrame:
     )
 
 
+def measured(memory: DataFrame) -> DataFrame:
+    """``session_state``'s loops and repetition from remembered calls (``recent_at``, ``recent_call``) and texts."""
+    since = F.coalesce("last_progress", "started")
+    live = F.filter(F.arrays_zip("recent_at", "recent_call"), lambda e: e["recent_at"] >= since)
+    rows = memory.withColumn("tool_loops", _most_repeated(F.transform(live, lambda e: e["recent_call"]))).withColumn(
+        "n_texts", F.coalesce(F.size("texts"), F.lit(0)))
+    several = F.col("n_texts") >= 2
+    before = F.array_join(F.slice("texts", 1, F.greatest(F.col("n_texts") - 1, F.lit(0))), " ")
+    share = trigram_overlap(F.when(several, before), F.when(several, F.element_at("texts", -1)))
+    return rows.withColumn("_share", share).withColumn(
+        "repeat_ratio", F.when(several, F.col("_share")).otherwise(0.0)).drop("recent_at", "recent_call", "texts", "_share")
+
+
 def judge_state(
     state: DataFrame, policy: Mapping[str, Column], *, now: Column, expected_cost: Column,
     expected_seconds: Column, day_spent: Column | None = None,

@@ -100,21 +100,36 @@ def t2(spark, sf_dir):
                     "text", "tool", "tool_args", "progress", F.round(F.col("ts") * 1000).cast("long").alias("ts_ms"))
 
 
-T3_POLICY_SQL = verdict_sql("ts").replace("case when spent > 2 * 2.5 then 40 else 0 end", "0").replace(
-    "case when elapsed > 2e0 * 400000 then 20 else 0 end", "0")
+def _expected(spark, sf_dir):
+    """The fixed expectations of ``verdict_sql``, for every model of the events."""
+    models = guard_events(spark, sf_dir).select("model_id").distinct()
+    return models.select("model_id", F.lit(2.5).alias("expected_cost_usd"), F.lit(400000.0).alias("expected_seconds"))
 
 
 @query("T3_stream_stalls", f"""
-with {GUARD_SQL}, {T3_POLICY_SQL}
+with {GUARD_SQL}, {verdict_sql('ts')}
 select session_id, event_id, state, cast(score as bigint) as score, cast(loops as bigint) as tool_loops,
   round(ratio, 6) as repeat_ratio, hard as working_hard from VE""")
 def t3(spark, sf_dir):
     e = guard_events(_Streamed(spark, sf_dir), sf_dir)
-    out = drained(spark, stateful.stream_stalls(e, POLICY, time_mode="None"))
+    out = drained(spark, stateful.stream_stalls(e, POLICY, _expected(spark, sf_dir), time_mode="None"))
     return out.select("session_id", "event_id", "state", "score", "tool_loops", num("repeat_ratio", "repeat_ratio"),
                       "working_hard")
 
 
+@query("T3_stream_silence", f"""
+with {GUARD_SQL},
+GL as (select * from (select *, row_number() over (partition by session_id order by ts desc, event_id desc) as back
+  from GS) where back = 1),
+GQ as (select * exclude (ts), ts, ts + 86400 as woken, (select max(ts) from G) - 60 as mark from GL),
+{verdict_sql('woken', 'GQ')}
+select session_id, state, cast(score as bigint) as score, cast(floor(woken) as bigint) as woken_s from VE where woken <= mark""")
+def t3_silence(spark, sf_dir):
+    e = guard_events(_Streamed(spark, sf_dir), sf_dir)
+    out = drained(spark, stateful.stream_stalls(e, POLICY, _expected(spark, sf_dir), forget_s=400 * 86400.0))
+    return out.where("event_id IS NULL").select("session_id", "state", "score", F.floor("ts").alias("woken_s"))
+
+
 @query("T4_stream_findings", """
 with R as (select distinct cast(user_id as varchar) as session_id, cast(json_extract(props, '$.k') as bigint) % 3 as p
   from events where event_type in ('view', 'click'))
@@ -165,14 +180,14 @@ def t7(spark, sf_dir):
 
 
 @query("T8_write_alerts", f"""
-with {GUARD_SQL}, {T3_POLICY_SQL},
+with {GUARD_SQL}, {verdict_sql('ts')},
 C as (select *, lag(state, 1, 'ok') over (partition by session_id order by ts, event_id) as was from VE)
 select session_id, event_id, case when state in ('stalled', 'burning') then state else 'warn' end as level
 from C where was <> state and (state in ('stalled', 'burning') or (state = 'watch' and hard))""")
 def t8(spark, sf_dir):
     spark.conf.set(ROCKS, SETTINGS[ROCKS])
     e = guard_events(_Streamed(spark, sf_dir), sf_dir)
-    v = stateful.stream_stalls(e, POLICY, time_mode="None").filter("changed")
+    v = stateful.stream_stalls(e, POLICY, _expected(spark, sf_dir), time_mode="None").filter("changed")
     note = guard.alert_columns(F.col("state"), F.col("working_hard"), F.col("reasons"), F.col("spent_usd"))
     alerts = v.withColumn("_a", note).filter(F.col("_a").isNotNull()).select(
         "session_id", "event_id", "ts", "_a.*")

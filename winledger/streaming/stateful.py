@@ -1,162 +1,169 @@
-"""Streams with state per key: stall verdicts, spend caps, task assembly.
+"""Streams with state per key: session memory for stall verdicts, spend caps, task assembly.
 
-State is small and bounded: a session keeps at most 24 events and 6 texts, a tenant its spend. It
-lives in the RocksDB state store and survives lost executors through the query's checkpoint.
+A session keeps its sums, at most 24 calls and 6 texts, and is forgotten when it has been silent long
+enough; a tenant keeps its spend. State lives in the RocksDB state store and survives lost executors
+through the query's checkpoint. What the state means is judged by the batch operator's columns.
 """
 
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from winledger.functions.text import trigram_share
-from winledger.operators.guard import POLICY_DEFAULTS, TEXTS, WINDOW
+from winledger.operators.guard import POLICY_DEFAULTS, TEXTS, WINDOW, judge_state, measured, policy_columns
 from winledger.operators.tasks import GAP_SECONDS, MIN_OVERLAP
 
-VERDICT = T.StructType([
-    T.StructField("tenant_id", T.StringType()), T.StructField("session_id", T.StringType()),
-    T.StructField("event_id", T.LongType()), T.StructField("ts", T.DoubleType()),
-    T.StructField("state", T.StringType()), T.StructField("score", T.LongType()),
-    T.StructField("reasons", T.ArrayType(T.StringType())), T.StructField("spent_usd", T.DoubleType()),
-    T.StructField("tool_loops", T.LongType()), T.StructField("repeat_ratio", T.DoubleType()),
-    T.StructField("working_hard", T.BooleanType()), T.StructField("changed", T.BooleanType()),
-])
 TEXT_STATE = T.StructType([T.StructField("value", T.StringType())])
-
-
-def fresh_session() -> dict:
-    return {"started": None, "last": None, "progress": None, "spent": 0.0, "out": 0, "think": 0,
-            "events": [], "texts": [], "state": "ok"}
-
-
-def take_event(s: dict, e: Mapping) -> None:
-    """Fold one event into a session's state."""
-    ts = float(e["ts"])
-    s["started"] = ts if s["started"] is None else s["started"]
-    s["last"] = ts
-    s["spent"] += float(e["cost_usd"] or 0)
-    s["out"] += int(e["out_tokens"] or 0)
-    s["think"] += int(e["thinking_tokens"] or 0)
-    if e["kind"] == "user":
-        s.update(started=ts, progress=None, events=[], texts=[])
-    elif e["progress"]:
-        s["progress"] = ts
-    if e["kind"] == "tool" and not e["progress"]:
-        call = f"{e['tool']}\x1f{e['tool_args']}"
-    else:
-        call = None
-    s["events"] = [*s["events"], [ts, call]][-WINDOW:]
-    if e["kind"] == "assistant" and (e["text"] or "").strip():
-        s["texts"] = [*s["texts"], e["text"]][-TEXTS:]
-
-
-def judge_session(s: Mapping, policy: Mapping, now: float) -> dict:
-    """The verdict on a session's state at a time."""
-    p = policy
-    anchor = s["started"] if s["progress"] is None else s["progress"]
-    quiet = max(0.0, now - anchor)
-    recent = s["progress"] is not None and quiet < p["silence_s"]
-    calls = Counter(c for ts, c in s["events"] if c is not None and ts >= anchor)
-    loops = max(calls.values(), default=0)
-    texts = s["texts"]
-    ratio = trigram_share(" ".join(texts[:-1]), texts[-1]) if len(texts) > 1 else 0.0
-    cap = ""
-    for name in ("session", "daily"):
-        limit = p[f"{name}_budget_usd"]
-        if not cap and limit and s["spent"] >= limit:
-            cap = f"{name} budget"
-    hush = now - s["last"]
-    signs = [
-        ("stuck", 40, hush >= p["silence_s"] and not recent, f"silent for {int(hush)}s"),
-        ("stuck", 45, loops >= p["max_repeat"], f"same tool call {loops}x in a row"),
-        ("stuck", 40, len(texts) > 1 and ratio >= p["repeat_ratio"],
-         f"repeating itself ({int(ratio * 100)}% overlap)"),
-        ("burn", 25, bool(s["out"]) and s["think"] / max(1, s["out"]) > p["max_thinking_ratio"],
-         "thinking far more than it says"),
-        ("burn", 60, bool(cap), f"{cap} reached (${s['spent']:.2f})"),
-    ]
-    stuck = sum(n for kind, n, on, _ in signs if on and kind == "stuck")
-    burn = sum(n for kind, n, on, _ in signs if on and kind == "burn")
-    reasons = [why for _, _, on, why in signs if on]
-    hard = recent and stuck + burn > 0
-    if hard:
-        reasons.append("but it is still making verifiable progress")
-    score = min(burn, 55) if recent else max(stuck, burn)
-    score = min(100, max(score, 90) if cap else score)
-    if cap or (burn >= 60 and not recent):
-        state = "burning"
-    elif stuck >= 40 and not recent:
-        state = "stalled"
-    else:
-        state = "watch" if score >= 25 else "ok"
-    return {"state": state, "score": score, "reasons": reasons, "spent_usd": s["spent"],
-            "tool_loops": loops, "repeat_ratio": ratio, "working_hard": hard}
-
-
-class _StallProcessor(StatefulProcessor):
-    def __init__(self, policy: Mapping, timers: bool):
-        self.policy, self.timers = {**POLICY_DEFAULTS, **policy}, timers
+FORGET_S = 7 * 86_400.0
+"""A session silent for so long is forgotten (with a time mode)."""
+
+# What is remembered of a session as of a verdict; ``at`` is when that verdict is.
+MEMORY = {
+    "started": "double", "last_progress": "double", "ts": "double", "spent_usd": "double", "total_out": "long",
+    "total_thinking": "long", "model_id": "string", "recent_at": "array<double>", "recent_call": "array<string>",
+    "texts": "array<string>", "at": "double",
+}
+MEMORY_ROW = ", ".join(["tenant_id string", "session_id string", "event_id long",
+                        *(f"{p}{c} {t}" for p in ("", "was_") for c, t in MEMORY.items())])
+
+
+def _ends(values: list, starts: list[int], offset: int, size: int) -> list[list]:
+    """For each row the last ``size`` values up to it, none from before its segment; values begin ``offset``
+    places before the first row."""
+    return [values[max(start, i + offset + 1 - size):i + offset + 1] for i, start in enumerate(starts)]
+
+
+def remembered(held: dict | None, batch: pd.DataFrame) -> list[dict]:
+    """The memory after each row of a session's ordered batch, given the memory before it.
+
+    A user's turn opens a segment: clock, progress, calls and texts begin anew, sums go on."""
+    h = held or {"spent_usd": 0.0, "total_out": 0, "total_thinking": 0, "steps": [], "texts": []}
+    ts, kind = batch["ts"].astype(float), batch["kind"]
+    opens = kind.eq("user")
+    segment = opens.cumsum()
+    step = batch["progress"].fillna(False).astype(bool)
+    since = ts.where(step & ~opens).groupby(segment).ffill()
+    if held and held["last_progress"] is not None:
+        since = since.mask(segment.eq(0) & since.isna(), held["last_progress"])
+    began = ts.where(opens).ffill().fillna(h.get("started", ts.iloc[0]) if held else ts.iloc[0])
+    sums = {c: batch[n].fillna(0).astype(t).cumsum() + h[c] for c, n, t in (
+        ("spent_usd", "cost_usd", float), ("total_out", "out_tokens", int), ("total_thinking", "thinking_tokens", int))}
+    call = (batch["tool"].fillna("") + "\x1f" + batch["tool_args"].fillna("")).where(kind.eq("tool") & ~step)
+    steps = [*map(tuple, h["steps"]), *zip(ts, call.where(call.notna(), None), strict=True)]
+    before = len(h["steps"])
+    # Where the row's segment starts among the steps: the held ones belong to the segment that is still open.
+    first = (pd.Series(range(before, len(steps)), index=batch.index).where(opens).ffill().fillna(0)).astype(int)
+    said = kind.eq("assistant") & batch["text"].fillna("").str.strip().ne("")
+    texts = [*h["texts"], *batch["text"][said]]
+    told = len(h["texts"]) + said.cumsum()
+    told_first = (told - said).where(opens).ffill().fillna(0).astype(int)
+    model = batch["model_id"] if "model_id" in batch else pd.Series([None] * len(batch), index=batch.index)
+    rows = []
+    windows = _ends(steps, first.tolist(), before, WINDOW)
+    for i, near in enumerate(windows):
+        rows.append({
+            "started": float(began.iloc[i]), "last_progress": None if pd.isna(since.iloc[i]) else float(since.iloc[i]),
+            "ts": float(ts.iloc[i]), **{c: v.iloc[i].item() for c, v in sums.items()}, "model_id": None if pd.isna(model.iloc[i]) else model.iloc[i],
+            "steps": near, "texts": texts[max(told_first.iloc[i], told.iloc[i] - TEXTS):told.iloc[i]],
+            "at": float(ts.iloc[i])})
+    return rows
+
+
+def _columns(memory: dict | None, prefix: str = "") -> dict:
+    if memory is None:
+        return {f"{prefix}{c}": None for c in MEMORY}
+    calls = [(t, c) for t, c in memory["steps"] if c is not None]
+    told = {**memory, "recent_at": [t for t, _ in calls], "recent_call": [c for _, c in calls]}
+    return {f"{prefix}{c}": told[c] for c in MEMORY}
+
+
+class _SessionProcessor(StatefulProcessor):
+    def __init__(self, silence_s: float, forget_s: float, timers: bool):
+        self.silence_s, self.forget_s, self.timers = silence_s, max(forget_s, silence_s), timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.session = handle.getValueState("session", TEXT_STATE)
+        self.memory = handle.getValueState("memory", TEXT_STATE)
+
+    def _load(self) -> dict | None:
+        return json.loads(self.memory.get()[0]) if self.memory.exists() else None
 
-    def _load(self) -> dict:
-        return json.loads(self.session.get()[0]) if self.session.exists() else fresh_session()
+    def _frame(self, key, ids, now: list[dict], was: list[dict | None]) -> pd.DataFrame:
+        rows = [{"tenant_id": key[0], "session_id": key[1], "event_id": i, **_columns(n), **_columns(w, "was_")}
+                for i, n, w in zip(ids, now, was, strict=True)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in MEMORY_ROW.split(", ")], dtype=object)
 
-    def _row(self, key, s: dict, event_id, now: float) -> dict:
-        v = judge_session(s, self.policy, now)
-        row = {"tenant_id": key[0], "session_id": key[1], "event_id": event_id, "ts": now, **v,
-               "changed": v["state"] != s["state"]}
-        s["state"] = v["state"]
-        return row
+    def _wake_at(self, seconds: float) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(int(seconds * 1000) + 1)  # not before the time, which timers cut to milliseconds
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s, out = self._load(), []
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        for e in batch.to_dict("records"):
-            take_event(s, e)
-            out.append(self._row(key, s, int(e["event_id"]), float(e["ts"])))
-        self.session.update((json.dumps(s),))
+        held = self._load()
+        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], ignore_index=True)
+        made = remembered(held, batch)
+        self.memory.update((json.dumps(made[-1]),))
         if self.timers:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(int((s["last"] + self.policy["silence_s"]) * 1000))
-        yield pd.DataFrame(out, columns=VERDICT.names)
+            self._wake_at(made[-1]["ts"] + self.silence_s)
+        yield self._frame(key, batch["event_id"].tolist(), made, [held, *made[:-1]])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        s = self._load()
-        if s["last"] is None:
+        held, at = self._load(), expiredTimerInfo.getExpiryTimeInMs() / 1000.0
+        if held is None:
             return
-        now = expiredTimerInfo.getExpiryTimeInMs() / 1000.0
-        row = self._row(key, s, None, now)
-        self.session.update((json.dumps(s),))
-        yield pd.DataFrame([row], columns=VERDICT.names)
+        if at - held["ts"] >= self.forget_s:
+            self.memory.clear()
+            return
+        quiet = {**held, "at": at}
+        self.memory.update((json.dumps(quiet),))
+        self._wake_at(held["ts"] + self.forget_s)
+        yield self._frame(key, [None], [quiet], [held])
 
     def close(self) -> None:
         pass
 
 
+def _judged(rows: DataFrame, prefix: str, policy: Mapping[str, Column], baselines: DataFrame | None) -> DataFrame:
+    """The batch judgement of the memory whose columns have ``prefix``."""
+    for c in MEMORY:
+        rows = rows.withColumnRenamed(f"{prefix}{c}", c) if prefix else rows
+    cost = seconds = F.lit(None).cast("double")
+    if baselines is not None:
+        known = baselines.select(F.col("model_id").alias("_model"), "expected_cost_usd", "expected_seconds")
+        rows = rows.join(known, F.col("model_id") == F.col("_model"), "left")
+        cost, seconds = F.col("expected_cost_usd"), F.col("expected_seconds")
+    return judge_state(measured(rows), policy, now=F.col("at"), expected_cost=cost, expected_seconds=seconds)
+
+
 def stream_stalls(
-    events: DataFrame, policy: Mapping | None = None, *, time_mode: str = "EventTime",
-    lateness: str = "1 minute",
+    events: DataFrame, policy: Mapping | None = None, baselines: DataFrame | None = None, *,
+    time_mode: str = "EventTime", lateness: str = "1 minute", forget_s: float = FORGET_S,
 ) -> DataFrame:
     """A verdict per event as in the batch operator, and one more when a session falls silent
-    (``event_id`` NULL). ``time_mode`` 'None' turns the silence timer off."""
-    timers = time_mode != "None"
+    (``event_id`` NULL); ``changed`` tells a new state. ``baselines`` is a table of (model_id,
+    expected_cost_usd, expected_seconds). ``time_mode`` 'None' turns the silence timer off."""
+    timers, wanted = time_mode != "None", {**POLICY_DEFAULTS, **(policy or {})}
     rows = events.withColumn("cost_usd", F.col("cost_usd").cast("double"))
     if time_mode == "EventTime":
         rows = rows.withColumn("_at", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long"))
                                ).withWatermark("_at", lateness)
-    return rows.groupBy("tenant_id", "session_id").transformWithStateInPandas(
-        _StallProcessor(policy or {}, timers), VERDICT, "Append", time_mode)
+    memory = rows.groupBy("tenant_id", "session_id").transformWithStateInPandas(
+        _SessionProcessor(wanted["silence_s"], forget_s, timers), MEMORY_ROW, "Append", time_mode)
+    columns, keys = policy_columns(policy), ["tenant_id", "session_id", "event_id"]
+    now = F.struct(*MEMORY)
+    was = _judged(memory.select(*keys, now.alias("_now"), *(f"was_{c}" for c in MEMORY)), "was_", columns, baselines)
+    was_state = F.when(F.col("at").isNull(), "ok").otherwise(F.col("state"))
+    told = _judged(was.select(*keys, was_state.alias("_was"), "_now.*"), "", columns, baselines)
+    return told.select(
+        "tenant_id", "session_id", "event_id", F.col("at").alias("ts"), "state", F.col("score").cast("long").alias("score"),
+        "reasons", "spent_usd", F.col("tool_loops").cast("long").alias("tool_loops"), "repeat_ratio", "working_hard",
+        (F.col("state") != F.col("_was")).alias("changed"))
 
 
 CAP_ROW = T.StructType([
