@@ -29,7 +29,8 @@ _PIECE = 2 << 20
 
 
 def _single_edges(read: DataFrame, shared: DataFrame, window: int) -> DataFrame:
-    """Every edge of ``shared`` stretches: two hashes of its words, and where it starts."""
+    """Every edge of ``shared`` stretches: two hashes of its words, where it starts, and where it starts first in
+    its own document."""
     lists = shared.groupBy(F.col("doc").alias("_d"), F.col("print").alias("_p")).agg(
         F.collect_list(F.struct("start", "count")).alias("_list"))
     held = read.join(lists, (F.col("_doc") == F.col("_d")) & (F.col("_print") == F.col("_p")), "left").select(
@@ -43,37 +44,34 @@ def _single_edges(read: DataFrame, shared: DataFrame, window: int) -> DataFrame:
                 out = []
                 for places, doc, print_, text in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                     letters = windows.word_letters(large.decompress(text))
-                    at = np.concatenate([p["start"] + np.arange(p["count"]) for p in places])
-                    one, two = (windows.Hashes(letters, b) for b in windows.BASES)
-                    out.append((one.of(at, at + window), two.of(at, at + window), np.full(len(at), doc),
-                                np.full(len(at), print_, np.int32), at))
+                    at = np.sort(np.concatenate([p["start"] + np.arange(p["count"]) for p in places]))
+                    one, two = (windows.Hashes(letters, b).of(at, at + window) for b in windows.BASES)
+                    order = np.lexsort((at, two, one))
+                    new = np.ones(len(at), bool)
+                    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+                    own = np.empty_like(at)
+                    own[order] = at[order][new][np.cumsum(new) - 1]
+                    out.append((one, two, np.full(len(at), doc), np.full(len(at), print_, np.int32), at, own))
                 if out:
-                    a, b, doc, print_, at = (np.concatenate(c) for c in zip(*out, strict=True))
+                    a, b, doc, print_, at, own = (np.concatenate(c) for c in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc), pa.array(print_),
-                         pa.array(at)], names=["label", "check", "doc", "print", "start"])
+                         pa.array(at), pa.array(own)], names=["label", "check", "doc", "print", "start", "own"])
 
-    return held.mapInArrow(take, "label long, check long, doc long, print int, start long")
+    return held.mapInArrow(take, "label long, check long, doc long, print int, start long, own long")
 
 
-def _repeated_edges(read: DataFrame, shared: DataFrame, window: int) -> DataFrame:
-    """Single edges that also start earlier, with the earliest place they start at."""
-    edges = _single_edges(read, shared, window)
-    place = F.struct("doc", "print", "start")
+def _repeated_edges(edges: DataFrame) -> DataFrame:
+    """Single edges that also start earlier, with the earliest place in a smaller document or in their own."""
     first = edges.groupBy(F.col("label").alias("_l"), F.col("check").alias("_c")).agg(
-        F.min(place).alias("_first"), F.max(place).alias("_last")).where("_first <> _last")
-    # A copy in the same document needs an earlier start in the same text; one of another text does not count.
-    own = edges.groupBy(F.col("label").alias("_l2"), F.col("check").alias("_c2"), F.col("doc").alias("_d2"),
-                        F.col("print").alias("_p2")).agg(F.min("start").alias("_own"), F.max("start").alias("_most")
-                                                         ).where("_own < _most")
-    found = (edges.join(first, (F.col("label") == F.col("_l")) & (F.col("check") == F.col("_c")))
-             .join(own, (F.col("label") == F.col("_l2")) & (F.col("check") == F.col("_c2"))
-                   & (F.col("doc") == F.col("_d2")) & (F.col("print") == F.col("_p2")), "left"))
-    earlier = (F.col("doc") > F.col("_first.doc")) | (F.coalesce(F.col("start") > F.col("_own"), F.lit(False)))
-    return found.where(earlier).select(
-        "label", "doc", "print", "start", F.lit(1).alias("count"),
-        F.when(F.col("doc") > F.col("_first.doc"), F.col("_first.doc")).otherwise(F.col("doc")).alias("from_doc"),
-        F.when(F.col("doc") > F.col("_first.doc"), F.col("_first.start")).otherwise(F.col("_own")).alias("from_start"))
+        F.min(F.struct("doc", "start")).alias("_first"), F.max("doc").alias("_last"), F.max(F.col("start") - F.col("own"))
+        .alias("_inside")).where((F.col("_first.doc") < F.col("_last")) | (F.col("_inside") > 0))
+    other = F.col("doc") > F.col("_first.doc")
+    return (edges.join(first, (F.col("label") == F.col("_l")) & (F.col("check") == F.col("_c")))
+            .where(other | (F.col("start") > F.col("own")))
+            .select("label", "doc", "print", "start", F.lit(1).alias("count"),
+                    F.when(other, F.col("_first.doc")).otherwise(F.col("doc")).alias("from_doc"),
+                    F.when(other, F.col("_first.start")).otherwise(F.col("own")).alias("from_start")))
 
 
 def compacted(units: DataFrame) -> DataFrame:
@@ -120,8 +118,8 @@ def passages(docs: DataFrame, read: DataFrame, id_col: str = "doc_id", text_col:
         windows.word_letters, window, anchor, within=True).drop("name", "lead"))
     columns = ["label", "doc", "print", "start", "count", "from_doc", "from_start"]
     whole = found.where("copied").withColumnRenamed("context", "label").select(columns)
-    single = _repeated_edges(read, found.where("NOT copied"), window)
-    return compacted(whole.unionByName(single.select(columns)).distinct())
+    single = _repeated_edges(stored(_single_edges(read, found.where("NOT copied"), window)))
+    return compacted(stored(whole.unionByName(single.select(columns)).distinct()))
 
 
 def _digest(window: int):
