@@ -23,12 +23,10 @@ def spark():
 
 @pytest.fixture
 def sliced(spark):
-    """Every key with more than 20 rows counts as hot, whatever the input size."""
-    spark.conf.set("spark.winledger.hotKeyRows", "20")
-    spark.conf.set("spark.winledger.smallInputBytes", "0")
+    """Slices of about 20 rows, so that most keys are cut."""
+    spark.conf.set("spark.winledger.sliceRows", "20")
     yield spark
-    spark.conf.unset("spark.winledger.hotKeyRows")
-    spark.conf.unset("spark.winledger.smallInputBytes")
+    spark.conf.unset("spark.winledger.sliceRows")
 
 
 @pytest.fixture(scope="session")

@@ -18,7 +18,6 @@ TYPE_WEIGHT = 1.0
 """Squared weights of the one-hot blocks."""
 TARGET = 15
 MERGE_ABOVE = 20
-MAX_SEEDS = 100
 
 CELL = ["template", "tool_sig", "out_type", "json_valid", "has_code"]
 
@@ -72,8 +71,7 @@ def cells(features: DataFrame) -> DataFrame:
 
 
 def seed_cells(features: DataFrame, *, min_size: int | None = None) -> DataFrame:
-    """The dense cells, numbered from 1 by size; without any, the largest cell of each of the 100
-    largest templates. One small row per seed, at most 100 unless ``min_size`` is set lower."""
+    """The dense cells, numbered from 1 by size: at most 100 unless ``min_size`` is set lower."""
     grouped = cells(features)
     total = grouped.agg(F.sum("n").alias("_total"))
     if min_size is None:
@@ -83,30 +81,18 @@ def seed_cells(features: DataFrame, *, min_size: int | None = None) -> DataFrame
     sized = grouped.withColumn("_one", F.lit(1)).join(
         F.broadcast(total.withColumn("_one", F.lit(1))), "_one"
     ).drop("_one").withColumn("_dense", F.col("n") >= floor)
-    dense = sized.filter("_dense")
-    by_template = sized.groupBy("template").agg(
-        F.sum("n").alias("n"),
-        F.max_by(
-            F.struct(*[c for c in CELL if c != "template"], "len"),
-            F.struct("n", *[c for c in CELL if c != "template"]),
-        ).alias("c"),
-        F.max("_dense").alias("_any"),
-    )
-    any_dense = sized.agg(F.max("_dense").alias("_found")).withColumn("_one", F.lit(1))
-    largest = (
-        by_template.withColumn("_one", F.lit(1)).join(F.broadcast(any_dense), "_one")
-        .filter(~F.col("_found"))
-        .orderBy(F.col("n").desc(), "template").limit(MAX_SEEDS)
-        .select("template", "c.*", "n")
-    )
-    seeds = dense.select(*CELL, "len", "n").unionByName(largest.select(*CELL, "len", "n"))
     order = Window.orderBy(F.col("n").desc(), *CELL)
-    return seeds.withColumn("label", F.row_number().over(order))
+    return sized.filter("_dense").select(*CELL, "len", "n").withColumn("label", F.row_number().over(order))
 
 
 def density_clusters(features: DataFrame, *, min_size: int | None = None) -> DataFrame:
-    """Features with ``label``: the nearest seed (itself for tasks of a dense cell)."""
+    """Features with ``label``: the nearest dense cell (itself for its own tasks). Where no cell is dense,
+    every template is a cluster of its own, numbered by size; ``merge_clusters`` joins them further."""
     seeds = seed_cells(features, min_size=min_size)
+    if seeds.isEmpty():
+        sizes = features.groupBy(F.col("template").alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+        numbered = sizes.withColumn("label", F.row_number().over(Window.orderBy(F.col("_n").desc(), "_t")))
+        return features.join(numbered, F.col("template").eqNullSafe(F.col("_t")), "left").drop("_t", "_n")
     # At most 100 small structs: attached to every row as one array.
     listed = seeds.agg(
         F.array_sort(F.collect_list(F.struct("label", *CELL, "len"))).alias("_seeds")
@@ -137,8 +123,8 @@ def density_clusters(features: DataFrame, *, min_size: int | None = None) -> Dat
 def _grams(labelled: DataFrame) -> dict[str, dict[tuple[int, int], float]]:
     """Per category: the sum over its values of n_a * n_b for every pair of labels sharing one.
 
-    Values are counted per label first. A value occurs under at most ``MAX_SEEDS`` labels, so the
-    list per value is short and the result has at most 3 * MAX_SEEDS^2 numbers."""
+    Values are counted per label first. The result has three numbers for each
+    pair of labels that share a value."""
     dims = F.array(*[
         F.struct(F.lit(name).alias("dim"), F.col(name).alias("value"))
         for name in ("template", "tool_sig", "out_type")

@@ -5,26 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winledger.plans.ordered import known_bytes
 from winledger.schema import TRACE
 
 
-ROW_KEYS = {
-    "lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id",
-    "conversations": "conv_id",
-}
-SPREAD_BELOW_BYTES = 64 * 1024 * 1024
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. A large one is read in the splits its files give; a small one is a single
-    split, which is spread over the cores by its row key."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name not in ROW_KEYS or df.isStreaming:
-        return df
-    if not 1024 * 1024 < known_bytes(df) < SPREAD_BELOW_BYTES:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism, ROW_KEYS[name])
+    """A driver table, in the splits its files give."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _named(prefix: str, number) -> F.Column:

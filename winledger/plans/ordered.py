@@ -1,13 +1,14 @@
 """Ordered per-key computations that stay parallel when one key is very large.
 
-A plain ``Window.partitionBy(key).orderBy(...)`` puts a whole key in one task. That is what runs
-when the input is small, or when a count shows no key above the limit. Otherwise each hot key is
-cut into order-preserving slices, every slice is scanned on its own, and what earlier or later
-slices contribute (a neighbouring row, a sum, a running minimum) comes from a small per-slice
-summary. Results equal those of the plain window.
-
-Cut points come from a hash-chosen sample of the hot rows, so they are a pure function of the data.
-Only the cut points are sampled, never the result.
+A plain ``Window.partitionBy(key).orderBy(...)`` puts a whole key in one task. Here every key is cut into
+order-preserving slices of about ``spark.winledger.sliceRows`` rows: a row is a cut point if the hash of its
+key and place says so, so a key has as many slices as its rows ask for and most keys have one. Each slice is
+scanned on its own, and what earlier or later slices contribute (a neighbouring row, a sum, a running
+minimum) comes from a small per-slice summary. The plan is the same at every size, and results equal those
+of the plain window.
+
+Cut points are a pure function of the data and stay in tables that are joined; nothing comes to the driver.
+The input is written to the checkpoint folder once, as several parts of the plan read it.
 """
 
 from __future__ import annotations
@@ -17,71 +18,33 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000
-"""A key with more rows is sliced (``spark.winledger.hotKeyRows``)."""
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-"""Inputs known to be smaller skip the count (``spark.winledger.smallInputBytes``)."""
-MAX_SLICES = 256
-_SAMPLES_PER_SLICE = 32
-_HASH_SPACE = 1_000_000_000
+from winledger.session import ensure_checkpoint_dir
+
+SLICE_ROWS = 1_000_000
+"""Rows of a slice on average (``spark.winledger.sliceRows``)."""
+_BLOCK = 64  # cut points looked through at a time
 
 SLICE = "_slice"
 
 Exprs = Mapping[str, Column] | None
 
 
-def _setting(df: DataFrame, name: str, default: int) -> int:
-    return int(df.sparkSession.conf.get(f"spark.winledger.{name}", str(default)))
-
-
-def known_bytes(df: DataFrame) -> float:
-    """Size of everything the plan reads, from table statistics; infinite when unknown."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        sizes = [int(leaves.apply(i).stats().sizeInBytes().toString())
-                 for i in range(leaves.size())]
-        return float(sum(sizes))
-    except Exception:  # a remote session has no local plan
-        return float("inf")
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Keys with more than ``limit`` rows: at most rows / limit of them."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-
-
-def _cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame | None:
-    """A small table (keys, _cuts) of slice boundaries for hot keys, or None without any."""
-    if known_bytes(df) <= _setting(df, "smallInputBytes", SMALL_INPUT_BYTES):
-        return None
-    limit = _setting(df, "hotKeyRows", HOT_ROWS)
-    slim = df.select(*keys, *[c for c in order if c not in keys])
-    found = hot_keys(slim, keys, limit).collect()
-    if not found:
-        return None
-    spark = df.sparkSession
-    hot = spark.createDataFrame(found, hot_keys(slim, keys, limit).schema).withColumn(
-        "_k", F.least(F.lit(MAX_SLICES), F.ceil(F.col("_n") * 2 / F.lit(limit))).cast("int")
-    )
-    point = F.struct(*[F.col(c) for c in order])
-    chosen = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(_HASH_SPACE)) < (
-        F.lit(float(_HASH_SPACE)) * _SAMPLES_PER_SLICE * F.col("_k") / F.col("_n")
-    )
-    # Per hot key about MAX_SLICES * _SAMPLES_PER_SLICE points are gathered, whatever its size.
-    table = (
-        slim.join(F.broadcast(hot), list(keys))
-        .filter(chosen)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(point)).alias("_pts"), F.first("_k").alias("_k"))
-        .select(
-            *keys,
-            F.expr(
-                "array_distinct(transform(sequence(1, greatest(_k - 1, 1)), "
-                "i -> _pts[cast(floor(i * size(_pts) / greatest(_k, 2)) as int)]))"
-            ).alias("_cuts"),
-        )
-    )
-    return spark.createDataFrame(table.collect(), table.schema)
+def held(df: DataFrame) -> DataFrame:
+    """The rows as files in the shared checkpoint folder, for parts of a plan that read them again."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Keys that have cut points, with ``_cuts``: the points in order, in blocks."""
+    every = int(df.sparkSession.conf.get("spark.winledger.sliceRows", str(SLICE_ROWS)))
+    places = list(dict.fromkeys([*keys, *order]))
+    marks = df.select(*places).filter(F.pmod(F.xxhash64(*places), F.lit(every)) == 0)
+    points = marks.groupBy(*keys).agg(
+        F.array_sort(F.collect_set(F.struct(*[F.col(c) for c in order]))).alias("_points"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_points") - 1) / _BLOCK).cast("int")),
+                         lambda i: F.slice("_points", i * _BLOCK + 1, _BLOCK))
+    return points.select(*keys, blocks.alias("_cuts"))
 
 
 class Ordered:
@@ -94,17 +57,17 @@ class Ordered:
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]):
         self.keys, self.order = list(keys), list(order)
-        cuts = _cuts(df, keys, order)
-        self.sliced = cuts is not None
-        if self.sliced:
-            point = F.struct(*[F.col(c) for c in order])
-            place = F.size(F.filter(F.col("_cuts"), lambda c: c <= point))
-            df = (
-                df.join(F.broadcast(cuts), self.keys, "left")
-                .withColumn(SLICE, F.when(F.col("_cuts").isNotNull(), place))
-                .drop("_cuts")
-            )
-        self.df = df
+        rows = held(df)
+        point = F.struct(*[F.col(c) for c in order])
+        below = lambda cuts: F.size(F.filter(cuts, lambda c: c <= point))
+        block = below(F.transform("_cuts", lambda b: b[0]))
+        place = F.when(block == 0, 0).otherwise((block - 1) * _BLOCK + below(F.get("_cuts", block - 1)))
+        self.df = (
+            rows.join(_cuts(rows, keys, order), self.keys, "left")
+            .withColumn(SLICE, F.when(F.col("_cuts").isNotNull(), place))
+            .drop("_cuts")
+        )
+        self.steps = 0
 
     def map(self, change) -> Ordered:
         """Apply a row-wise change that keeps keys and order columns."""
@@ -112,12 +75,16 @@ class Ordered:
         return self
 
     def result(self) -> DataFrame:
-        return self.df.drop(SLICE) if self.sliced else self.df
+        return self.df.drop(SLICE)
 
     def _window(self):
-        return Window.partitionBy(*self.keys, *([SLICE] if self.sliced else [])).orderBy(
-            *self.order
-        )
+        return Window.partitionBy(*self.keys, SLICE).orderBy(*self.order)
+
+    def _again(self) -> None:
+        """Before a further step: what was added is written once, as the step reads it twice."""
+        if self.steps:
+            self.df = held(self.df)
+        self.steps += 1
 
     @staticmethod
     def _local(kind: str, value: Column, window) -> Column:
@@ -148,20 +115,15 @@ class Ordered:
         ]
         if not wanted:
             return self
+        self._again()
         window = self._window()
-        if not self.sliced:
-            self.df = self.df.select(
-                "*", *[self._local(kind, value, window).alias(n) for kind, n, value in wanted]
-            )
-            return self
-
         columns = self.df.columns
         base = self.df.select("*", *[v.alias(f"_in_{n}") for _, n, v in wanted])
         local = base.select(
             "*",
             *[self._local(k, F.col(f"_in_{n}"), window).alias(f"_at_{n}") for k, n, _ in wanted],
-            F.lag(F.lit(1)).over(window).isNull().alias("_opens"),
-            F.lead(F.lit(1)).over(window).isNull().alias("_closes"),
+            F.lag(F.lit(1)).over(window).isNull().alias("_slice_opens"),
+            F.lead(F.lit(1)).over(window).isNull().alias("_slice_closes"),
         )
         point = F.struct(*[F.col(c) for c in self.order])
 
@@ -200,7 +162,7 @@ class Ordered:
         def combined(kind: str, n: str) -> Column:
             here, pre = F.col(f"_at_{n}"), F.col(f"_pre_{n}")
             if kind in ("lag", "lead"):
-                edge = F.col("_opens" if kind == "lag" else "_closes")
+                edge = F.col("_slice_opens" if kind == "lag" else "_slice_closes")
                 return F.when(edge & pre.isNotNull(), pre["v"]).otherwise(here)
             if kind == "sum":
                 return F.when(pre.isNull(), here).when(here.isNull(), pre).otherwise(here + pre)
@@ -216,14 +178,12 @@ class Ordered:
 
     def _add_recent(self, name: str, value: Column, k: int) -> None:
         # Wrapped, so that NULL values keep their place.
+        self._again()
         boxed = F.struct(value.alias("v"))
         frame = self._window().rowsBetween(-(k - 1), 0)
         unbox = lambda c: F.transform(c, lambda b: b["v"])
         columns = self.df.columns
         local = self.df.withColumn(name, F.collect_list(boxed).over(frame))
-        if not self.sliced:
-            self.df = local.withColumn(name, unbox(F.col(name)))
-            return
         point = F.struct(*[F.col(c) for c in self.order])
         backwards = Window.partitionBy(*self.keys, SLICE).orderBy(
             *[F.col(c).desc() for c in self.order]
@@ -236,10 +196,8 @@ class Ordered:
             .groupBy(*self.keys, SLICE)
             .agg(F.array_sort(F.collect_list(F.struct("_p", "_b"))).alias("_t"))
         )
-        earlier = Window.partitionBy(*self.keys).orderBy(SLICE).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        # At most MAX_SLICES lists of k entries per key.
+        # Every slice has a row, so the k - 1 before it hold all that can count.
+        earlier = Window.partitionBy(*self.keys).orderBy(SLICE).rowsBetween(-(k - 1), -1)
         before = tails.select(
             *self.keys, SLICE,
             F.transform(F.flatten(F.collect_list("_t").over(earlier)), lambda e: e["_b"])
