@@ -332,3 +332,15 @@ def test_small_resample_keeps_the_card(spark):
     assert after.head()["score"] == 80.0 and after.head()["history"] == [80.0]
     after, _, _ = market.grading_tick(cards(20), catalog, known, new, now, budget=1)
     assert after.head()["score"] == 10.0 and after.head()["history"] == [80.0, 10.0]
+
+
+def test_spaced_arguments(spark):
+    import json
+
+    from winledger.sources.events import BETWEEN_PARTS
+
+    values = [{"a": 1, "b": ["x,y", "q:\"r\\", {"c": None}]}, [], {}, "s", 3, {"k": "v, w: \\\" z"}]
+    rows = [(json.dumps(v, separators=(",", ":"), sort_keys=True), json.dumps(v, sort_keys=True)) for v in values]
+    got = spark.createDataFrame(rows, "compact string, spaced string").select(
+        (F.regexp_replace("compact", BETWEEN_PARTS, "$1$2 ") == F.col("spaced")).alias("same")).collect()
+    assert all(r["same"] for r in got)

@@ -22,6 +22,7 @@ from winledger.functions.rules import (
 from winledger.functions.stats import proportion
 from winledger.operators.checks import grade_outputs
 from winledger.operators.metrics import core_metrics
+from winledger.plans.ordered import ranked
 
 PROVISIONAL_MIN_N = 30
 CONFIRMED_MIN_N = 600
@@ -178,12 +179,10 @@ def diff_catalog(current: DataFrame, known: DataFrame) -> DataFrame:
     )
     rows = both.withColumn("change", change).filter(F.col("change").isNotNull())
     rank = F.when(F.col("change") == "new", 0).when(F.col("change") == "upgraded", 1).otherwise(2)
-    # Catalog rows: thousands at most.
-    order = Window.orderBy(rank, "model_id", "provider")
-    return rows.select(
+    placed = ranked(rows, {"_o1": rank, "_o2": F.col("model_id"), "_o3": F.coalesce("provider", F.lit(""))}, "ordinal")
+    return placed.select(
         F.coalesce("provider", F.lit("unknown")).alias("provider"), "model_id", "change",
-        "previous_version", "current_version",
-        F.row_number().over(order).alias("ordinal"),
+        "previous_version", "current_version", "ordinal",
         (F.col("change") != "removed").alias("needs_grading"),
     )
 
@@ -206,10 +205,13 @@ def rotate(
     fresh = (F.coalesce("_n", F.lit(0)) == 0)
     order = Window.partitionBy("provider").orderBy(fresh.desc(), "position", "model_id")
     limit = F.try_element_at(cap, F.col("provider"))
-    return (
-        rows.withColumn("_r", F.row_number().over(order))
-        .filter(limit.isNull() | (F.col("_r") <= limit)).drop("_r", "_n")
+    most = max(limits.values(), default=0)
+    # Only capped providers are ranked, and no task sends on more of one than the largest cap.
+    capped = (
+        rows.filter(limit.isNotNull()).withColumn("_r", F.row_number().over(order))
+        .filter(F.col("_r") <= most).filter(F.col("_r") <= limit).drop("_r", "_n")
     )
+    return capped.unionByName(rows.filter(limit.isNull()).drop("_n"))
 
 
 # -------------------------------------------------------------------- grades
@@ -271,11 +273,10 @@ def grading_tick(
         "model_id", hot.alias("changed"),
         F.when(~hot, F.col("updated_at")).alias("_since"),
     )
-    # One row per model.
-    turn = F.row_number().over(
-        Window.orderBy(F.col("changed").desc(), F.col("_since").asc_nulls_first(), "model_id"))
     slots = int(round(float(budget) / float(est), 9))
-    queue = due.withColumn("position", turn).withColumn("graded", turn <= slots).drop("_since")
+    since = F.coalesce(F.unix_micros("_since"), F.lit(-(1 << 63)))
+    queue = ranked(due, {"_o1": (~F.col("changed")).cast("int"), "_o2": since, "_o3": F.col("model_id")}, "position"
+                   ).withColumn("graded", F.col("position") <= slots).drop("_since")
 
     new = grades.join(queue.filter("graded").select("model_id"), "model_id", "left_semi").select(
         "model_id", F.struct(*[
@@ -385,9 +386,8 @@ def composite_index(cards: DataFrame) -> DataFrame:
 def feed_rows(cards: DataFrame, live: DataFrame) -> DataFrame:
     """Rows of the public feed: badges (all measured, ranked), grade moves (top 15), new models
     (at most 7 days old, 15 youngest)."""
-    # One row per model.
-    rank = F.row_number().over(Window.orderBy(F.col("score").desc(), "model_id"))
-    rows = measured_cards(cards).withColumn("rank", rank)
+    rows = ranked(measured_cards(cards), {
+        "_o1": F.coalesce(-F.col("score"), F.lit(float("inf"))), "_o2": F.col("model_id")})
     h = F.col("history")
     move = F.when(F.size(h) >= 2, F.element_at(h, -1) - F.get(h, F.size(h) - 2)).otherwise(0.0)
     badge = rows.select(
@@ -399,7 +399,7 @@ def feed_rows(cards: DataFrame, live: DataFrame) -> DataFrame:
     age = F.when(F.col("age_days") == 0, 999).otherwise(F.col("age_days"))
     young = live.filter(F.coalesce(age, F.lit(999)) <= 7)
     place = F.row_number().over(Window.orderBy("age_days", "position", "id"))
-    new = young.withColumn("rank", place).filter("rank <= 15").select(
+    new = young.orderBy("age_days", "position", "id").limit(15).withColumn("rank", place).select(
         F.lit("new").alias("kind"), "rank", F.col("id").alias("model_id"),
         F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("delta"),
         F.lit(None).cast("double").alias("cpat_usd"))
@@ -414,8 +414,7 @@ def auto_pick(cards: DataFrame, connected: Sequence[str]) -> DataFrame:
     served = provider_of(F.col("model_id"))
     rows = cards.filter(ok & served.isin(*connected)).select(
         "model_id", "score", cpat.alias("cpat_usd"))
-    order = Window.orderBy(F.rint("score").desc(), "cpat_usd", "model_id")
-    return rows.withColumn("rank", F.row_number().over(order))
+    return ranked(rows, {"_o1": -F.rint("score"), "_o2": F.col("cpat_usd"), "_o3": F.col("model_id")})
 
 
 def route(candidates: DataFrame, *, min_grade: float = 0.0, prefer_free: bool = True) -> DataFrame:
@@ -461,8 +460,9 @@ def radar(retirements: DataFrame, grades: DataFrame, today: Column) -> DataFrame
         "urgency", urgency).join(options, ["provider", "model_id"], "left")
     rank = F.array_position(
         F.array(*[F.lit(u) for u in ("critical", "soon", "watch", "clear", "retired")]), F.col("urgency"))
-    order = Window.orderBy(rank, "days_left", "provider", "model_id")
-    return rows.withColumn("ordinal", F.row_number().over(order)).withColumn(
+    soonest = F.coalesce("days_left", F.lit(-(1 << 31)))
+    return ranked(rows, {"_o1": rank, "_o2": soonest, "_o3": F.coalesce("provider", F.lit("")),
+                         "_o4": F.col("model_id")}, "ordinal").withColumn(
         "actionable", F.col("urgency").isin("critical", "soon"))
 
 
@@ -472,8 +472,11 @@ def picker_rows(market: DataFrame, *, cap: int = 40) -> DataFrame:
     hint = F.coalesce(*[F.when(F.col("id").startswith(h), F.lit(i))
                         for i, h in enumerate(FLAGSHIPS)])
     rows = market.withColumn("_hint", F.when(~F.col("free"), hint))
-    first = Window.partitionBy("_hint").orderBy("position")
-    rows = rows.withColumn("_flag", F.col("_hint").isNotNull() & (F.row_number().over(first) == 1))
+    # One row for each flagship family.
+    firsts = rows.filter(F.col("_hint").isNotNull()).groupBy(F.col("_hint").alias("_h")).agg(
+        F.min("position").alias("_first"))
+    rows = rows.join(F.broadcast(firsts), F.col("_hint") == F.col("_h"), "left").withColumn(
+        "_flag", F.coalesce(F.col("position") == F.col("_first"), F.lit(False)))
     group = (
         F.when(F.col("age_days") <= NEW_DAYS, 0).when(F.col("free"), 1).when(F.col("_flag"), 2)
     )
@@ -490,7 +493,7 @@ def picker_rows(market: DataFrame, *, cap: int = 40) -> DataFrame:
         F.when(F.contains(F.col("modalities"), F.lit("image")), "vision"),
         F.when(F.col("context") >= 1_000_000, "1M ctx"))), " · ")
     return (
-        once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap)
+        once.orderBy("_g", "position", "id").limit(cap).withColumn("rank", F.row_number().over(order))
         .select("rank", "id", "name", F.lit("openrouter").alias("provider"), tag.alias("tag"))
     )
 

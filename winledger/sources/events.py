@@ -198,6 +198,10 @@ def shingles(text: Column, salt: str, size: int = 5) -> Column:
         F.sha2(F.concat(F.lit(salt), g), 256), 1, 16))
 
 
+# A comma or colon between parts of compact JSON, with what stands before it.
+BETWEEN_PARTS = r'((?:"(?:[^"\\]|\\.)*+"|[^",:])*+)([,:])'
+
+
 def normalize(events: DataFrame, tenant_id: str, salt: str) -> DataFrame:
     """Valid raw events as traces: ids, times, counts and salted fingerprints, no content."""
     messages = F.coalesce("messages", F.array().cast(events.schema["messages"].dataType))
@@ -215,8 +219,8 @@ def normalize(events: DataFrame, tenant_id: str, salt: str) -> DataFrame:
     v = F.col("verification")
 
     def call(c: Column) -> Column:
-        # Variant objects keep their keys sorted, so equal arguments give equal text.
-        args = F.coalesce(F.to_json(c["args"]), F.lit("null"))
+        # Variant objects keep their keys sorted, so equal arguments give equal text; a blank follows ',' and ':'.
+        args = F.regexp_replace(F.coalesce(F.to_json(c["args"]), F.lit("null")), BETWEEN_PARTS, "$1$2 ")
         return F.struct(
             slugify(c["name"]).alias("name"),
             fingerprint(args, salt).alias("args_fingerprint"),
