@@ -227,3 +227,15 @@ with C0 as (select conv_id, turn, role, case conv_id % 5 when 2 then concat(text
 select conv_id, turn, role, len(content) as chars, md5(content) as digest from nz""")
 def s13_parse(spark, sf_dir):
     return _digest(chats.parse_any(_mixed(spark, sf_dir)))
+
+
+@query("S13_conversations", """
+with F as (select conv_id, left(trim(arg_min(text, turn), E' \\t\\n'), 80) as opening from conversations
+  where trim(text, E' \\t\\n') <> '' group by conv_id)
+select conv_id, case conv_id % 5 when 0 then 'A title' when 1 then 'n' when 2 then 't' when 3 then cast(conv_id as varchar)
+    else opening end as title, case conv_id % 5 when 0 then 'proj' else '' end as project,
+  case conv_id % 5 when 0 then '2024-05-06' when 1 then '2024-02-03' when 2 then '2023-11-14' else '' end as "when"
+from F""")
+def s13_conversations(spark, sf_dir):
+    c = chats.conversations(_mixed(spark, sf_dir))
+    return c.select(F.regexp_extract("conv_id", r"/chats/(\d+)", 1).cast("long").alias("conv_id"), "title", "project", "when")

@@ -141,7 +141,7 @@ def parse_session_logs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         first_of(F.col("cwd")).alias("cwd"),
         first_of(F.col("timestamp")).alias("_when"),
     )
-    stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    stem = _stem(F.col("path"))
     opening = F.substring(F.split("_first", LINE_BREAK)[0], 1, 80)
     fallback = F.coalesce(F.nullif(F.substring(stem, 1, 12), F.lit("")), F.lit("session"))
     folder = F.regexp_replace(F.regexp_extract("path", r"([^/]*)/[^/]*$", 1), "-", "/")
@@ -337,3 +337,36 @@ def parse_any(files: DataFrame) -> DataFrame:
         p = p.select(*shape).withColumn("turn", F.col("turn").cast("long"))
         out = p if out is None else out.unionByName(p)
     return out
+
+
+def _stem(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
+
+
+def _heads(turns: DataFrame) -> DataFrame:
+    """One row per conversation: its title, else the first 80 characters of its first turn that says something."""
+    said = strip_blank(F.col("content"))
+    named = F.nullif(strip_blank(F.coalesce("title", F.lit(""))), F.lit(""))
+    return turns.groupBy("conv_id").agg(
+        F.max(named).alias("_named"), F.max("when").alias("when"),
+        F.min_by(F.substring(said, 1, 80), F.when(said != "", F.col("turn"))).alias("_first"),
+    ).select("conv_id", F.coalesce("_named", "_first", F.lit("")).alias("title"), F.lit("").alias("project"),
+             F.coalesce("when", F.lit("")).alias("when"))
+
+
+def conversations(files: DataFrame) -> DataFrame:
+    """Every conversation of the files, of any recognised format: conv_id, title, project, when ('' if unknown).
+
+    Exports and message lists without a title go by their first turn, transcripts by the name of their file."""
+    tagged = detect_format(files)
+
+    def of(name: str) -> DataFrame:
+        return tagged.filter(F.col("format") == name).drop("format")
+
+    listed = parse_messages(of("messages")).withColumn("when", F.lit(""))
+    told = parse_transcripts(of("transcript")).withColumns({"title": _stem(F.col("conv_id")), "when": F.lit("")})
+    shape = ["conv_id", "title", "project", "when"]
+    out = parse_session_logs(of("session_log"))[1].select(*shape)
+    for turns in (parse_chat_export_a(of("export_a")), parse_chat_export_b(of("export_b")), listed, told):
+        out = out.unionByName(_heads(turns).select(*shape))
+    return out
