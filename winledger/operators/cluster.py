@@ -26,6 +26,11 @@ def tool_signature(names: Column) -> Column:
     return F.when(F.size(names) > 0, F.array_join(names, ">")).otherwise(F.lit("<none>"))
 
 
+def needed() -> dict[str, Column]:
+    """The columns of an attempt that ``task_features`` reads."""
+    return {c: F.col(c) for c in ("input_shape", "tool_calls", "output_shape")}
+
+
 def task_features(representatives: DataFrame) -> DataFrame:
     """The categories and the scaled length of each task's representative attempt."""
     return representatives.select(

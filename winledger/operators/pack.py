@@ -5,7 +5,7 @@ Each section is one grouped job over all clusters. ``tasks`` carry ``cluster_id`
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,13 +22,13 @@ COST_STRATA = 3
 
 
 def winners(
-    tasks: DataFrame, task_attempts: DataFrame, *, measured_only: bool = False
+    tasks: DataFrame, task_attempts: DataFrame, columns: Mapping[str, Column], *, measured_only: bool = False
 ) -> DataFrame:
-    """The last passing attempt of each task, with the task's cluster and cost."""
+    """``columns`` of the last passing attempt of each task, with the task's cluster and cost."""
     info = tasks.filter(F.col("cluster_id").isNotNull()).select(
         "tenant_id", "task_id", "cluster_id", "total_cost_usd"
     )
-    return last_passing(task_attempts, measured_only=measured_only).join(
+    return last_passing(task_attempts, columns, measured_only=measured_only).join(
         info, ["tenant_id", "task_id"]
     )
 
@@ -56,12 +56,12 @@ def nearest_rank_percentiles(
 
 def output_contract(tasks: DataFrame, task_attempts: DataFrame) -> DataFrame:
     """What successful outputs of each cluster look like."""
-    won = winners(tasks, task_attempts).select(
-        "cluster_id", "ts_start", "trace_id",
-        F.col("output_shape.type").alias("type"),
-        F.col("output_shape.schema_fingerprint").alias("schema"),
-        F.col("output_shape.json_valid").alias("valid"),
-        F.col("output_shape.n_chars").alias("n_chars"),
+    shape = {"type": "type", "schema": "schema_fingerprint", "valid": "json_valid", "n_chars": "n_chars"}
+    won = winners(tasks, task_attempts, {
+        "ts_start": F.col("ts_start"), "trace_id": F.col("trace_id"),
+        **{name: F.col(f"output_shape.{field}") for name, field in shape.items()},
+    }).select(
+        "cluster_id", "ts_start", "trace_id", *shape,
     )
     kinds = won.groupBy("cluster_id", "type").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("valid"),
@@ -137,7 +137,7 @@ def edge_cases(tasks: DataFrame, task_attempts: DataFrame, contracts: DataFrame)
         "cluster_id",
         F.struct("dominant_type", "dominant_schema_fingerprint", "length").alias("_contract"),
     )
-    found = winners(tasks, task_attempts).join(terms, "cluster_id").select(
+    found = winners(tasks, task_attempts, {"output_shape": F.col("output_shape")}).join(terms, "cluster_id").select(
         "cluster_id", "tenant_id", "task_id", "total_cost_usd",
         F.explode(deviations(F.col("_contract"))).alias("signature"),
     )
@@ -164,8 +164,8 @@ def tool_sequences(tasks: DataFrame, task_attempts: DataFrame) -> DataFrame:
 
     Identical sequences are combined here, before anything is generated from them."""
     return (
-        winners(tasks, task_attempts)
-        .groupBy("cluster_id", F.transform("tool_calls", lambda c: c["name"]).alias("tools"))
+        winners(tasks, task_attempts, {"tools": F.transform("tool_calls", lambda c: c["name"])})
+        .groupBy("cluster_id", "tools")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -248,10 +248,11 @@ def golden_set(
 
     Ranks come from sliced scans, so one cluster may hold most of the tasks."""
     sizes = tasks.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_size"))
-    pool = winners(tasks, task_attempts, measured_only=True).select(
-        "cluster_id", "tenant_id", "task_id", "trace_id", "total_cost_usd",
-        F.col("verification.signal").alias("verifier_spec"),
-        F.col("output_shape.n_chars").alias("output_n_chars"),
+    pool = winners(tasks, task_attempts, {
+        "trace_id": F.col("trace_id"), "verifier_spec": F.col("verification.signal"),
+        "output_n_chars": F.col("output_shape.n_chars"),
+    }, measured_only=True).select(
+        "cluster_id", "tenant_id", "task_id", "trace_id", "total_cost_usd", "verifier_spec", "output_n_chars",
     )
     stats = (
         pool.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_m")).join(sizes, "cluster_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,30 +160,38 @@ def link_attempts(attempts: DataFrame) -> DataFrame:
     )
 
 
-def representative(task_attempts: DataFrame) -> DataFrame:
-    """The attempt that stands for a task: its last passing one, else its last."""
+def _kept(task_attempts: DataFrame, columns: Mapping[str, Column] | None) -> Column:
+    """What is carried of an attempt while one of a task's is chosen: ``columns``, by default all."""
+    if columns is None:
+        columns = {c: F.col(c) for c in task_attempts.columns if c not in ("tenant_id", "task_id")}
+    return F.struct(*[c.alias(n) for n, c in columns.items()])
+
+
+def representative(task_attempts: DataFrame, columns: Mapping[str, Column] | None = None) -> DataFrame:
+    """The attempt that stands for a task: its last passing one, else its last. Only ``columns`` of it
+    are shuffled."""
     rank = F.struct(
         F.coalesce((F.col(STATUS) == "pass").cast("int"), F.lit(0)),
         F.col("ts_start"), F.col("trace_id"),
     )
-    whole = F.struct(*[c for c in task_attempts.columns if c not in ("tenant_id", "task_id")])
     return (
         task_attempts.groupBy("tenant_id", "task_id")
-        .agg(F.max_by(whole, rank).alias("_rep"))
+        .agg(F.max_by(_kept(task_attempts, columns), rank).alias("_rep"))
         .select("tenant_id", "task_id", "_rep.*")
     )
 
 
-def last_passing(task_attempts: DataFrame, *, measured_only: bool = False) -> DataFrame:
-    """Each task's last passing attempt; tasks without one are absent."""
+def last_passing(
+    task_attempts: DataFrame, columns: Mapping[str, Column] | None = None, *, measured_only: bool = False
+) -> DataFrame:
+    """Each task's last passing attempt, of which only ``columns`` are shuffled; tasks without one are absent."""
     ok = F.col(STATUS) == "pass"
     if measured_only:
         ok = ok & (F.col("verification.evidence_grade") == "measured")
-    whole = F.struct(*[c for c in task_attempts.columns if c not in ("tenant_id", "task_id")])
     return (
         task_attempts.filter(ok)
         .groupBy("tenant_id", "task_id")
-        .agg(F.max_by(whole, at()).alias("_rep"))
+        .agg(F.max_by(_kept(task_attempts, columns), at()).alias("_rep"))
         .select("tenant_id", "task_id", "_rep.*")
     )
 

@@ -194,7 +194,7 @@ def w3(spark, sf_dir):
 
 def features(spark, sf_dir):
     t, rows = lineitem_tasks(spark, sf_dir)
-    return t, cluster.task_features(tasks.representative(rows))
+    return t, cluster.task_features(tasks.representative(rows, cluster.needed()))
 
 
 FEATURES_SQL = ad.LINEITEM_SQL + """,
@@ -266,7 +266,7 @@ def c4(spark, sf_dir):
 @query("C_extract_clusters")
 def extract(spark, sf_dir):
     t, rows = lineitem_tasks(spark, sf_dir)
-    clusters, _ = cluster.extract_clusters(t, tasks.representative(rows))
+    clusters, _ = cluster.extract_clusters(t, tasks.representative(rows, cluster.needed()))
     return clusters.select("cluster_id", "n_tasks", num("total_cost_usd", "cost"),
                            num("share_of_cost", "share_of_cost"))
 

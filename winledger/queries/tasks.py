@@ -213,7 +213,7 @@ with {ad.LINEITEM_SQL}, {REP_SQL}
 select tenant_id, task_id, rep_id as trace_id from LR""")
 def w5(spark, sf_dir):
     _, rows = lineitem_tasks(spark, sf_dir)
-    return tasks.representative(rows).select("tenant_id", "task_id", "trace_id")
+    return tasks.representative(rows, {"trace_id": F.col("trace_id")}).select("tenant_id", "task_id", "trace_id")
 
 
 @query("A2_core_metrics", f"""

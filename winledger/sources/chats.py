@@ -25,6 +25,7 @@ SPEAKER = (
     r"(?iU)^\s*(?:\*\*|#+\s*|>\s*)?(user|you|human|me|assistant|ai|claude|chatgpt|gpt|bot|model)"
     r"(?:\*\*)?\s*[:：]\s*"
 )
+# How a text without speakers is introduced and answered.
 MATERIAL_INTRO = "Here is the material I was working on:\n\n"
 MATERIAL_REPLY = "Got it — I have the material. What next?"
 
