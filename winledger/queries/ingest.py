@@ -133,17 +133,19 @@ def s3(spark, sf_dir):
 
 @query("S4_normalize", f"""
 with {GOOD_SQL}
-select concat('00000000-0000-4000-8000-', lpad(cast(event_id as varchar), 12, '0')) as trace_id,
+select case when event_id % 7 <> 0 then concat('00000000-0000-4000-8000-', lpad(cast(event_id as varchar), 12, '0')) end
+    as trace_id,
   'lab-one' as provider, concat('model-', event_id % 4) as model_id, cast(epoch_us(ts) as bigint) as start_us,
   cast(floor(value) as bigint) * 1000 as total_ms, 2 as n_messages, 'my-tool' as tool,
   cast(user_id as varchar) as session_id, cast(floor(value) as bigint) as tok_in, cast(value as double) as cost_usd,
   case when quiet then 'unknown' when event_type in ('purchase','signup') then 'pass' else 'fail' end as status,
   (['json','code','mixed','text'])[event_id % 4 + 1] as out_type
-from OK where event_id % 7 <> 0""")
+from (select *, unnest(range(copies)) as nth from OK)""")
 def s4(spark, sf_dir):
     traces, _ = ev.ingest(spark.read.text(event_files(spark, sf_dir)), TENANT, SALT)
-    return traces.filter(F.length("trace_id") == 36).select(
-        "trace_id", "provider", "model_id", F.unix_micros("ts_start").alias("start_us"),
+    given = F.when(F.col("trace_id").startswith("00000000-"), F.col("trace_id"))  # the others are made of their lines
+    return traces.select(
+        given.alias("trace_id"), "provider", "model_id", F.unix_micros("ts_start").alias("start_us"),
         F.col("latency.total_ms").alias("total_ms"), F.col("input_shape.n_messages").cast("int").alias("n_messages"),
         F.col("tool_calls")[0]["name"].alias("tool"), "session_id", F.col("tokens.input").alias("tok_in"),
         F.col("cost_usd").cast("double").alias("cost_usd"), F.col("verification.status").alias("status"),

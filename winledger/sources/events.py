@@ -146,6 +146,13 @@ def read_events(spark: SparkSession, path: str, *, mode: str = "count") -> tuple
     return parse_events(spark.read.text(path), mode=mode)
 
 
+def named_uuid(*parts: Column) -> Column:
+    """A UUID (version 8: from a digest) that is a function of its parts."""
+    h = F.sha2(F.concat_ws("\x1f", *parts), 256)
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("8"), F.substring(h, 14, 3)),
+                       F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
 def with_ids(events: DataFrame, tenant_id: str) -> DataFrame:
     """Fill missing trace ids from the line and its copy number, so that re-reading a file gives the
     same ids and equal lines stay apart.
@@ -163,8 +170,7 @@ def with_ids(events: DataFrame, tenant_id: str) -> DataFrame:
     spread = blocks.withColumn("_copy", F.explode(F.sequence(
         F.col("_block") * COPIES_PER_ROW + 1,
         F.least(F.col("_n"), (F.col("_block") + 1) * COPIES_PER_ROW))))
-    digest = F.sha2(F.concat_ws("\x1f", F.lit(tenant_id), F.col("_line"), F.col("_copy").cast("string")), 256)
-    given = spread.withColumn("trace_id", digest)
+    given = spread.withColumn("trace_id", named_uuid(F.lit(tenant_id), F.col("_line"), F.col("_copy").cast("string")))
     return named.unionByName(given.select(*events.columns))
 
 

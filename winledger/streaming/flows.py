@@ -35,7 +35,7 @@ def stream_traces(
     copy numbers need all copies at once, which a stream never has."""
     lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
     events, _ = ev.parse_events(lines.select("value"))
-    digest = F.sha2(F.concat_ws("\x1f", F.lit(tenant_id), F.col("_line"), F.lit("1")), 256)
+    digest = ev.named_uuid(F.lit(tenant_id), F.col("_line"), F.lit("1"))
     named = events.withColumn("trace_id", F.coalesce("trace_id", digest))
     traces = ev.normalize(named, tenant_id, salt)
     return traces.withWatermark("ts_start", lateness).dropDuplicatesWithinWatermark(["trace_id"])
