@@ -185,7 +185,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     0 and are linked like any other. Repeated ids give a row each; rows with a null id keep their place in a
     component but never name it (null only where all its ids are null).
     """
-    prints = fingerprints(docs, id_col, text_col, size)
+    prints = cut(fingerprints(docs, id_col, text_col, size))
     return prints.join(_placed(prints, id_col, most), F.col("fingerprint") == F.col("_print"), "left").select(
         id_col, "fingerprint", "component_id")
 
