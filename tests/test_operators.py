@@ -337,10 +337,10 @@ def test_small_resample_keeps_the_card(spark):
 def test_spaced_arguments(spark):
     import json
 
-    from winledger.sources.events import BETWEEN_PARTS
+    from winledger.sources.events import spaced
 
     values = [{"a": 1, "b": ["x,y", "q:\"r\\", {"c": None}]}, [], {}, "s", 3, {"k": "v, w: \\\" z"}]
     rows = [(json.dumps(v, separators=(",", ":"), sort_keys=True), json.dumps(v, sort_keys=True)) for v in values]
     got = spark.createDataFrame(rows, "compact string, spaced string").select(
-        (F.regexp_replace("compact", BETWEEN_PARTS, "$1$2 ") == F.col("spaced")).alias("same")).collect()
+        (spaced(F.col("compact")) == F.col("spaced")).alias("same")).collect()
     assert all(r["same"] for r in got)

@@ -204,8 +204,13 @@ def shingles(text: Column, salt: str, size: int = 5) -> Column:
         F.sha2(F.concat(F.lit(salt), g), 256), 1, 16))
 
 
-# A comma or colon between parts of compact JSON, with what stands before it.
-BETWEEN_PARTS = r'((?:"(?:[^"\\]|\\.)*+"|[^",:])*+)([,:])'
+# What stands before a comma, a colon or the end of compact JSON, strings taken whole, and that mark.
+BETWEEN_PARTS = r'((?:"(?:[^"\\]|\\.)*+"|[^",:])*+)([,:]|\z)'
+
+
+def spaced(compact: Column) -> Column:
+    """Compact JSON with a blank after every comma and colon between its parts."""
+    return F.rtrim(F.regexp_replace(compact, BETWEEN_PARTS, "$1$2 "))
 
 
 def normalize(events: DataFrame, tenant_id: str, salt: str) -> DataFrame:
@@ -226,7 +231,7 @@ def normalize(events: DataFrame, tenant_id: str, salt: str) -> DataFrame:
 
     def call(c: Column) -> Column:
         # Variant objects keep their keys sorted, so equal arguments give equal text; a blank follows ',' and ':'.
-        args = F.regexp_replace(F.coalesce(F.to_json(c["args"]), F.lit("null")), BETWEEN_PARTS, "$1$2 ")
+        args = spaced(F.coalesce(F.to_json(c["args"]), F.lit("null")))
         return F.struct(
             slugify(c["name"]).alias("name"),
             fingerprint(args, salt).alias("args_fingerprint"),
