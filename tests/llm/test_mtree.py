@@ -62,3 +62,20 @@ def test_pages_pass_over_entries():
         mtree._products = real
     want = np.sort(np.delete(x @ q[0], 17))[::-1][:10]
     assert (scores == want).all() and sum(done) < 1000
+
+
+def test_many_copies_tie_by_id():
+    """Copies of the query, far from zero, are all at distance nothing; none may be passed over."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        one = np.floor(rng.normal(size=64) * 130)
+        others = np.floor(one + rng.integers(-1, 2, size=(300, 64)) * (rng.random((300, 1)) < 0.7))
+        x = np.concatenate((np.repeat(one[None], 40, axis=0), others))
+        ids = rng.permutation(len(x))
+        top = float((x * x).sum(axis=1).max())
+        pages = mtree.Pages(ids, x, x[rng.integers(len(x))], top)
+        own = ids[:1]
+        (_, scores, found), = pages.search(one[None], own, np.array([0.0 if (others @ one).max() < one @ one else np.inf]),
+                                           top, 10)
+        best = sorted((-float(v @ one), int(i)) for v, i in zip(x, ids, strict=True) if i != own[0])[:10]
+        assert [(-s, int(i)) for s, i in zip(scores, found, strict=True)] == best

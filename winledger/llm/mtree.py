@@ -28,7 +28,9 @@ ROUTERS = 256  # routing objects of the top level, at most; they are broadcast
 NODE_ROWS = 1024  # vectors for each routing object while there are fewer of these
 PART_ROWS = 8192  # vectors one part of a node holds on average
 PAGE_ROWS = 64
-_SLACK = 1e-9
+# Room for rounding, for each unit of the norms: a distance comes from the difference of squares, so one near
+# zero is off by the root of their rounding.
+_SLACK = 2e-6
 
 
 def whole_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
@@ -210,7 +212,7 @@ def _visits(queries: DataFrame, nodes: dict[int, tuple[int, float]], routers: np
             if first:
                 pairs = [(i, int(j), 0) for i, j in enumerate((far - radius).argmin(axis=1))]
             else:
-                reach = batch.column(2).to_numpy() + _SLACK * (1 + far.max())
+                reach = batch.column(2).to_numpy() + _SLACK * (1 + 2 * np.sqrt(top))
                 pairs = [(i, j, p) for i, j in zip(*np.nonzero(far - radius <= reach[:, None]), strict=True)
                          for p in range(count[j])]
             rows = pa.array([i for i, _, _ in pairs], pa.int64())
