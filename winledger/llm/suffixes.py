@@ -270,7 +270,7 @@ def _digest(text: bytes, spans: list[tuple[int, int]]) -> tuple:
 
 
 def _keep(text: bytes, spans: list[tuple[int, int]]) -> tuple:
-    """The text without its spans, which end at whole characters: a character cut in two stays."""
+    """The text without its spans, which end at whole characters (one cut in two stays), and its bytes before."""
     kept, at = [], 0
     for start, stop in spans:
         while start < stop and text[start] & 0xC0 == 0x80:
@@ -280,7 +280,7 @@ def _keep(text: bytes, spans: list[tuple[int, int]]) -> tuple:
         kept.append(text[at:start])
         at = max(at, stop)
     kept.append(text[at:])
-    return (b"".join(kept).decode(),)
+    return b"".join(kept).decode(), len(text)
 
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -289,12 +289,13 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     Removal keeps whole characters: a character of which only some bytes are covered stays. Rows whose text
     was empty or null before stay as they are.
     """
-    rest = [c for c in docs.columns if c != id_col]
-    read = opened(docs, id_col, text_col, rest)
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    marked = docs.withColumn("_without", F.col(text_col).isNull())  # the text itself travels compressed
+    read = opened(marked, id_col, text_col, [*rest, "_without"])
     spans = repeats(docs, read, id_col, text_col, length)
-    cleaned = without(docs, read, spans, id_col, rest, "_kept string", _keep)
-    kept = F.when(F.col(text_col).isNull(), F.lit(None)).otherwise(F.col("_kept"))
-    return cleaned.where((F.coalesce(F.col(text_col), F.lit("")) == "") | (F.col("_kept") != "")).select(
+    cleaned = without(marked, read, spans, id_col, [*rest, "_without"], "_kept string, _bytes long", _keep)
+    kept = F.when(~F.col("_without"), F.col("_kept"))
+    return cleaned.where((F.col("_bytes") == 0) | (F.col("_kept") != "")).select(
         *((kept if c == text_col else F.col(c)).alias(c) for c in docs.columns))
 
 
