@@ -201,9 +201,14 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         utf8(text_col).alias("_text"))
     prints = cut(fingerprints(keyed, "_key", "_text", size).select(
         F.col("_key.id").cast(id_kind).alias("_id"), F.col("_key.text").alias("_hash"), "fingerprint"))
+    return best_rows(docs, prints.join(_placed(prints, "_id", most), F.col("fingerprint") == F.col("_print")),
+                     id_col, text_col)
+
+
+def best_rows(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The best row of every ``root`` of ``placed`` (``_id``, ``_hash`` of the text, ``root``) with its columns."""
     rank = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_hash"))
-    chosen = (prints.join(_placed(prints, "_id", most), F.col("fingerprint") == F.col("_print"))
-              .groupBy("root").agg(F.min(rank).alias("_best"))
+    chosen = (placed.groupBy("root").agg(F.min(rank).alias("_best"))
               .select(F.col("_best._id").alias("_k1"), F.col("_best._hash").alias("_k2")))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     held = docs.withColumns({"_n1": name(id_col), "_n2": F.xxhash64(utf8(text_col))})
