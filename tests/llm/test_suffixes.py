@@ -86,3 +86,28 @@ def test_dedupe_keeps_characters(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "7 AS _kept2")
     got = {r.doc_id: r.text for r in suffixes.dedupe(frame).collect()}
     assert got == {1: "é" * 60, 2: "xy", 4: None, 5: ""}
+
+
+def test_rows_of_one_id(spark):
+    """Texts of one id whose hashes share 16 bits are not cut alike, and a repeated row is searched once."""
+    import xxhash
+
+    from winledger.llm import suffixes
+    first = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(80))
+    seen, pair = {}, None
+    for i in range(5000):
+        for kind, text in (("copy", first + f"copy{i}"), ("other", f"own{i} " * 14)):
+            low = xxhash.xxh64_intdigest(text.encode(), 42) & 0xFFFF
+            if pair is None and (1 - (kind == "copy"), low) in seen:
+                pair = (text, seen[(1 - (kind == "copy"), low)])
+            seen[(int(kind == "copy"), low)] = text
+    one, two = pair
+    rows = [(1, first), (5, one), (5, two)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.text for r in suffixes.dedupe(frame).collect()}
+    other = two if one.startswith(first) else one
+    assert other in got and first in got
+    many = spark.createDataFrame(rows + [(5, one), (5, two)] * 20, "doc_id long, text string")
+    spans = [suffixes.repeats(f, suffixes.opened(f, "doc_id", "text", [])).count() for f in (frame, many)]
+    assert spans[0] == spans[1] > 0
+    assert suffixes.dedupe(many).count() == len(rows) + 40

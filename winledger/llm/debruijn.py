@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from winledger.llm import windows
-from winledger.llm.shared import pieces, stored, table, utf8
-from winledger.llm.suffixes import opened, without
+from winledger.llm.shared import pieces, stored, table
+from winledger.llm.suffixes import once, opened, searched, told_apart, without
 
 WINDOW = 20
 ANCHOR = 8
@@ -51,14 +51,14 @@ def _single_edges(read: DataFrame, shared: DataFrame, window: int) -> DataFrame:
                     new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
                     own = np.empty_like(at)
                     own[order] = at[order][new][np.cumsum(new) - 1]
-                    out.append((one, two, np.full(len(at), doc), np.full(len(at), print_, np.int32), at, own))
+                    out.append((one, two, np.full(len(at), doc), np.full(len(at), print_, np.int64), at, own))
                 if out:
                     a, b, doc, print_, at, own = (np.concatenate(c) for c in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc), pa.array(print_),
                          pa.array(at), pa.array(own)], names=["label", "check", "doc", "print", "start", "own"])
 
-    return held.mapInArrow(take, "label long, check long, doc long, print int, start long, own long")
+    return held.mapInArrow(take, "label long, check long, doc long, print long, start long, own long")
 
 
 def _repeated_edges(edges: DataFrame) -> DataFrame:
@@ -110,15 +110,13 @@ def passages(docs: DataFrame, read: DataFrame, id_col: str = "doc_id", text_col:
     earlier in the same one. Rows without id or text take no part; rows that share an id with different texts
     take nothing from one another, and identical rows are treated alike.
     """
-    text = utf8(text_col)
-    print_ = F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("_print")
+    several, repeated = told_apart(docs, id_col, text_col)
     found = stored(windows.stretches(
-        docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_doc"), print_,
-                                                     text.alias("_text")),
+        searched(docs, id_col, text_col, several, repeated),
         windows.word_letters, window, anchor, within=True).drop("name", "lead"))
     columns = ["label", "doc", "print", "start", "count", "from_doc", "from_start"]
     whole = found.where("copied").withColumnRenamed("context", "label").select(columns)
-    single = _repeated_edges(stored(_single_edges(read, found.where("NOT copied"), window)))
+    single = _repeated_edges(stored(_single_edges(once(read, repeated), found.where("NOT copied"), window)))
     return compacted(stored(whole.unionByName(single.select(columns)).distinct()))
 
 

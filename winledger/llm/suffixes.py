@@ -26,7 +26,7 @@ LENGTH = 50
 ANCHOR = 20
 SORTED_TOGETHER = 1 << 13  # contexts of one name that one task sorts; more are compared in a shuffle
 _PIECE = 4 << 20
-_SPANS = "doc long, print int, start long, length long"
+_SPANS = "doc long, print long, start long, length long"
 
 
 def opened(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -> DataFrame:
@@ -35,6 +35,7 @@ def opened(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -> Dat
     Both joins with texts read this frame whole, so that one shuffle of it serves them.
     """
     text = utf8(text_col)
+    several, _ = told_apart(docs, id_col, text_col)
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = zstandard.ZstdCompressor(level=1)
@@ -47,13 +48,35 @@ def opened(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -> Dat
     more = [f"_x{i}" for i in range(len(extra))]
     names = ["_doc", "_print", "_zip", *more]
     kinds = "".join(f", {x} {docs.schema[c].dataType.simpleString()}" for x, c in zip(more, extra, strict=True))
-    return docs.select(F.col(id_col).cast("long").alias("_doc"), _print(text), text.alias("_text"),
+    return docs.select(F.col(id_col).cast("long").alias("_doc"), _print(text, several), text.alias("_text"),
                        *(F.col(c).alias(x) for x, c in zip(more, extra, strict=True))).mapInArrow(
-        shrink, f"_doc long, _print int, _zip binary{kinds}")
+        shrink, f"_doc long, _print long, _zip binary{kinds}")
 
 
-def _print(text):
-    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("_print")
+def told_apart(docs: DataFrame, id_col: str, text_col: str) -> tuple[bool, bool]:
+    """Whether an id has several texts, and whether a row with an id repeats."""
+    rows = (docs.where(F.col(id_col).isNotNull())
+            .groupBy(F.col(id_col).cast("long").alias("_doc"), F.xxhash64(utf8(text_col)).alias("_hash"))
+            .agg(F.count("*").alias("_n")))
+    found = rows.groupBy("_doc").agg(F.count("*").alias("_texts"), F.max("_n").alias("_n")).agg(
+        F.max("_texts"), F.max("_n")).first()
+    return (found[0] or 0) > 1, (found[1] or 0) > 1
+
+
+def _print(text, several: bool):
+    """The whole hash of the text, or nothing to store where every id has one text."""
+    return (F.xxhash64(text) if several else F.lit(0).cast("long")).alias("_print")
+
+
+def searched(docs: DataFrame, id_col: str, text_col: str, several: bool, repeated: bool) -> DataFrame:
+    """``_doc``, ``_print`` and ``_text`` of the rows with an id, each id's texts once."""
+    text = utf8(text_col)
+    return once(docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("_doc"), _print(text, several), text.alias("_text")), repeated)
+
+
+def once(rows: DataFrame, repeated: bool) -> DataFrame:
+    return rows.dropDuplicates(["_doc", "_print"]) if repeated else rows
 
 
 def _with_lists(read: DataFrame, lists: DataFrame, name: str) -> DataFrame:
@@ -130,6 +153,8 @@ def induced_repeats(contexts: list[bytes], count: np.ndarray, lead: np.ndarray,
 
 def _joined(rows: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows at consecutive places of a row as one span: row, place, length."""
+    if not len(rows):
+        return rows, places, places
     order = np.lexsort((places, rows))
     rows, places = rows[order], places[order]
     begin = np.nonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (places[1:] != places[:-1] + 1))))[0]
@@ -161,7 +186,7 @@ def _contexts(read: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                     names=["name", "crowd", "doc", "print", "start", "count", "lead", "context"])
 
     return _with_lists(read, lists, "places").mapInArrow(
-        take, "name long, crowd boolean, doc long, print int, start long, count int, lead int, context binary")
+        take, "name long, crowd boolean, doc long, print long, start long, count int, lead int, context binary")
 
 
 def repeats(docs: DataFrame, read: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -173,10 +198,9 @@ def repeats(docs: DataFrame, read: DataFrame, id_col: str = "doc_id", text_col:
     share an id are no smaller than each other, so they take nothing from one another.
     """
     parts = shuffle_parts(docs.sparkSession)
-    text = utf8(text_col)
+    several, repeated = told_apart(docs, id_col, text_col)
     found = stored(windows.stretches(
-        docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_doc"), _print(text),
-                                                     text.alias("_text")),
+        searched(docs, id_col, text_col, several, repeated),
         windows.byte_letters, length, anchor, within=False).drop("context", "from_doc", "from_start"))
     whole = found.where("copied").select(
         "doc", "print", "start", (F.col("count") + (length - 1)).cast("long").alias("length"))
@@ -187,7 +211,7 @@ def repeats(docs: DataFrame, read: DataFrame, id_col: str = "doc_id", text_col:
     shared = (shared.join(crowds, F.col("name") == F.col("_name"), "left") if crowded
               else shared.withColumn("_name", F.lit(None).cast("long")))
     shared = shared.select("name", F.col("_name").isNotNull().alias("crowd"), "doc", "print", "start", "count", "lead")
-    contexts = _contexts(read, shared, length)
+    contexts = _contexts(once(read, repeated), shared, length)
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -206,7 +230,7 @@ def repeats(docs: DataFrame, read: DataFrame, id_col: str = "doc_id", text_col:
         row, window = induced_repeats(some.column(6).to_pylist(), count, lead, doc, length)
         row, window, size = _joined(row, window, length)
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc[row]), pa.array(print_[row].astype(np.int32)), pa.array(start[row] + window),
+            [pa.array(doc[row]), pa.array(print_[row]), pa.array(start[row] + window),
              pa.array(size)], names=["doc", "print", "start", "length"])
 
     sorted_ = (contexts.where("NOT crowd").select("name", "doc", "print", "start", "count", "lead", "context")

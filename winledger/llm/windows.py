@@ -164,7 +164,7 @@ class Gathered:
             docs, prints, offsets, parts = zip(*self.wait, strict=True)
             t = anchored(list(parts), self.length, self.anchor)
             self.rows.append((t.name, t.context, np.array(docs, np.int64)[t.doc],
-                              np.array(prints, np.int32)[t.doc],
+                              np.array(prints, np.int64)[t.doc],
                               (t.start + np.array(offsets)[t.doc]).astype(np.int64),
                               (t.count * 64 + t.lead).astype(np.int16)))
             self.held += len(t.name)
@@ -223,7 +223,7 @@ def in_order(rows: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], np.n
     return rows, np.concatenate(([True], (name[1:] != name[:-1]) | (context[1:] != context[:-1])))
 
 
-_KINDS = (np.uint64, np.uint64, np.int64, np.int32, np.int64, np.int16, np.int64, np.int64)
+_KINDS = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int16, np.int64, np.int64)
 
 
 def packed(rows: tuple[np.ndarray, ...]) -> bytes:
@@ -248,7 +248,7 @@ def unpacked(data: bytes) -> tuple[np.ndarray, ...]:
     return tuple(columns)
 
 
-STRETCHES = ("name long, context long, doc long, print int, start long, count int, lead int, copied boolean, "
+STRETCHES = ("name long, context long, doc long, print long, start long, count int, lead int, copied boolean, "
              "from_doc long, from_start long")
 
 
@@ -256,7 +256,7 @@ def stretches(docs: DataFrame, letters: Callable[[bytes], np.ndarray], length: i
               within: bool) -> DataFrame:
     """What can be said of windows by their stretches: rows of ``STRETCHES``.
 
-    ``docs`` has ``_doc`` (long), ``_print`` (int, tells rows of one id apart) and ``_text``. With ``copied``
+    ``docs`` has ``_doc`` (long), ``_print`` (long, tells rows of one id apart) and ``_text``. With ``copied``
     every window of the stretch also starts earlier: in a document of smaller id or, if ``within``, earlier
     in the same one, and ``from_doc`` and ``from_start`` say where one such stretch starts. Without, the stretch shares its anchor string with other contexts, and its windows have
     to be compared one by one. Windows in no returned stretch start nowhere earlier.
