@@ -3,7 +3,19 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from winledger.llm import chat, debruijn, decontaminate, mixing, mtree, pages, quality, simhash, suffixes, toxicity
+from winledger.llm import (
+    audit,
+    chat,
+    debruijn,
+    decontaminate,
+    mixing,
+    mtree,
+    pages,
+    quality,
+    simhash,
+    suffixes,
+    toxicity,
+)
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -16,6 +28,7 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_html_extraction": pages.op10_html_extraction,
+    "op11_filter_audit": audit.op11_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -25,4 +38,5 @@ SQL: dict[str, str] = {
     "op6_chat_formatting": chat.SQL,
     "op7_exact_top_k": mtree.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
+    "op11_filter_audit": audit.SQL,
 }
