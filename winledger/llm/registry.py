@@ -6,6 +6,7 @@ import corpus_pipeline
 from winledger.llm import (
     audit,
     chat,
+    classlm,
     debruijn,
     decontaminate,
     mixing,
@@ -13,6 +14,7 @@ from winledger.llm import (
     pages,
     quality,
     simhash,
+    spelling,
     suffixes,
     toxicity,
 )
@@ -29,6 +31,8 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_html_extraction": pages.op10_html_extraction,
     "op11_filter_audit": audit.op11_filter_audit,
+    "op12_class_bigrams": classlm.op12_class_bigrams,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -39,4 +43,5 @@ SQL: dict[str, str] = {
     "op7_exact_top_k": mtree.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
     "op11_filter_audit": audit.SQL,
+    "op13_spelling_variants": spelling.SQL,
 }
