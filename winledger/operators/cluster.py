@@ -1,8 +1,11 @@
 """Task taxonomy from metadata: template, tool signature, output shape.
 
-Tasks are reduced to cells of equal categories. A cell that holds at least ``max(5, n / 100)`` tasks
-is dense; there are at most 100 of those by construction. Tasks of other cells join the nearest
-dense centroid. This stands in for a density clustering solver, which does not distribute.
+Tasks are reduced to cells of equal categories. A density hierarchy is built over the cells: two cells are as far
+apart as the categories in which they differ weigh, so distances come in a few levels, and the cells within a
+level of a cell are those that share some of its categories. Sums by shared categories give every cell its core
+distance; linked cells meet at the categories they share, so components at a level come from joins of cells with
+categories and never from pairs of cells. Of the tree of components that hold enough tasks the most stable
+branches are the clusters, and tasks outside join the nearest centroid.
 """
 
 from __future__ import annotations
@@ -11,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winledger.functions.text import squeeze
+from winledger.plans.graph import components
+from winledger.plans.ordered import held, ranked
 
 TEMPLATE_WEIGHT = 9.0
 TOOLS_WEIGHT = 4.0
@@ -18,6 +23,13 @@ TYPE_WEIGHT = 1.0
 """Squared weights of the one-hot blocks."""
 TARGET = 15
 MERGE_ABOVE = 20
+KEPT = 100
+"""Labels that are merged one by one; smaller ones join the nearest of these first."""
+NODES = 10_000
+"""Branches the tree may have: there are no more than ``tasks / min_size`` on each level."""
+LEVELS = (0.01, 4.0, 8.0, 12.0, 18.0, 22.0, 26.0, 30.0)
+"""Squared distances of cells that differ in nothing but length, in the output shape, the tools, both, the template,
+the template and the shape, the template and the tools, and everything. A shape counts in full."""
 
 CELL = ["template", "tool_sig", "out_type", "json_valid", "has_code"]
 
@@ -45,98 +57,202 @@ def task_features(representatives: DataFrame) -> DataFrame:
     )
 
 
-def _mismatch(a: Column, b: Column, weight: float) -> Column:
-    """Squared distance of two weighted one-hot vectors."""
-    return F.when(a.eqNullSafe(b), 0.0).otherwise(2.0 * weight)
-
-
-def _flag_gap(a: Column, b: Column) -> Column:
-    return F.when(a == b, 0.0).otherwise(1.0)
-
-
-def cell_distance(row: dict[str, Column], seed: Column) -> Column:
-    """Squared distance of a task to a seed cell, rounded so that ties are ties everywhere."""
-    gap = row["len"] - seed["len"]
-    total = (
-        _mismatch(row["template"], seed["template"], TEMPLATE_WEIGHT)
-        + _mismatch(row["tool_sig"], seed["tool_sig"], TOOLS_WEIGHT)
-        + _mismatch(row["out_type"], seed["out_type"], TYPE_WEIGHT)
-        + _flag_gap(row["json_valid"], seed["json_valid"])
-        + _flag_gap(row["has_code"], seed["has_code"])
-        + gap * gap
-    )
-    return F.round(total, 9)
+def _key(*columns: str) -> Column:
+    """The values as one string, NULL told apart."""
+    return F.to_json(F.array(*[F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in columns]))
 
 
 def cells(features: DataFrame) -> DataFrame:
-    """Tasks per combination of categories, with the mean length."""
-    return features.groupBy(*CELL).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("len").alias("len")
-    )
-
-
-def seed_cells(features: DataFrame, *, min_size: int | None = None) -> DataFrame:
-    """The dense cells, numbered from 1 by size: at most 100 unless ``min_size`` is set lower."""
-    grouped = cells(features)
-    total = grouped.agg(F.sum("n").alias("_total"))
-    if min_size is None:
-        floor = F.greatest(F.lit(5), F.expr("_total div 100"))
-    else:
-        floor = F.lit(min_size)
-    sized = grouped.withColumn("_one", F.lit(1)).join(
-        F.broadcast(total.withColumn("_one", F.lit(1))), "_one"
-    ).drop("_one").withColumn("_dense", F.col("n") >= floor)
-    order = Window.orderBy(F.col("n").desc(), *CELL)
-    return sized.filter("_dense").select(*CELL, "len", "n").withColumn("label", F.row_number().over(order))
+    """Tasks per combination of categories, with the sum of their lengths, and the categories as keys:
+    ``t`` template, ``s`` tools, ``h`` output shape."""
+    return features.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("len_sum")).select(
+        *CELL, "n", "len_sum", _key("template").alias("t"), _key("tool_sig").alias("s"),
+        _key("out_type", "json_valid", "has_code").alias("h"))
+
+
+def core_levels(grouped: DataFrame, total: int, min_size: int) -> DataFrame:
+    """Cells with ``core``: the first of ``LEVELS`` within which ``min_size`` tasks lie around the cell."""
+    rows = grouped
+    for keys in (("t",), ("s",), ("h",), ("t", "s"), ("t", "h"), ("s", "h")):
+        name = f"_{''.join(keys)}"
+        sums = grouped.groupBy(*[F.col(k).alias(f"_{k}_key") for k in keys]).agg(F.sum("n").alias(name))
+        same = [F.col(k) == F.col(f"_{k}_key") for k in keys]
+        rows = rows.join(sums, on=same).drop(*[f"_{k}_key" for k in keys])
+    n, t, s, h, ts, th, sh = (F.col(c) for c in ("n", "_t", "_s", "_h", "_ts", "_th", "_sh"))
+    around = (n, ts, ts + th - n, t, t + sh - n, t + s - ts, t + s - ts + h - th - sh + n, F.lit(total))
+    core = F.coalesce(*[F.when(mass >= min_size, i) for i, mass in enumerate(around)])
+    return rows.withColumn("core", core).drop("_t", "_s", "_h", "_ts", "_th", "_sh")
+
+
+def _linked(rows: DataFrame, level: int, near: tuple[str, ...], shared: tuple[tuple[str, ...], ...]) -> DataFrame:
+    """``rows`` with the component at the level of each cell active there: cells with equal ``near`` keys are one
+    node, and nodes meet at the ``shared`` keys of their active cells."""
+    key = lambda k: F.xxhash64(F.lit("|".join(k)), *[F.col(c) for c in k])
+    edges = rows.filter(F.col("core") <= level).select(key(near).alias("a"), F.explode(F.array(*map(key, shared))).alias("b"))
+    return rows.withColumn("_near", key(near)).join(components(edges.distinct()), F.col("_near") == F.col("node"), "left").withColumn(
+        f"c{level}", F.when(F.col("core") <= level, F.col("root"))).drop("_near", "node", "root")
+
+
+def component_levels(rows: DataFrame) -> DataFrame:
+    """Cells with ``c0`` to ``c7``: the component of the cell at each of ``LEVELS``, NULL below its core distance."""
+    for level, keys in ((0, ("t", "s", "h")), (1, ("t", "s")), (3, ("t",))):
+        rows = rows.withColumn(f"c{level}", F.when(F.col("core") <= level, F.xxhash64(F.lit(level), *keys)))
+    rows = held(rows)
+    for level, near, shared in ((2, ("t", "s"), (("t", "h"),)), (4, ("t",), (("s", "h"),)), (5, ("t",), (("s",),)),
+                                (6, ("t",), (("s",), ("h",)))):
+        rows = _linked(rows, level, near, shared)
+    return held(rows.withColumn("c7", F.lit(0).cast("long")))
+
+
+def stable_branches(nodes: list[tuple[int, int, int | None, int]]) -> list[tuple[int, int]]:
+    """(level, component) of the branches to keep, from (level, component, parent, tasks) of all that are large enough.
+
+    A component with one large part goes on as that part; with several it ends and they begin. A branch is as stable
+    as its tasks times the densities it lasts through. It is kept if it is no less stable than what begins inside
+    it; the whole never is."""
+    density = [level**-0.5 for level in LEVELS] + [0.0]
+    parts: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for level, comp, parent, _ in nodes:
+        parts.setdefault((level + 1, parent), []).append((level, comp))
+    lasts, inside = {}, {}
+    for level, comp, _, n in sorted(nodes):
+        mine = parts.get((level, comp), [])
+        lasts[level, comp] = n * (density[level] - density[level + 1])
+        if len(mine) == 1:
+            lasts[level, comp] += lasts[mine[0]]
+            inside[level, comp] = inside[mine[0]]
+        else:
+            inside[level, comp] = sum(max(lasts[p], inside[p]) for p in mine)
+    kept, look = [], [(len(LEVELS) - 1, comp) for level, comp, *_ in nodes if level == len(LEVELS) - 1]
+    while look:
+        mine = parts.get(look.pop(), [])
+        begins = len(mine) > 1
+        for p in mine:
+            if begins and lasts[p] >= inside[p]:
+                kept.append(p)
+            else:
+                look.append(p)
+    return sorted(kept)
+
+
+def _found(rows: DataFrame, min_size: int) -> DataFrame | None:
+    """The cells of ``component_levels`` with ``label`` (1 for the largest cluster, NULL outside), or nothing if
+    there is no cluster. No more than ``NODES`` branches of the tree come to the driver."""
+    steps = F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"c{i}").alias("comp"),
+                               (F.col(f"c{i + 1}") if i < 7 else F.lit(None).cast("long")).alias("parent"))
+                      for i in range(8)])
+    spread = rows.select("n", F.explode(steps).alias("e")).filter("e.comp IS NOT NULL")
+    nodes = (spread.groupBy("e.level", "e.comp", "e.parent").agg(F.sum("n").alias("n"))
+             .filter(F.col("n") >= min_size).limit(NODES + 1).collect())
+    if len(nodes) > NODES:
+        raise ValueError(f"min_size {min_size} leaves more than {NODES} branches; raise it")
+    kept = stable_branches([(r["level"], r["comp"], r["parent"], r["n"]) for r in nodes])
+    if not kept:
+        return None
+    spark = rows.sparkSession
+    own = F.coalesce(*[F.when(F.col(f"c{i}").isin([c for level, c in kept if level == i]), F.struct(
+        F.lit(i).alias("level"), F.col(f"c{i}").alias("comp"))) for i in {level for level, _ in kept}])
+    placed = held(rows.select(*CELL, "n", "len_sum", own.alias("_own")))
+    sizes = placed.filter("_own IS NOT NULL").groupBy("_own").agg(
+        F.sum("n").alias("n"), F.min(F.struct(*CELL)).alias("first"))
+    order = sizes.orderBy(F.col("n").desc(), "first").select("_own.*").collect()  # no more than the branches
+    labels = spark.createDataFrame([(r["level"], r["comp"], i) for i, r in enumerate(order, 1)],
+                                   "level int, comp long, label int")
+    return placed.join(F.broadcast(labels), (F.col("_own.level") == F.col("level")) & (F.col("_own.comp") == F.col("comp")),
+                       "left").drop("_own", "level", "comp")
+
+
+DIMS = (("template", TEMPLATE_WEIGHT), ("tool_sig", TOOLS_WEIGHT), ("out_type", TYPE_WEIGHT))
+
+
+def _shares(rows: DataFrame) -> DataFrame:
+    """``label``, ``dim``, ``value`` and ``part`` (the label's share of tasks with the value, by the square root of the
+    dimension's weight) of cells with a label."""
+    told = F.array(*[F.struct(F.lit(name).alias("dim"), _key(name).alias("value"), F.lit(weight**0.5).alias("w"))
+                     for name, weight in DIMS])
+    counts = (rows.select("label", "n", F.explode(told).alias("e")).groupBy("label", "e.dim", "e.value", "e.w")
+              .agg(F.sum("n").alias("n")))
+    total = rows.groupBy(F.col("label").alias("_label")).agg(F.sum("n").alias("_total"))
+    return counts.join(total, F.col("label") == F.col("_label")).select(
+        "label", "dim", "value", (F.col("w") * F.col("n") / F.col("_total")).alias("part"))
+
+
+def _centres(rows: DataFrame, shares: DataFrame) -> DataFrame:
+    """``label``, ``n``, the centroid's plain features, and ``sq``, the squared length of its categories."""
+    flag = lambda c: F.sum(F.col(c).cast("double") * F.col("n")) / F.sum("n")
+    plain = rows.groupBy("label").agg(F.sum("n").alias("n"), flag("json_valid").alias("json"), flag("has_code").alias("code"),
+                                      (F.sum("len_sum") / F.sum("n")).alias("len"))
+    squares = shares.groupBy(F.col("label").alias("_label")).agg(F.sum(F.col("part") * F.col("part")).alias("sq"))
+    return plain.join(squares, F.col("label") == F.col("_label")).drop("_label")
+
+
+def _gaps(points: DataFrame, point_shares: DataFrame, centres: DataFrame, centre_shares: DataFrame) -> DataFrame:
+    """``label`` of each point and ``gaps`` to all centres: ``gap``, squared, without the length, and their ``near``
+    label and ``len``. Centres are at most ``KEPT`` or the branches kept, so they are gathered in one row."""
+    listed = centres.agg(F.collect_list(F.struct("label", "json", "code", "len", "sq")).alias("_centres"))
+    dots = (point_shares.join(centre_shares.select(F.col("label").alias("near"), F.col("dim").alias("_d"),
+                                                   F.col("value").alias("_v"), F.col("part").alias("_p")),
+                              (F.col("dim") == F.col("_d")) & (F.col("value") == F.col("_v")))
+            .groupBy("label", "near").agg(F.sum(F.col("part") * F.col("_p")).alias("dot"))
+            .groupBy(F.col("label").alias("_label")).agg(F.map_from_entries(F.collect_list(F.struct("near", "dot"))).alias("_dots")))
+    rows = points.join(dots, F.col("label") == F.col("_label"), "left").withColumn("_one", F.lit(1)).join(
+        F.broadcast(listed.withColumn("_one", F.lit(1))), "_one")
+
+    def gap(c: Column) -> Column:
+        dot = F.coalesce(F.try_element_at("_dots", c["label"]), F.lit(0.0))
+        return F.struct(
+            (F.col("sq") + c["sq"] - 2 * dot + F.pow(F.col("json") - c["json"], 2.0) + F.pow(F.col("code") - c["code"], 2.0))
+            .alias("gap"), c["label"].alias("near"), c["len"].alias("len"))
+
+    return rows.select("label", F.col("len").alias("own_len"), F.transform("_centres", gap).alias("gaps"))
+
+
+def _nearest(gaps: str, length: Column) -> Column:
+    """The label of the least gap, with the length counted; ties go to the smaller label."""
+    return F.array_min(F.transform(gaps, lambda g: F.struct(
+        F.round(g["gap"] + F.pow(length - g["len"], 2.0), 9).alias("d"), g["near"].alias("near"))))["near"]
+
+
+def _by_template(features: DataFrame) -> DataFrame:
+    """Every template is a label, numbered by falling size."""
+    sizes = features.groupBy(F.col("template").alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = ranked(sizes, {"_o1": -F.col("_n"), "_o2": F.coalesce(F.col("_t"), F.lit("")), "_o3": F.col("_t").isNotNull()},
+                      "label").drop("_n")
+    return features.join(numbered, F.col("template").eqNullSafe(F.col("_t")), "left").drop("_t")
 
 
 def density_clusters(features: DataFrame, *, min_size: int | None = None) -> DataFrame:
-    """Features with ``label``: the nearest dense cell (itself for its own tasks). Where no cell is dense,
-    every template is a cluster of its own, numbered by size; ``merge_clusters`` joins them further."""
-    seeds = seed_cells(features, min_size=min_size)
-    if seeds.isEmpty():
-        sizes = features.groupBy(F.col("template").alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
-        numbered = sizes.withColumn("label", F.row_number().over(Window.orderBy(F.col("_n").desc(), "_t")))
-        return features.join(numbered, F.col("template").eqNullSafe(F.col("_t")), "left").drop("_t", "_n")
-    # At most 100 small structs: attached to every row as one array.
-    listed = seeds.agg(
-        F.array_sort(F.collect_list(F.struct("label", *CELL, "len"))).alias("_seeds")
-    ).withColumn("_one", F.lit(1))
-    row = {c: F.col(c) for c in (*CELL, "len")}
-    nearest = F.array_min(
-        F.transform(
-            "_seeds",
-            lambda s: F.struct(cell_distance(row, s).alias("d"), s["label"].alias("label")),
-        )
-    )
-    own = F.filter(
-        "_seeds",
-        lambda s: s["template"].eqNullSafe(row["template"])
-        & s["tool_sig"].eqNullSafe(row["tool_sig"])
-        & s["out_type"].eqNullSafe(row["out_type"])
-        & s["json_valid"].eqNullSafe(row["json_valid"])
-        & s["has_code"].eqNullSafe(row["has_code"]),
-    )
-    return (
-        features.withColumn("_one", F.lit(1))
-        .join(F.broadcast(listed), "_one")
-        .withColumn("label", F.coalesce(F.get(own, F.lit(0))["label"], nearest["label"]))
-        .drop("_one", "_seeds")
-    )
-
-
-def _grams(labelled: DataFrame) -> dict[str, dict[tuple[int, int], float]]:
-    """Per category: the sum over its values of n_a * n_b for every pair of labels sharing one.
-
-    Values are counted per label first. The result has three numbers for each
-    pair of labels that share a value."""
-    dims = F.array(*[
-        F.struct(F.lit(name).alias("dim"), F.col(name).alias("value"))
-        for name in ("template", "tool_sig", "out_type")
-    ])
+    """Features with ``label``: the branch of the density hierarchy that holds the task's cell, by falling size from 1;
+    tasks outside all branches take the nearest centroid of those inside.
+
+    ``min_size`` is ``max(5, n / 100)`` unless given. With no more tasks than that, or without a branch, every template
+    is a cluster of its own; ``merge_clusters`` joins them further. An empty table gives no row."""
+    features = held(features)
+    grouped = held(cells(features))
+    total = grouped.agg(F.sum("n")).first()[0] or 0
+    size = min_size or max(5, total // 100)
+    found = _found(component_levels(core_levels(grouped, total, size)), size) if total > size else None
+    if found is None:
+        return _by_template(features)
+    found = held(found)
+    inside = found.filter("label IS NOT NULL")
+    outside = found.filter("label IS NULL").withColumn("label", F.xxhash64(_key(*CELL)))
+    shares, own = _shares(inside), _shares(outside)
+    gaps = _gaps(_centres(outside, own), own, _centres(inside, shares), shares)
+    rows = features.withColumn("_cell", F.xxhash64(_key(*CELL)))
+    told = inside.select(F.xxhash64(_key(*CELL)).alias("_inside"), F.col("label").alias("_label"))
+    near = gaps.select(F.col("label").alias("_outside"), "gaps")
+    return (rows.join(told, F.col("_cell") == F.col("_inside"), "left").join(near, F.col("_cell") == F.col("_outside"), "left")
+            .withColumn("label", F.coalesce("_label", _nearest("gaps", F.col("len"))))
+            .drop("_cell", "_inside", "_label", "_outside", "gaps"))
+
+
+def _grams(rows: DataFrame) -> dict[str, dict[tuple[int, int], float]]:
+    """Per category: the sum over its values of n_a * n_b for every pair of labels sharing one, of cells with at
+    most ``KEPT`` labels: three numbers for each pair of labels."""
+    dims = F.array(*[F.struct(F.lit(name).alias("dim"), _key(name).alias("value")) for name, _ in DIMS])
     per_value = (
-        labelled.groupBy("label", *CELL).agg(F.count(F.lit(1)).alias("n"))
-        .select("label", "n", F.explode(dims).alias("v"))
+        rows.select("label", "n", F.explode(dims).alias("v"))
         .groupBy("v.dim", "v.value", "label").agg(F.sum("n").cast("double").alias("n"))
         .groupBy("dim", "value")
         .agg(F.collect_list(F.struct("label", "n")).alias("l"))
@@ -147,9 +263,9 @@ def _grams(labelled: DataFrame) -> dict[str, dict[tuple[int, int], float]]:
         per_value.select("dim", F.explode(pairs).alias("p"))
         .groupBy("dim", "p.a", "p.b").agg(F.sum("p.dot").alias("dot"))
     )
-    grams: dict[str, dict[tuple[int, int], float]] = {}
+    grams: dict[str, dict[tuple[int, int], float]] = {name: {} for name, _ in DIMS}
     for r in dots.collect():
-        grams.setdefault(r["dim"], {})[r["a"], r["b"]] = r["dot"]
+        grams[r["dim"]][r["a"], r["b"]] = r["dot"]
     return grams
 
 
@@ -157,7 +273,7 @@ def merge_plan(sizes, blocks, sums, *, target: int) -> dict[int, int]:
     """Which label each label ends up in, merging the smallest into its nearest until ``target``.
 
     ``sizes`` is n per label; ``blocks`` a list of (weight, gram) with gram[a, b] = sum of count
-    products; ``sums`` a list of per-label sums of plain features. All bounded by the seed count."""
+    products; ``sums`` a list of per-label sums of plain features. All bounded by the labels kept."""
     alive = dict(sizes)
     grams = [(w, dict(g)) for w, g in blocks]
     plain = [dict(s) for s in sums]
@@ -190,33 +306,52 @@ def merge_plan(sizes, blocks, sums, *, target: int) -> dict[int, int]:
     return into
 
 
+def attach_small(rows: DataFrame, *, kept: int = KEPT) -> DataFrame:
+    """``label`` of every label of some cells (``label``, ``CELL``, ``n``, ``len_sum``) and ``into``: itself for the
+    ``kept`` largest, for the others the one of those with the nearest centroid. Centroids are sums by label and
+    value; a label meets the largest ones at the values it shares with them."""
+    sizes = rows.groupBy("label").agg(F.sum("n").alias("_n"))
+    large = held(sizes.orderBy(F.col("_n").desc(), "label").limit(kept).select(F.col("label").alias("_large")))
+    among = rows.join(F.broadcast(large), F.col("label") == F.col("_large"), "left")
+    big, small = among.filter("_large IS NOT NULL"), among.filter("_large IS NULL")
+    shares, own = _shares(big), _shares(small)
+    gaps = _gaps(_centres(small, own), own, _centres(big, shares), shares)
+    return large.select(F.col("_large").alias("label"), F.col("_large").alias("into")).unionByName(
+        gaps.select("label", _nearest("gaps", F.col("own_len")).alias("into")))
+
+
 def merge_clusters(
-    labelled: DataFrame, *, target: int = TARGET, above: int = MERGE_ABOVE
+    labelled: DataFrame, *, target: int = TARGET, above: int = MERGE_ABOVE, kept: int = KEPT
 ) -> DataFrame:
     """Labelled tasks with labels merged down to ``target`` when there are more than ``above``.
 
-    Only per-label aggregates (at most 100 x 100 numbers) reach the driver."""
-    per_label = labelled.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("json_valid").cast("double")).alias("json"),
-        F.sum(F.col("has_code").cast("double")).alias("code"),
-        F.sum("len").alias("len"),
-    ).collect()
-    if len(per_label) <= above:
+    Labels beyond the ``kept`` largest first join the nearest of those, as a table; then the smallest label joins its
+    nearest, one at a time, decided on the sums of at most ``kept`` labels. A task keeps its columns."""
+    if target > kept:
+        raise ValueError(f"target {target} is above the {kept} labels that are merged one by one")
+    rows = held(labelled.groupBy("label", *CELL).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("len_sum")))
+    labels = rows.select("label").distinct().count()
+    if labels <= above:
         return labelled
-    grams = _grams(labelled)
+    into = held(attach_small(rows, kept=kept))
+    joined = rows.join(into.withColumnRenamed("label", "_from"), F.col("label") == F.col("_from")).withColumn("label", F.col("into"))
+    per_label = joined.groupBy("label").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.col("json_valid").cast("double") * F.col("n")).alias("json"),
+        F.sum(F.col("has_code").cast("double") * F.col("n")).alias("code"),
+        F.sum("len_sum").alias("len"),
+    ).collect()
+    grams = _grams(joined)
     plan = merge_plan(
         {r["label"]: r["n"] for r in per_label},
-        [
-            (TEMPLATE_WEIGHT, grams["template"]),
-            (TOOLS_WEIGHT, grams["tool_sig"]),
-            (TYPE_WEIGHT, grams["out_type"]),
-        ],
+        [(weight, grams[name]) for name, weight in DIMS],
         [{r["label"]: r[name] for r in per_label} for name in ("json", "code", "len")],
         target=target,
     )
-    lookup = F.create_map(*[F.lit(x) for pair in plan.items() for x in pair])
-    return labelled.withColumn("label", lookup[F.col("label")])
+    last = labelled.sparkSession.createDataFrame(list(plan.items()), "_kept long, _last long")
+    mapping = into.join(F.broadcast(last), F.col("into") == F.col("_kept")).select(F.col("label").alias("_from"), "_last")
+    return labelled.join(mapping, F.col("label") == F.col("_from")).withColumn(
+        "label", F.col("_last").cast(labelled.schema["label"].dataType)).drop("_from", "_last")
 
 
 def rank_clusters(assignments: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:

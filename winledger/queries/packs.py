@@ -217,35 +217,123 @@ def c1(spark, sf_dir):
     return f.withColumn("len", F.round("len", 9))
 
 
+def _hierarchy_sql() -> str:
+    """Cells, their core levels and components, the branches kept and the label of every task (LB)."""
+    lam = [d**-0.5 for d in cluster.LEVELS] + [0.0]
+    steps = ", ".join(f"{{'level': {i}, 'comp': c{i}, 'parent': {f'c{i + 1}' if i < 7 else 'null'}}}" for i in range(8))
+    parts = "".join(f""",
+D{i} as (select p.comp, p.parent, p.n * {lam[i] - lam[i + 1]!r} + case when count(c.comp) = 1 then max(c.lasts) else 0e0 end as lasts,
+    case when count(c.comp) = 1 then max(c.inside) else coalesce(sum(greatest(c.lasts, c.inside)), 0e0) end as inside,
+    count(c.comp) as parts
+  from NO p left join {f'D{i - 1}' if i else '(select null::varchar as comp, null::varchar as parent, 0e0 as lasts, 0e0 as inside)'} c
+    on c.parent = p.comp where p.level = {i} group by p.comp, p.parent, p.n)""" for i in range(8))
+    look = "".join(f""",
+S{i} as (select d.comp, d.parts, s.parts > 1 and d.lasts >= d.inside as kept from D{i} d join S{i + 1} s on s.comp = d.parent
+  where not s.kept)""" for i in reversed(range(7)))
+    kept = " union all ".join(f"select {i} as level, comp from S{i} where kept" for i in range(7))
+    mine = " or ".join(f"(KE.level = {i} and KE.comp = LV.c{i})" for i in range(7))
+    reach = "".join(f""",
+R{i}(a, b) as (select distinct t, t from CO where core <= {i} union select R{i}.a, y.t from R{i} join CO x on x.t = R{i}.b
+  and x.core <= {i} join CO y on {same} and y.core <= {i}),
+G{i} as (select a as t, concat('g', min(b)) as g{i} from R{i} group by all)""" for i, same in (
+        (4, "y.s = x.s and y.h = x.h"), (5, "y.s = x.s"), (6, "(y.s = x.s or y.h = x.h)")))
+    return f"""{FEATURES_SQL},
+CE as (select template as t, tool_sig as s, concat_ws('|', out_type, json_valid, has_code) as h, out_type, json_valid, has_code,
+    count(*) as n, sum(len) as ls from FT group by all),
+MA as (select *, sum(n) over (partition by t) as mt, sum(n) over (partition by s) as ms, sum(n) over (partition by h) as mh,
+    sum(n) over (partition by t, s) as mts, sum(n) over (partition by t, h) as mth, sum(n) over (partition by s, h) as msh,
+    greatest(5, sum(n) over () // 100) as k from CE),
+CO as (select *, case when n >= k then 0 when mts >= k then 1 when mts + mth - n >= k then 2 when mt >= k then 3
+    when mt + msh - n >= k then 4 when mt + ms - mts >= k then 5 when mt + ms - mts + mh - mth - msh + n >= k then 6
+    else 7 end as core from MA),
+R2(t, a, b) as (select distinct t, s, s from CO where core <= 2 union select R2.t, R2.a, y.s from R2 join CO x
+  on x.t = R2.t and x.s = R2.b and x.core <= 2 join CO y on y.t = x.t and y.h = x.h and y.core <= 2),
+G2 as (select t, a as s, concat(t, '#', min(b)) as g2 from R2 group by t, a){reach},
+LV as (select CO.*, case when core <= 0 then concat(t, '#', s, '#', h) end as c0, case when core <= 1 then concat(t, '#', s) end as c1,
+    case when core <= 2 then g2 end as c2, case when core <= 3 then t end as c3, case when core <= 4 then g4 end as c4,
+    case when core <= 5 then g5 end as c5, case when core <= 6 then g6 end as c6, 'all' as c7
+  from CO left join G2 using (t, s) left join G4 using (t) left join G5 using (t) left join G6 using (t)),
+NO as (select e.level as level, e.comp as comp, e.parent as parent, sum(n) as n
+  from (select n, k, unnest([{steps}]) as e from LV) where e.comp is not null group by all having sum(n) >= any_value(k)){parts},
+S7 as (select comp, parts, false as kept from D7){look},
+KE as ({kept}),
+OW as (select LV.*, KE.level as kl, KE.comp as kc from LV left join KE on {mine}),
+LA as (select kl, kc, row_number() over (order by sum(n) desc, min((t, s, out_type, json_valid, has_code))) as label
+  from OW where kc is not null group by all),
+IC as (select OW.*, LA.label from OW join LA using (kl, kc)),
+CN as (select label, sum(n) as cn, sum(n * json_valid::int) / sum(n) as pj, sum(n * has_code::int) / sum(n) as pc,
+    sum(ls) / sum(n) as ml from IC group by label),
+PT as (select label, t, sum(n) / any_value(cn) as p from IC join CN using (label) group by label, t),
+PS as (select label, s, sum(n) / any_value(cn) as p from IC join CN using (label) group by label, s),
+PO as (select label, out_type, sum(n) / any_value(cn) as p from IC join CN using (label) group by label, out_type),
+CQ as (select CN.*, (select sum(p * p) from PT where PT.label = CN.label) as qt, (select sum(p * p) from PS where PS.label = CN.label) as qs,
+    (select sum(p * p) from PO where PO.label = CN.label) as qo from CN),
+FC as (select FT.*, IC.label as own from FT left join IC on IC.t = template and IC.s = tool_sig and IC.out_type = FT.out_type
+    and IC.json_valid = FT.json_valid and IC.has_code = FT.has_code),
+DI as (select tenant_id, task_id, CQ.label, round(9 * (1 + qt - 2 * coalesce(PT.p, 0)) + 4 * (1 + qs - 2 * coalesce(PS.p, 0))
+    + (1 + qo - 2 * coalesce(PO.p, 0)) + power(json_valid::int - pj, 2) + power(has_code::int - pc, 2) + power(len - ml, 2), 9) as d
+  from FC cross join CQ left join PT on PT.label = CQ.label and PT.t = template left join PS on PS.label = CQ.label and PS.s = tool_sig
+    left join PO on PO.label = CQ.label and PO.out_type = FC.out_type where own is null),
+LB as (select tenant_id, task_id, own as label from FC where own is not null
+  union all select tenant_id, task_id, arg_min(label, (d, label)) from DI group by all)"""
+
+
+HIERARCHY_SQL = _hierarchy_sql()
+
+
+def merged_sql(target: int, above: int, kept: int) -> str:
+    """Labels of LB merged: those beyond the ``kept`` largest into the nearest of these, then one by one (MG)."""
+    return f"""
+LF as (select label as l0, template, tool_sig, out_type, json_valid::int as j, has_code::int as c, len from LB join FT using (tenant_id, task_id)),
+LN as (select l0, count(*) as n, sum(j) as j, sum(c) as c, sum(len) as len from LF group by l0),
+LK as (select *, row_number() over (order by n desc, l0) <= {kept} as big from LN),
+LD as (select l0, dim, value, w, count(*) as n from (select l0, unnest([{{'dim': 't', 'value': template, 'w': 9}},
+    {{'dim': 's', 'value': tool_sig, 'w': 4}}, {{'dim': 'o', 'value': out_type, 'w': 1}}], recursive := true) from LF) group by all),
+LP as (select LD.l0, dim, value, w, LD.n / LN.n as p, big from LD join LN using (l0) join LK using (l0)),
+LQ as (select l0, sum(w * p * p) as q from LP group by l0),
+LT0 as (select a.l0 as a, b.l0 as b, sum(a.w * a.p * b.p) as dot from LP a join LP b on a.dim = b.dim and a.value = b.value
+  where not a.big and b.big group by all),
+LG as (select a.l0 as a, b.l0 as b, round(qa.q + qb.q - 2 * coalesce(dot, 0) + power(a.j / a.n - b.j / b.n, 2)
+    + power(a.c / a.n - b.c / b.n, 2) + power(a.len / a.n - b.len / b.n, 2), 9) as d
+  from LK a join LK b on not a.big and b.big join LQ qa on qa.l0 = a.l0 join LQ qb on qb.l0 = b.l0 left join LT0 on LT0.a = a.l0 and LT0.b = b.l0),
+M0 as (select l0, l0 as label from LK where big union all select a, arg_min(b, (d, b)) from LG group by a),
+MR(step, l0, label) as (
+  select 0, l0, case when (select count(*) from LN) > {above} then M0.label else l0 end from M0
+  union all
+  select step + 1, MR.l0, case when MR.label = near.small then near.into else MR.label end
+  from MR, (
+    with Z as (select MR.label, sum(n) as n, sum(j) as j, sum(c) as c, sum(len) as len from MR join LN using (l0) group by MR.label),
+    ZV as (select MR.label, dim, value, any_value(w) as w, sum(LD.n) as n from MR join LD using (l0) group by all),
+    SM as (select arg_min(label, (n, label)) as small, count(*) as many from Z),
+    ZP as (select ZV.label, dim, value, w, ZV.n / Z.n as p from ZV join Z using (label)),
+    ZQ as (select label, sum(w * p * p) as q from ZP group by label),
+    ZD as (select a.label as label, sum(a.w * a.p * b.p) as dot from ZP a join ZP b on a.dim = b.dim and a.value = b.value
+      join SM on b.label = SM.small group by a.label),
+    ZG as (select Z.label, round(ZQ.q + qs.q - 2 * coalesce(dot, 0) + power(Z.j / Z.n - zs.j / zs.n, 2)
+        + power(Z.c / Z.n - zs.c / zs.n, 2) + power(Z.len / Z.n - zs.len / zs.n, 2), 9) as d
+      from Z join SM on Z.label <> SM.small join Z zs on zs.label = SM.small join ZQ on ZQ.label = Z.label
+        join ZQ qs on qs.label = SM.small left join ZD on ZD.label = Z.label)
+    select any_value(small) as small, arg_min(label, (d, label)) as into, any_value(many) as many from ZG, SM) near
+  where near.many > {target} and (select count(*) from LN) > {above}),
+MG as (select tenant_id, task_id, MR.label from LB join MR on MR.l0 = LB.label
+  where step = (select max(step) from MR))"""
+
+
 @query("C2_density_clusters", f"""
-with {FEATURES_SQL},
-CE as (select template, tool_sig, out_type, json_valid, has_code, count(*) as n, avg(len) as len
-       from FT group by all),
-SE as (select *, row_number() over (order by n desc, template, tool_sig, out_type, json_valid, has_code)
-         as label from CE where n >= (select greatest(5, count(*) // 100) from FT)),
-DI as (
-  select FT.tenant_id, FT.task_id, SE.label, round(
-      case when FT.template = SE.template then 0e0 else 18e0 end
-      + case when FT.tool_sig = SE.tool_sig then 0 else 8 end
-      + case when FT.out_type = SE.out_type then 0 else 2 end
-      + case when FT.json_valid = SE.json_valid then 0 else 1 end
-      + case when FT.has_code = SE.has_code then 0 else 1 end
-      + (FT.len - SE.len) * (FT.len - SE.len), 9) as d,
-    FT.template = SE.template and FT.tool_sig = SE.tool_sig and FT.out_type = SE.out_type
-      and FT.json_valid = SE.json_valid and FT.has_code = SE.has_code as own
-  from FT, SE)
-select tenant_id, task_id, coalesce(max(case when own then label end), arg_min(label, (d, label)))
-  as label from DI group by all""")
+with recursive {HIERARCHY_SQL}
+select tenant_id, task_id, label from LB""")
 def c2(spark, sf_dir):
     _, f = features(spark, sf_dir)
     return cluster.density_clusters(f).select("tenant_id", "task_id", cnt("label", "label"))
 
 
-@query("C3_merge_clusters")
+@query("C3_merge_clusters", f"""
+with recursive {HIERARCHY_SQL}, {merged_sql(8, 8, 12)}
+select label, count(*) as n_tasks from MG group by label""")
 def c3(spark, sf_dir):
     _, f = features(spark, sf_dir)
-    merged = cluster.merge_clusters(cluster.density_clusters(f), target=8, above=8)
-    return merged.groupBy("label").agg(F.count(F.lit(1)).alias("n_tasks"))
+    merged = cluster.merge_clusters(cluster.density_clusters(f), target=8, above=8, kept=12)
+    return merged.groupBy(cnt("label", "label")).agg(F.count(F.lit(1)).alias("n_tasks"))
 
 
 @query("C4_rank_clusters", f"""
@@ -263,7 +351,12 @@ def c4(spark, sf_dir):
                            num("share_of_cost", "share_of_cost"))
 
 
-@query("C_extract_clusters")
+@query("C_extract_clusters", f"""
+with recursive {HIERARCHY_SQL}, {merged_sql(cluster.TARGET, cluster.MERGE_ABOVE, cluster.KEPT)},
+TC as (select tenant_id, task_id, sum(cost) as cost from L group by all),
+S as (select label, count(*) as n, sum(cost) as c from MG join TC using (tenant_id, task_id) group by label)
+select concat('c', lpad(cast(row_number() over (order by c desc, label) as varchar), 2, '0')) as cluster_id, n as n_tasks,
+  round(cast(c as double), 6) as cost, round(cast(c as double) / sum(cast(c as double)) over (), 6) as share_of_cost from S""")
 def extract(spark, sf_dir):
     t, rows = lineitem_tasks(spark, sf_dir)
     clusters, _ = cluster.extract_clusters(t, tasks.representative(rows, cluster.needed()))
