@@ -12,6 +12,7 @@ from winledger.queries.tasks import lineitem_tasks
 from winledger.session import ensure_checkpoint_dir
 from winledger.sources import bundle
 from winledger.sources import events as ev
+from winledger.sources import store
 
 SALT = "pepper"
 TENANT = "t0"
@@ -142,8 +143,8 @@ select case when event_id % 7 <> 0 then concat('00000000-0000-4000-8000-', lpad(
   (['json','code','mixed','text'])[event_id % 4 + 1] as out_type
 from (select *, unnest(range(copies)) as nth from OK)""")
 def s4(spark, sf_dir):
-    traces, _ = ev.ingest(spark.read.text(event_files(spark, sf_dir)), TENANT, SALT)
-    given = F.when(F.col("trace_id").startswith("00000000-"), F.col("trace_id"))  # the others are made of their lines
+    traces, _ = ev.ingest(ev.read_lines(spark, event_files(spark, sf_dir)), TENANT, SALT)
+    given = F.when(F.col("trace_id").startswith("00000000-"), F.col("trace_id"))  # the others are made of their places
     return traces.select(
         given.alias("trace_id"), "provider", "model_id", F.unix_micros("ts_start").alias("start_us"),
         F.col("latency.total_ms").alias("total_ms"), F.col("input_shape.n_messages").cast("int").alias("n_messages"),
@@ -153,10 +154,19 @@ def s4(spark, sf_dir):
 
 
 @query("S4_ids_of_copies", f"""
-with {GOOD_SQL} select cast(sum(copies) as bigint) as n, cast(sum(copies) as bigint) as n_ids from OK""")
+with {GOOD_SQL} select event_id % 7 as kind, copies, count(*) * 2 as n, count(*) * 2 as n_ids from (
+  select *, unnest(range(copies)) as nth from OK) where event_id % 7 = 0 group by all""")
 def s4_ids(spark, sf_dir):
-    traces, _ = ev.ingest(spark.read.text(event_files(spark, sf_dir)), TENANT, SALT)
-    return traces.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("trace_id").alias("n_ids"))
+    """Lines without an id, in two folders with equal files: all keep their own, the same when they are read again."""
+    folder = f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    for day in ("a", "b"):
+        event_lines(spark, sf_dir).filter("event_id % 7 = 0").select("value").repartition(3).write.text(f"{folder}/{day}")
+    once, again = (ev.ingest(ev.read_lines(spark, f"{folder}/{glob}"), TENANT, SALT)[0] for glob in ("*", "[ab]"))
+    line = F.struct("ts_start", "session_id", "model_id", "cost_usd", F.col("output_shape.n_chars"))
+    both = once.withColumn("_l", line).join(again.select(F.col("trace_id").alias("_again")), F.col("trace_id") == F.col("_again"))
+    lines = both.groupBy("_l").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("trace_id").alias("n_ids"))
+    return lines.groupBy(F.lit(0).cast("long").alias("kind"), F.expr("cast(n div 2 as int)").alias("copies")).agg(
+        F.sum("n").alias("n"), F.sum("n_ids").alias("n_ids"))
 
 
 @query("S5_fingerprint", f"select doc_id, concat('sha256:', sha256(concat('{SALT}', text))) as fp from documents")
@@ -206,6 +216,25 @@ def s8(spark, sf_dir):
         "trace_id", F.col("task_id").cast("long").alias("last_event"), num("cost_usd", "cost_usd"))
 
 
+@query("S8_upsert_stored", """
+with A as (select event_id % 3000 as id, event_id, value, ts from events),
+W as (select id, arg_max({'e': event_id, 'v': value, 't': ts}, case when event_id < 3000 then -1 else event_id end) as r
+      from A group by id)
+select cast(id as varchar) as trace_id, r.e as last_event, round(r.v, 6) as cost_usd, cast(epoch_us(r.t) as bigint) as start_us from W""")
+def s8_stored(spark, sf_dir):
+    """The first 3000 events are stored by day; the others are upserted in two rounds, and the table is read back."""
+    a = ad.attempts_from_events(spark, sf_dir)
+    n = F.col("trace_id").cast("long")
+    rows = a.withColumn("seq", n).withColumn("task_id", n.cast("string")).withColumn("trace_id", (n % 3000).cast("string"))
+    path = f"{ensure_checkpoint_dir(spark)}/traces-{uuid.uuid4().hex}"
+    store.write_traces(rows.filter("seq < 3000").drop("seq"), path)
+    for low, high in ((3000, 5000), (5000, 1 << 60)):
+        store.upsert_traces(rows.filter((F.col("seq") >= low) & (F.col("seq") < high)), path, seq="seq")
+    return store.read_traces(spark, path).select(
+        "trace_id", F.col("task_id").cast("long").alias("last_event"), num("cost_usd", "cost_usd"),
+        F.unix_micros("ts_start").alias("start_us"))
+
+
 @query("P1_slugify", r"""
 with S as (select doc_id, trim(regexp_replace(trim(text, E' \n\t\r'), '[^A-Za-z0-9.:/+_-]+', '-', 'g'), '-')[1:40] as s
   from documents)

@@ -4,13 +4,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from winledger.operators import guard
+from winledger.operators import caps, guard
 from winledger.plans import adapters as ad
 from winledger.queries import cnt, num, query
 from winledger.queries.guarding import GUARD_SQL, POLICY, VERDICT_OUT_SQL, guard_events, verdict_sql
 from winledger.queries.ingest import GOOD_SQL, SALT, TENANT, event_lines
 from winledger.queries.tasks import EVENT_GAP_S, EVENT_TASKS_SQL
 from winledger.session import SETTINGS, ensure_checkpoint_dir
+from winledger.sources import store
+from winledger.streaming import caps as live_caps
 from winledger.streaming import flows, stateful
 
 ROCKS = "spark.sql.streaming.stateStore.providerClass"
@@ -48,17 +50,28 @@ def drained(spark, stream):
 
 @query("T1_stream_traces", f"""
 with {GOOD_SQL}
-select case when event_id % 7 <> 0 then concat('00000000-0000-4000-8000-', lpad(cast(event_id as varchar), 12, '0')) end
+select 'trace' as kind, case when event_id % 7 <> 0 then concat('00000000-0000-4000-8000-', lpad(cast(event_id as varchar), 12, '0')) end
   as trace_id, concat('model-', event_id % 4) as model_id, cast(epoch_us(ts) as bigint) as start_us,
   cast(user_id as varchar) as session_id, cast(floor(value) as bigint) as tok_in, cast(value as double) as cost_usd
-from OK""")
+from (select *, unnest(range(copies)) as nth from OK)
+union all select case m when 10 then 'ts_start' when 20 then 'end_before_start' when 30 then 'provider'
+  when 40 then 'tokens' when 50 then 'verification' else 'malformed' end, null, null, null, null, null, null
+from (select *, unnest(range(copies)) as nth from V where m in (10, 20, 30, 40, 60, 80) or (m = 50 and not quiet))""")
 def t1(spark, sf_dir):
     folder = place(spark)
-    event_lines(spark, sf_dir).select("value").repartition(7).write.text(folder)
-    out = drained(spark, flows.stream_traces(spark, folder, TENANT, SALT))
-    given = F.when(F.col("trace_id").startswith("00000000-"), F.col("trace_id"))  # the others are made of their lines
-    return out.select(given.alias("trace_id"), "model_id", F.unix_micros("ts_start").alias("start_us"), "session_id",
-                      F.col("tokens.input").alias("tok_in"), F.col("cost_usd").cast("double").alias("cost_usd"))
+    event_lines(spark, sf_dir).select("value").repartition(7).write.text(f"{folder}/in")
+    flows.stream_traces(spark, f"{folder}/in", f"{folder}/out", f"{folder}/ckpt", TENANT, SALT, max_files=3,
+                        availableNow=True).awaitTermination()
+    given = F.when(F.col("trace_id").startswith("00000000-"), F.col("trace_id"))  # the others are made of their places
+    traces = store.read_traces(spark, f"{folder}/out/traces").select(
+        F.lit("trace").alias("kind"), given.alias("trace_id"), "model_id", F.unix_micros("ts_start").alias("start_us"), "session_id",
+        F.col("tokens.input").alias("tok_in"), F.col("cost_usd").cast("double").alias("cost_usd"))
+    none = F.lit(None)
+    rejects = spark.read.parquet(f"{folder}/out/rejects").select(
+        F.when(F.array_contains("violations", "malformed"), "malformed").otherwise(F.col("violations")[0]).alias("kind"),
+        none.cast("string").alias("trace_id"), none.cast("string").alias("model_id"), none.cast("long").alias("start_us"),
+        none.cast("string").alias("session_id"), none.cast("long").alias("tok_in"), none.cast("double").alias("cost_usd"))
+    return traces.unionByName(rejects)
 
 
 def _records(spark, sf_dir, stream=False):
@@ -144,12 +157,48 @@ def t4(spark, sf_dir):
         "session_id", "kind", "snippet")
 
 
-@query("T5_stream_caps")
+CAPS = {"session_budget_usd": 2.0, "daily_budget_usd": 5.0, "action": "stop"}
+# A recursion over the days: what a session brings into a day is what it was let through before.
+_DAY_SQL = """
+  (select *, sum(take) over (partition by tenant_id, di order by ts, event_id rows unbounded preceding) as dayrun from (
+    select *, case when before < 2 then cost else 0 end as take from (
+      select GE.*, R.spent as carry, R.spent + sum(cost) over (partition by GE.tenant_id, GE.session_id, GE.di
+        order by ts, event_id rows unbounded preceding) - cost as before
+      from GE join R on R.tenant_id = GE.tenant_id and R.session_id = GE.session_id and GE.di = R.di + 1)))"""
+STOP_SQL = f"""
+with recursive {GUARD_SQL},
+GE as (select tenant_id, session_id, event_id, ts, cost, dense_rank() over (order by cast(floor(ts / 86400) as bigint)) as di from G),
+R(di, tenant_id, session_id, spent) as (
+  select distinct 0::bigint, tenant_id, session_id, 0::decimal(38,4) from GE
+  union all
+  select R.di + 1, R.tenant_id, R.session_id, R.spent + coalesce(got, 0)
+  from R left join (select tenant_id, session_id, cast(sum(cost) as decimal(38,4)) as got from {_DAY_SQL}
+    where before < 2 and dayrun - take < 5 group by all) A using (tenant_id, session_id)
+  where R.di < (select max(di) from GE)),
+X as (select *, before < 2 and dayrun - take < 5 as ok from {_DAY_SQL}),
+Y as (select *, carry + sum(case when ok then cost else 0 end) over (partition by tenant_id, session_id, di order by ts, event_id
+    rows unbounded preceding) as s, sum(case when ok then cost else 0 end) over (partition by tenant_id, di order by ts, event_id
+    rows unbounded preceding) as d from X)
+select session_id, event_id, case when not ok then 'refused' when s >= 2 or d >= 5 then 'alert' else 'ok' end as verdict,
+  case when s >= 2 then 'session budget' when d >= 5 then 'daily budget' else '' end as cap,
+  cast(s as double) as session_spent, cast(d as double) as day_spent from Y"""
+
+
+def _caps(told):
+    return told.select("session_id", "event_id", "verdict", "cap", F.col("session_spent").cast("double").alias("session_spent"),
+                       F.col("day_spent").cast("double").alias("day_spent"))
+
+
+@query("T5_stop_caps", STOP_SQL)
+def t5_stop(spark, sf_dir):
+    return _caps(caps.stopped_caps(guard_events(spark, sf_dir), CAPS))
+
+
+@query("T5_stream_caps", STOP_SQL)
 def t5_stream(spark, sf_dir):
-    e = guard_events(_Streamed(spark, sf_dir), sf_dir)
-    out = drained(spark, stateful.stream_caps(
-        e, {"session_budget_usd": 2.0, "daily_budget_usd": 5.0, "action": "stop"}))
-    return out.groupBy("tenant_id", "verdict", "cap").agg(F.count(F.lit(1)).alias("n"))
+    e, folder = guard_events(_Streamed(spark, sf_dir), sf_dir), place(spark)
+    live_caps.stream_caps(e, f"{folder}/out", f"{folder}/ckpt", CAPS, availableNow=True).awaitTermination()
+    return _caps(spark.read.parquet(f"{folder}/out"))
 
 
 @query("T6_stream_tasks", f"""

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,22 +115,64 @@ def validate_events(events: DataFrame) -> DataFrame:
     return events.withColumn("violations", broken)
 
 
-def parse_events(lines: DataFrame, *, mode: str = "count") -> tuple[DataFrame, DataFrame]:
-    """(events, rejects) from JSON lines (column ``value``). Blank lines are skipped; in mode
-    'count' bad lines go to ``rejects`` with their violations, in mode 'strict' they are an error."""
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of text files with their place (see ``placed``)."""
+    return placed(spark.read.text(path).select("value", *PLACE_COLUMNS))
+
+
+PLACE_COLUMNS = ("_metadata.file_path", "_metadata.file_block_start")
+
+
+def placed(lines: DataFrame) -> DataFrame:
+    """``value`` and ``_place``, the file and the number of the line in it, of lines just read from files (``value``,
+    ``file_path``, ``file_block_start``). How files were cut into blocks does not show in it.
+
+    Lines are numbered where they are read, from the beginning of their block; how many lines come before a block is
+    a table with a row for each block but the first of a file, which is small enough to be broadcast."""
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, done = None, 0
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            path, block = batch.column(1), batch.column(2)
+            moved = pc.or_(pc.not_equal(path.slice(1), path.slice(0, size - 1)),
+                           pc.not_equal(block.slice(1), block.slice(0, size - 1)))
+            begin = np.concatenate(([0], np.nonzero(moved.to_numpy(zero_copy_only=False))[0] + 1))
+            lengths = np.diff(np.append(begin, size))
+            nth = np.arange(size) - np.repeat(begin, lengths)
+            if (path[0].as_py(), block[0].as_py()) == last:
+                nth[:lengths[0]] += done
+            last, done = (path[size - 1].as_py(), block[size - 1].as_py()), int(nth[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nth)], names=[*batch.schema.names, "_nth"])
+
+    read = lines.select("value", "file_path", "file_block_start")
+    before = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (read.groupBy("file_path", "file_block_start").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_before", F.sum("_n").over(before)).where("_before IS NOT NULL")
+              .select(F.col("file_path").alias("_path"), F.col("file_block_start").alias("_block"), "_before"))
+    numbered = read.mapInArrow(number, "value string, file_path string, file_block_start long, _nth long").join(
+        F.broadcast(blocks), (F.col("file_path") == F.col("_path")) & (F.col("file_block_start") == F.col("_block")), "left")
+    line = (F.coalesce("_before", F.lit(0)) + F.col("_nth")).cast("string")
+    return numbered.select("value", F.concat_ws("#", "file_path", line).alias("_place"))
+
+
+def checked_events(lines: DataFrame, *, mode: str = "count") -> DataFrame:
+    """All events of JSON lines with ``violations``, for ``split_checked``."""
     if mode not in ("count", "strict"):
         raise ValueError("mode is 'count' or 'strict'")
     # Ends are trimmed by character set: a pattern would walk the whole line.
     given = F.expr("trim(both ' \\t\\n\\r\\f' from value)")
-    text = lines.select(given.alias("_line")).filter(F.col("_line") != "")
+    place = ["_place"] if "_place" in lines.columns else []
+    text = lines.select(given.alias("_line"), *place).filter(F.col("_line") != "")
     parsed = F.from_json("_line", _raw_schema(), {"columnNameOfCorruptRecord": "_corrupt"})
     whole = F.col("_line").startswith("{") & F.col("_line").endswith("}")
     # The observed line count is part of the result of a run, and it fixes the parse as one step:
     # filters on parsed fields are not pushed below it, where they would repeat the parse per field.
     rows = (
-        text.select("_line", parsed.alias("_e"), whole.alias("_whole"))
+        text.select("_line", *place, parsed.alias("_e"), whole.alias("_whole"))
         .observe(f"event_lines_{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("n_lines"))
-        .select("_line", "_e.*", "_whole")
+        .select("_line", *place, "_e.*", "_whole")
         .withColumn("_corrupt", F.when(~F.col("_whole"), F.col("_line")).otherwise(F.col("_corrupt")))
         .drop("_whole")
     )
@@ -136,14 +182,27 @@ def parse_events(lines: DataFrame, *, mode: str = "count") -> tuple[DataFrame, D
         fail = F.raise_error(F.concat(F.lit("invalid event: "), F.array_join("violations", ", ")))
         checked = checked.withColumn(
             "violations", F.when(good, F.col("violations")).otherwise(fail.cast("array<string>")))
+    return checked
+
+
+def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects); a caller that needs both may persist what is checked, so that it is parsed once."""
+    good = F.size("violations") == 0
     events = checked.filter(good).drop("violations", "_corrupt")
-    rejects = checked.filter(~good).select(F.col("_line").alias("line"), "violations")
+    rejects = checked.filter(~good).select(
+        F.col("_line").alias("line"), "violations", *[c for c in ("_place",) if c in checked.columns])
     return events, rejects
 
 
+def parse_events(lines: DataFrame, *, mode: str = "count") -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) from JSON lines (column ``value``). Blank lines are skipped; in mode
+    'count' bad lines go to ``rejects`` with their violations, in mode 'strict' they are an error."""
+    return split_checked(checked_events(lines, mode=mode))
+
+
 def read_events(spark: SparkSession, path: str, *, mode: str = "count") -> tuple[DataFrame, DataFrame]:
     """Events and rejects of a JSON-lines file, folder or glob."""
-    return parse_events(spark.read.text(path), mode=mode)
+    return parse_events(read_lines(spark, path), mode=mode)
 
 
 def named_uuid(*parts: Column) -> Column:
@@ -154,11 +213,14 @@ def named_uuid(*parts: Column) -> Column:
 
 
 def with_ids(events: DataFrame, tenant_id: str) -> DataFrame:
-    """Fill missing trace ids from the line and its copy number, so that re-reading a file gives the
-    same ids and equal lines stay apart.
+    """Fill missing trace ids, so that re-reading a file gives the same ids and equal lines stay apart: from the place of
+    the line (file and line number), and for lines that do not come from files from the line and its copy number.
 
-    Equal lines are combined into one row with a count before the shuffle and written out again
+    In the second case equal lines are combined into one row with a count before the shuffle and written out again
     afterwards, so a line that makes up much of the input does not gather in one task."""
+    if "_place" in events.columns:
+        given = named_uuid(F.lit(tenant_id), F.col("_place"))
+        return events.withColumn("trace_id", F.coalesce("trace_id", given))
     named = events.filter(F.col("trace_id").isNotNull())
     bare = events.filter(F.col("trace_id").isNull())
     rest = [c for c in events.columns if c not in ("_line", "trace_id")]
@@ -358,8 +420,3 @@ def merge_traces(existing: DataFrame, new: DataFrame, *, seq: str | None = None)
     won = both.groupBy(F.col("_t.tenant_id").alias("_tenant"), F.col("_t.trace_id").alias("_id")).agg(
         F.max_by("_t", "_s").alias("_t"))
     return won.select("_t.*")
-
-
-def write_traces(traces: DataFrame, path: str, *, mode: str = "append") -> None:
-    """Store traces as Parquet by day of start."""
-    traces.withColumn("date", F.to_date("ts_start")).write.mode(mode).partitionBy("date").parquet(path)

@@ -12,6 +12,7 @@ from winledger.operators import guard
 from winledger.operators.drift import window_bounds
 from winledger.plans.ordered import scan
 from winledger.sources import events as ev
+from winledger.sources import store
 from winledger.sources.chats import BLOCK
 
 # Tools that change files, and how a passing run reads.
@@ -26,19 +27,24 @@ RECORD = (
 EVENTS_PER_RECORD = 10_000
 
 
-def stream_traces(
-    spark: SparkSession, path: str, tenant_id: str, salt: str, *, lateness: str = "1 hour",
-    max_files: int = 100,
-) -> DataFrame:
-    """Traces from event files as they arrive. The same trace id is passed on once within the
-    lateness. A line without an id is identified by its text alone, so copies of it are dropped:
-    copy numbers need all copies at once, which a stream never has."""
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
-    events, _ = ev.parse_events(lines.select("value"))
-    digest = ev.named_uuid(F.lit(tenant_id), F.col("_line"), F.lit("1"))
-    named = events.withColumn("trace_id", F.coalesce("trace_id", digest))
-    traces = ev.normalize(named, tenant_id, salt)
-    return traces.withWatermark("ts_start", lateness).dropDuplicatesWithinWatermark(["trace_id"])
+def stream_traces(spark: SparkSession, path: str, out: str, checkpoint: str, tenant_id: str, salt: str, *,
+                  max_files: int = 100, **trigger):
+    """Start a query that reads event files as they arrive into ``{out}/traces``, a table as ``sources.store`` keeps it,
+    and writes bad lines with their violations and places to ``{out}/rejects``.
+
+    A line without an id is identified by its file and line number, as in the batch reader, so copies count. A given
+    id that comes again replaces its trace. A micro-batch is parsed once and may be repeated."""
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path).select("value", *ev.PLACE_COLUMNS)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        checked = ev.checked_events(ev.placed(batch)).persist()
+        events, rejects = ev.split_checked(checked)
+        rejects.withColumnRenamed("_place", "place").write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
+        store.upsert_traces(ev.normalize(ev.with_ids(events, tenant_id), tenant_id, salt), f"{out}/traces")
+        checked.unpersist()
+
+    writer = lines.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 def record_time(raw: Column, fallback: Column) -> Column:

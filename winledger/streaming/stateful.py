@@ -1,7 +1,7 @@
-"""Streams with state per key: session memory for stall verdicts, spend caps, task assembly.
+"""Streams with state per key: session memory for stall verdicts, task assembly.
 
 A session keeps its sums, at most 24 calls and 6 texts, and is forgotten when it has been silent long
-enough; a tenant keeps its spend. State lives in the RocksDB state store and survives lost executors
+enough. State lives in the RocksDB state store and survives lost executors
 through the query's checkpoint. What the state means is judged by the batch operator's columns.
 """
 
@@ -166,65 +166,6 @@ def stream_stalls(
         (F.col("state") != F.col("_was")).alias("changed"))
 
 
-CAP_ROW = T.StructType([
-    T.StructField("tenant_id", T.StringType()), T.StructField("session_id", T.StringType()),
-    T.StructField("event_id", T.LongType()), T.StructField("verdict", T.StringType()),
-    T.StructField("cap", T.StringType()), T.StructField("session_spent", T.DoubleType()),
-    T.StructField("day_spent", T.DoubleType()),
-])
-
-
-class _CapProcessor(StatefulProcessor):
-    def __init__(self, policy: Mapping):
-        self.policy = {**POLICY_DEFAULTS, **policy}
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        money = T.StructType([T.StructField("usd", T.DoubleType())])
-        self.sessions = handle.getMapState("sessions", TEXT_STATE, money)
-        self.day = handle.getValueState("day", T.StructType([
-            T.StructField("day", T.LongType()), T.StructField("usd", T.DoubleType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        p, out = self.policy, []
-        day, spent = self.day.get() if self.day.exists() else (None, 0.0)
-        for e in pd.concat(list(rows)).sort_values(["ts", "event_id"]).to_dict("records"):
-            today = int(e["ts"] // 86400)
-            if today != day:
-                day, spent = today, 0.0
-            sid = (e["session_id"],)
-            mine = self.sessions.getValue(sid)[0] if self.sessions.containsKey(sid) else 0.0
-
-            def cap(session: float, total: float) -> str:
-                if p["session_budget_usd"] and session >= p["session_budget_usd"]:
-                    return "session budget"
-                return "daily budget" if p["daily_budget_usd"] and total >= p["daily_budget_usd"] else ""
-
-            before = cap(mine, spent)
-            if before and p["action"] == "stop":
-                out.append((key[0], sid[0], int(e["event_id"]), "refused", before, mine, spent))
-                continue
-            mine, spent = mine + float(e["cost_usd"]), spent + float(e["cost_usd"])
-            self.sessions.updateValue(sid, (mine,))
-            after = cap(mine, spent)
-            out.append((key[0], sid[0], int(e["event_id"]), "alert" if after else "ok", after, mine, spent))
-        self.day.update((day, spent))
-        yield pd.DataFrame(out, columns=CAP_ROW.names)
-
-    def close(self) -> None:
-        pass
-
-
-def stream_caps(events: DataFrame, policy: Mapping | None = None) -> DataFrame:
-    """Spend caps per tenant in order of arrival: 'ok', 'alert' when a cap is reached, or under
-    action 'stop' 'refused' for calls after it, which then cost nothing. Days roll at UTC midnight.
-
-    Refusals in one session change what is left for the others, so a tenant is one key."""
-    rows = events.select("tenant_id", "session_id", "event_id", F.col("ts").cast("double").alias("ts"),
-                         F.col("cost_usd").cast("double").alias("cost_usd"))
-    return rows.groupBy("tenant_id").transformWithStateInPandas(
-        _CapProcessor(policy or {}), CAP_ROW, "Append", "None")
-
-
 TASK_ROW = T.StructType([
     T.StructField("tenant_id", T.StringType()), T.StructField("session_id", T.StringType()),
     T.StructField("task_id", T.StringType()), T.StructField("attempts", T.LongType()),
@@ -234,34 +175,68 @@ TASK_ROW = T.StructType([
     T.StructField("total_cost_usd", T.DecimalType(38, 9)), T.StructField("total_wall_ms", T.LongType()),
     T.StructField("models_used", T.ArrayType(T.StringType())),
 ])
+SPAN_MS = 60_000
+"""Event time whose attempts are read together when they are due."""
 
 
 class _TaskProcessor(StatefulProcessor):
-    """Buffers a session's attempts until the watermark has passed them, then extends or closes the
-    open task in time order."""
+    """Keeps a session's attempts by their time until the watermark has passed them, then extends or closes the open
+    task in time order.
+
+    Attempts wait in pieces of ``SPAN_MS`` of event time: what arrives together is one piece, read again only when it
+    is due. ``due`` lists the spans that wait, with the earliest start and the number of pieces of each; one timer
+    stands at the next place where anything is to be done."""
 
     def __init__(self, gap_s: float, min_overlap: float):
         self.gap, self.overlap = int(gap_s * 1_000_000), min_overlap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", TEXT_STATE)
+        place = T.StructType([T.StructField("span", T.LongType()), T.StructField("piece", T.LongType())])
+        self.waiting = handle.getMapState("waiting", place, TEXT_STATE)
+        self.due = handle.getValueState("due", TEXT_STATE)
         self.open = handle.getValueState("open", TEXT_STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        times = set()
-        for r in batch.to_dict("records"):
-            item = {k: r[k] for k in ("trace_id", "start", "end", "template", "model_id", "status", "cost", "wall")}
-            item["shingles"] = None if r["shingles"] is None else list(r["shingles"])
-            item = {k: v.item() if hasattr(v, "item") else v for k, v in item.items()}
-            self.waiting.appendValue((json.dumps(item),))
-            # Once the watermark passes the start the row is in order; once it passes the end and
-            # the gap nothing can join it any more.
-            times.add(item["start"] // 1000 + 1)
-            times.add((max(item["end"], item["start"]) + self.gap) // 1000 + 1)
-        for t in times:
+    def _load(self) -> dict[int, list[int]]:
+        """Span -> [earliest start in microseconds, pieces]."""
+        return {int(k): v for k, v in json.loads(self.due.get()[0]).items()} if self.due.exists() else {}
+
+    def _keep(self, due: dict[int, list[int]], task: dict | None) -> None:
+        """Store what waits and move the timer to the next due place."""
+        if due:
+            self.due.update((json.dumps(due),))
+        else:
+            self.due.clear()
+        places = [start // 1000 + 1 for start, _ in due.values()]
+        if task is not None:
+            places.append((max(task["last"]["end"], task["last"]["start"]) + self.gap) // 1000 + 1)
+        timers = set(self.handle.listTimers())
+        wanted = {min(places)} if places else set()
+        for t in timers - wanted:
+            self.handle.deleteTimer(t)
+        for t in wanted - timers:
             self.handle.registerTimer(t)
+
+    def _add(self, due: dict[int, list[int]], items: list[dict]) -> None:
+        """A piece for each span the items fall in."""
+        spans: dict[int, list[dict]] = {}
+        for i in items:
+            spans.setdefault(i["start"] // (1000 * SPAN_MS), []).append(i)
+        for span, mine in spans.items():
+            first, pieces = due.get(span, [mine[0]["start"], 0])
+            self.waiting.updateValue((span, pieces), (json.dumps(mine),))
+            due[span] = [min(first, *(i["start"] for i in mine)), pieces + 1]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        due = self._load()
+        names = ("trace_id", "start", "end", "template", "model_id", "status", "cost", "wall")
+        for batch in rows:
+            items = []
+            for r in batch.to_dict("records"):
+                item = {k: r[k].item() if hasattr(r[k], "item") else r[k] for k in names}
+                items.append(item | {"shingles": None if r["shingles"] is None else list(r["shingles"])})
+            self._add(due, items)
+        self._keep(due, json.loads(self.open.get()[0]) if self.open.exists() else None)
         yield pd.DataFrame([], columns=TASK_ROW.names)
 
     def _joins(self, task: dict, item: dict) -> bool:
@@ -272,16 +247,26 @@ class _TaskProcessor(StatefulProcessor):
         return (last["template"] == item["template"] and item["start"] - last["end"] < self.gap
                 and share > self.overlap)
 
+    def _ready(self, due: dict[int, list[int]], passed: int) -> Iterator[dict]:
+        """The attempts that start before ``passed``, in order, taken out of what waits, span by span."""
+        for span in sorted(s for s, (start, _) in due.items() if start < passed):
+            places = [(span, k) for k in range(due.pop(span)[1])]
+            items = [i for p in places for i in json.loads(self.waiting.getValue(p)[0])]
+            for p in places:
+                self.waiting.removeKey(p)
+            later = [i for i in items if i["start"] >= passed]
+            if later:
+                self._add(due, later)
+            yield from sorted((i for i in items if i["start"] < passed), key=lambda i: (i["start"], i["trace_id"]))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         from decimal import Decimal
 
-        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        items = [json.loads(v[0]) for v in self.waiting.get()] if self.waiting.exists() else []
-        ready = sorted((i for i in items if i["start"] < passed), key=lambda i: (i["start"], i["trace_id"]))
-        later = [i for i in items if i["start"] >= passed]
+        passed = 1000 * max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        due = self._load()
         task = json.loads(self.open.get()[0]) if self.open.exists() else None
         closed = []
-        for i in ready:
+        for i in self._ready(due, passed):
             if task is not None and not self._joins(task, i):
                 closed.append(task)
                 task = None
@@ -294,19 +279,15 @@ class _TaskProcessor(StatefulProcessor):
             task["cost"] = str(Decimal(task["cost"]) + Decimal(i["cost"]))
             task["wall"] += i["wall"]
             task["models"] += [i["model_id"]] if i["model_id"] not in task["models"] else []
-            task["last"] = {k: i[k] for k in ("template", "end", "shingles")}
+            task["last"] = {k: i[k] for k in ("template", "start", "end", "shingles")}
         if task is not None and task["last"]["end"] + self.gap < passed:
             closed.append(task)
             task = None
-        if ready:
-            if later:
-                self.waiting.put([(json.dumps(i),) for i in later])
-            else:
-                self.waiting.clear()
         if task is None:
             self.open.clear()
         else:
             self.open.update((json.dumps(task),))
+        self._keep(due, task)
         yield pd.DataFrame([
             (key[0], key[1], t["id"], t["n"], t["pass"], t["first"], t["known"], Decimal(t["cost"]),
              t["wall"], t["models"]) for t in closed], columns=TASK_ROW.names)
