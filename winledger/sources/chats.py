@@ -1,18 +1,21 @@
 """Conversation sources: session logs, two chat-export layouts, transcripts, plain messages.
 
-Readers take files; parsers take a table (path, text) with one whole file per row. All give turns
-(conv_id, turn, role, content), before normalisation, with title and day where the source has them.
+Readers take files: logs and transcripts by line, in blocks, exports whole. Parsers take a table (path, text) with one
+whole file per row, or (path, line, raw). All give turns (conv_id, turn, role, content), before normalisation, with
+title and day where the source has them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from winledger.functions.jsontext import spaced_json
 from winledger.functions.text import LINE_BREAK, strip_blank
 from winledger.operators.conversations import role_of
+from winledger.plans.ordered import Ordered, held, scan
+from winledger.sources import events
 
 MAX_TOOL_CHARS = 400
 # Blocks a harness puts into a user's turn.
@@ -93,9 +96,22 @@ LOG_RECORD = (
 )
 
 
-def log_records(files: DataFrame) -> DataFrame:
-    """One row per readable JSON line of session logs (path, text)."""
-    lines = files.select("path", F.posexplode(F.split("text", LINE_BREAK)).alias("line", "raw"))
+def file_lines(files: DataFrame) -> DataFrame:
+    """(path, line, raw) of a table (path, text) with whole files."""
+    return files.select("path", F.posexplode(F.split("text", LINE_BREAK)).alias("line", "raw")).withColumn(
+        "line", F.col("line").cast("long"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, raw) of text files, read in blocks: a large file is cut, and a line knows its number in the file."""
+    place = F.col("_place")
+    return events.read_lines(spark, path).select(
+        F.substring_index(place, "#", F.regexp_count(place, F.lit("#"))).alias("path"),
+        F.substring_index(place, "#", -1).cast("long").alias("line"), F.col("value").alias("raw"))
+
+
+def log_records(lines: DataFrame) -> DataFrame:
+    """One row per readable JSON line of session logs (path, line, raw)."""
     return (
         lines.filter(strip_blank(F.col("raw")).startswith("{"))
         .withColumn("r", F.from_json("raw", LOG_RECORD)).filter(F.col("r.type").isNotNull())
@@ -103,26 +119,30 @@ def log_records(files: DataFrame) -> DataFrame:
 
 
 def parse_session_logs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(turns, conversations) of session logs; conv_id is the path. Subagent and harness records are
-    skipped and tool results are folded into the assistant's turn.
+    """(turns, conversations) of session logs given as whole files (path, text)."""
+    return parse_session_lines(file_lines(files))
+
+
+def parse_session_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, conversations) of session logs given by line (path, line, raw); conv_id is the path. Subagent and harness
+    records are skipped and tool results are folded into the assistant's turn.
 
-    Windows run over one file, which is one row of the input and so bounded."""
-    records = log_records(files)
+    What a line needs of those before it comes from the ordered scan, which cuts a long file into slices."""
+    records = log_records(lines)
     talk = records.filter(
         F.col("r.type").isin("user", "assistant")
         & ~F.coalesce("r.isSidechain", F.lit(False)) & ~F.coalesce("r.isMeta", F.lit(False)))
     talk = talk.select("path", "line", F.col("r.type").alias("kind"), "r.cwd", "r.timestamp",
                        F.col("r.message.content").alias("_raw"))
-    said = _block_texts(talk, "_raw", "_said", ["path", "line"])
+    said = _block_texts(talk, "_raw", "_said", ["path", "line"]).drop("_raw")
     said = said.withColumn(
         "_said", strip_blank(F.regexp_replace("_said", HARNESS_TAGS, ""))).filter("_said <> ''")
     result = (F.col("kind") == "user") & F.col("_said").startswith("[tool result:")
-    file = Window.partitionBy("path").orderBy("line")
-    upto = file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    speaker = F.last(F.when(~result, F.col("kind")), ignorenulls=True).over(upto)
-    folded = result & F.coalesce(speaker == "assistant", F.lit(False))
-    grouped = said.withColumn("_folded", folded).withColumn(
-        "_turn", F.sum((~F.col("_folded")).cast("int")).over(upto))
+    ordered = Ordered(said.withColumn("_result", result), ["path"], ["line"])
+    ordered.add(carry={"_speaker": F.when(~F.col("_result"), F.col("kind"))})
+    folded = F.col("_result") & F.coalesce(F.col("_speaker") == "assistant", F.lit(False))
+    ordered.map(lambda df: df.withColumn("_folded", folded)).add(running_sum={"_turn": (~F.col("_folded")).cast("int")})
+    grouped = ordered.result()
     turns = grouped.groupBy(F.col("path").alias("conv_id"), F.col("_turn").alias("turn")).agg(
         F.min_by("kind", "line").alias("role"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "_said"))),
@@ -156,7 +176,7 @@ def parse_session_logs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_session_logs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_session_logs(read_files(spark, path))
+    return parse_session_lines(read_lines(spark, path))
 
 
 # -------------------------------------------------------------- chat exports
@@ -202,20 +222,30 @@ def parse_chat_export_a(files: DataFrame) -> DataFrame:
                        F.coalesce("_text", "_said").alias("content"))
 
 
-def branch(mapping: Column, current: Column) -> Column:
-    """Node ids from the root to the current node of a parent-pointer tree; safe against cycles.
-
-    Walks inside the row: the tree is one value, and each node is visited at most once."""
-    start = F.struct(current.alias("at"), F.array().cast("array<string>").alias("path"))
-
-    def step(acc: Column, _: Column) -> Column:
-        live = acc["at"].isNotNull() & F.map_contains_key(mapping, F.coalesce(acc["at"], F.lit("")))
-        live = live & ~F.array_contains(acc["path"], F.coalesce(acc["at"], F.lit("")))
-        return F.when(live, F.struct(
-            F.try_element_at(mapping, acc["at"])["parent"].alias("at"),
-            F.concat(F.array(acc["at"]), acc["path"]).alias("path"))).otherwise(acc)
-
-    return F.reduce(F.sequence(F.lit(1), F.greatest(F.size(mapping), F.lit(1))), start, step)["path"]
+def branches(nodes: DataFrame) -> DataFrame:
+    """``conv_id``, ``node`` and ``above`` (steps from the current node) of the branch that ends in each tree's current
+    node, from nodes (conv_id, node, parent, current).
+
+    Pointers double: every round the nodes found so far, which are those less than 2^k steps above, step 2^k further,
+    and each pointer takes the place of two. So a branch is found in as many rounds as its length has binary digits.
+    A parent that is no node ends a branch, and so does a node that was passed before: what a cycle would add
+    is there already."""
+    tree = held(nodes.select("conv_id", "node", "parent", "current"))
+    jump = tree.select("conv_id", F.col("node").alias("_from"), F.col("parent").alias("_to")).join(
+        tree.select("conv_id", F.col("node").alias("_to")), ["conv_id", "_to"])
+    path = held(tree.filter("node = current").select("conv_id", "node", F.lit(0).cast("long").alias("above")))
+    size, step = path.count(), 1
+    while True:
+        jump = held(jump)
+        further = path.join(jump, (path["conv_id"] == jump["conv_id"]) & (F.col("node") == F.col("_from"))).select(
+            path["conv_id"], F.col("_to").alias("node"), (F.col("above") + step).alias("above"))
+        path = held(path.unionByName(further).groupBy("conv_id", "node").agg(F.min("above").alias("above")))
+        grown = path.count()
+        if grown == size:
+            return path
+        size, step = grown, 2 * step
+        jump = jump.select("conv_id", "_from", F.col("_to").alias("_over")).join(
+            jump.select("conv_id", F.col("_from").alias("_over"), "_to"), ["conv_id", "_over"]).drop("_over")
 
 
 def parse_chat_export_b(files: DataFrame) -> DataFrame:
@@ -225,10 +255,13 @@ def parse_chat_export_b(files: DataFrame) -> DataFrame:
     leaves = F.filter(F.map_entries(tree), lambda e: F.coalesce(F.size(e["value"]["children"]), F.lit(0)) <= 0)
     leaf = F.try_element_at(leaves, F.lit(-1))["key"]
     current = F.coalesce(F.nullif(F.col("c.current_node"), F.lit("")), leaf)
-    rows = convs.select(
-        "conv_id", F.col("c.title").alias("title"), epoch_day(F.col("c.create_time")).alias("when"),
-        F.posexplode(F.transform(branch(tree, current),
-                                 lambda n: F.try_element_at(tree, n)["message"])).alias("turn", "m"))
+    nodes = convs.select(
+        "conv_id", F.col("c.title").alias("title"), epoch_day(F.col("c.create_time")).alias("when"), current.alias("current"),
+        F.explode(tree).alias("node", "e")).select("*", F.col("e.parent").alias("parent"), F.col("e.message").alias("m")).drop("e")
+    path = branches(nodes).select(F.col("conv_id").alias("_conv"), F.col("node").alias("_node"), "above")
+    length = path.groupBy(F.col("_conv").alias("_of")).agg(F.max("above").alias("_last"))
+    rows = nodes.join(path, (F.col("conv_id") == F.col("_conv")) & (F.col("node") == F.col("_node"))).join(
+        length, F.col("conv_id") == F.col("_of")).withColumn("turn", (F.col("_last") - F.col("above")).cast("int"))
     role, raw = F.col("m.author.role"), F.col("m.content")
     parts = F.from_json(F.get_json_object(raw, "$.parts"), "array<string>")
 
@@ -262,39 +295,37 @@ def read_chat_export_b(spark: SparkSession, path: str) -> DataFrame:
 
 # --------------------------------------------------------------- transcripts
 def parse_transcripts(files: DataFrame) -> DataFrame:
-    """``User:`` / ``Assistant:`` texts. Lines before the first speaker are dropped; a text without
-    any speaker becomes context with a canned reply.
-
-    The lines of a text are folded inside its row."""
-    lines = F.split("text", LINE_BREAK)
-    who = F.transform(lines, lambda x: F.struct(
-        F.nullif(F.lower(F.regexp_extract(x, SPEAKER, 1)), F.lit("")).alias("who"),
-        F.regexp_replace(x, SPEAKER, "").alias("said"), x.alias("whole")))
-    rows = files.select("path", "text", F.posexplode(who).alias("line", "l"))
-    order = Window.partitionBy("path").orderBy("line").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("turn", F.sum(F.col("l.who").isNotNull().cast("int")).over(order))
-    spoken = rows.filter(F.col("turn") > 0).groupBy(F.col("path").alias("conv_id"), "turn").agg(
-        F.max("l.who").alias("_who"),
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct(
-                "line", F.when(F.col("l.who").isNotNull(), F.col("l.said"))
-                .otherwise(F.col("l.whole")).alias("t")))),
-            lambda p: p["t"]), "\n").alias("_text"),
-    ).select("conv_id", "turn", role_of(F.col("_who")).alias("role"),
-             strip_blank(F.col("_text")).alias("content"))
-    silent = files.filter(
-        ~F.exists(lines, lambda x: x.rlike(SPEAKER)) & (strip_blank(F.col("text")) != ""))
+    """Turns of transcripts given as whole files (path, text)."""
+    return parse_transcript_lines(file_lines(files))
+
+
+def parse_transcript_lines(lines: DataFrame) -> DataFrame:
+    """``User:`` / ``Assistant:`` texts by line (path, line, raw). Lines before the first speaker are dropped; a text
+    without any speaker becomes context with a canned reply.
+
+    Parts are numbered by the ordered scan, so a long text is cut; the lines of one part become one turn."""
+    who = F.nullif(F.lower(F.regexp_extract("raw", SPEAKER, 1)), F.lit(""))
+    rows = lines.select("path", "line", who.alias("_who"), F.when(
+        who.isNotNull(), F.regexp_replace("raw", SPEAKER, "")).otherwise(F.col("raw")).alias("_t"))
+    rows = scan(rows, ["path"], ["line"], running_sum={"turn": F.col("_who").isNotNull().cast("int")})
+    parts = rows.groupBy(F.col("path").alias("conv_id"), "turn").agg(
+        F.max("_who").alias("_who"),
+        strip_blank(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "_t"))), lambda p: p["_t"]), "\n"))
+        .alias("_text"))
+    spoken = parts.filter("turn > 0").select("conv_id", "turn", role_of(F.col("_who")).alias("role"), F.col("_text").alias("content"))
+    silent = parts.join(spoken.select("conv_id").distinct(), "conv_id", "left_anti").filter("_text <> ''")
     canned = F.array(
-        F.struct(F.lit("user").alias("role"),
-                 F.concat(F.lit(MATERIAL_INTRO), strip_blank(F.col("text"))).alias("content")),
+        F.struct(F.lit("user").alias("role"), F.concat(F.lit(MATERIAL_INTRO), F.col("_text")).alias("content")),
         F.struct(F.lit("assistant").alias("role"), F.lit(MATERIAL_REPLY).alias("content")))
-    given = silent.select(
-        F.col("path").alias("conv_id"), F.posexplode(canned).alias("turn", "m")
-    ).select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.content")
+    given = silent.select("conv_id", F.posexplode(canned).alias("turn", "m")).select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.content")
     return spoken.unionByName(given)
 
 
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    return parse_transcript_lines(read_lines(spark, path))
+
+
 def detect_format(files: DataFrame) -> DataFrame:
     """Add ``format`` by name, first characters and keys: session_log, export_a, export_b, messages
     or transcript."""
