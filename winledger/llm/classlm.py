@@ -38,6 +38,7 @@ FOLDS, FOLD = 10, 0
 REST, END, UNKNOWN = CLASSES, CLASSES + 1, CLASSES + 2  # classes of words not placed yet, of ends, of unknown words
 SIDES = CLASSES + 3
 SLICES = 16
+PACK = 1 << 18  # words of blocks that a task gathers before it sends them on
 UNKNOWN_WEIGHT, CLASS_WEIGHT = 50.0, 5.0
 _PIECE = 4 << 20
 
@@ -104,6 +105,35 @@ def _tokens(tokens: bytes, sizes: bytes, learn: bytes) -> tuple[np.ndarray, np.n
             np.repeat(np.frombuffer(learn, bool), sizes))
 
 
+_ENTRY = np.dtype([("at", "<i4"), ("n", "<i8"), ("class", "u1")])
+
+
+def _packed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, at, n, class) gathered into one value for each block."""
+    held, size = [], 0
+
+    def sent() -> pa.RecordBatch:
+        block = np.concatenate([b.column(0).to_numpy() for b in held])
+        rows = np.empty(len(block), _ENTRY)
+        for k, name in enumerate(_ENTRY.names, 1):
+            rows[name] = np.concatenate([b.column(k).to_numpy() for b in held])
+        order = np.argsort(block, kind="stable")
+        block, rows = block[order], rows[order]
+        begin = np.nonzero(np.diff(block, prepend=-1))[0]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block[begin]), pa.array([rows[a:b].tobytes() for a, b in zip(begin, [*begin[1:], len(rows)], strict=True)],
+                                              pa.binary())], names=["block", "entries"])
+
+    for batch in found:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= PACK:
+            yield sent()
+            held, size = [], 0
+    if size:
+        yield sent()
+
+
 def _words(data: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
 
@@ -243,8 +273,8 @@ def placements(between: np.ndarray) -> np.ndarray:
 
 def placed(read: DataFrame, core: dict[bytes, int], core_n: np.ndarray, classes: np.ndarray,
            between: np.ndarray, named: bool = False) -> DataFrame:
-    """``block``, ``at`` (the word's number there), ``n`` (0 if unknown) and ``class`` of every block's words, and the
-    ``word`` itself if ``named``.
+    """``at`` (a word's number in its block), ``n`` (0 if unknown) and ``class`` of every block's words: as packed
+    ``entries`` of a ``block``, or if ``named`` as rows with the ``block`` and the ``word``.
 
     Words outside the core go to the class in which their occurrences are likeliest. A word comes to its task row
     by row, one for each block that holds it, with the classes of its neighbours; the task keeps the blocks only.
@@ -338,47 +368,51 @@ def placed(read: DataFrame, core: dict[bytes, int], core_n: np.ndarray, classes:
             held.append((block[begin[-1]:].copy(), at[begin[-1]:].copy()))
         yield from closed()
 
+    def fold_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _packed(fold(batches))
+
     names = ["block", "at", "n", "class", *["word"] * named]
-    return (read.select("block", "words", "tokens", "sizes", "learn")
+    rows = (read.select("block", "words", "tokens", "sizes", "learn")
             .mapInArrow(scan, "block long, at int, word string, n long, class int, cells binary")
-            .repartition(parts, "word").sortWithinPartitions("word")
-            .mapInArrow(fold, "block long, at int, n long, class int" + ", word string" * named))
+            .repartition(parts, "word").sortWithinPartitions("word"))
+    if named:
+        return rows.mapInArrow(fold, "block long, at int, n long, class int, word string")
+    return rows.mapInArrow(fold_packed, "block long, entries binary")
 
 
 def coded(read: DataFrame, found: DataFrame, total: int, distinct: int) -> DataFrame:
     """Of each block the texts' ``ids``, numbers of tokens and known tokens, ``base`` score and ``emission`` (the
     logarithms of the words' counts), the ``classes`` of all tokens, and the ``transitions`` of those learned from.
 
-    A block meets its words in one shuffle; a task holds one block at a time.
+    ``found`` are the packed words of ``placed``. A block meets its words in one shuffle; a task holds one block at a
+    time.
     """
     parts = shuffle_parts(read.sparkSession)
     kind = read.schema["ids"].dataType.simpleString()
-    empty = {c: F.lit(None).cast(t) for c, t in
-             (("tokens", "binary"), ("sizes", "binary"), ("learn", "binary"), ("ids", kind))}
-    both = (read.select("block", F.lit(-1).alias("at"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("class"), *empty)
-            .unionByName(found.select("block", "at", "n", "class").withColumns(empty)))
+    columns = ["block", "rest", "data", "sizes", "learn", "ids"]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("sizes", "binary"), ("learn", "binary"), ("ids", kind))]
+    both = read.select("block", F.lit(0).alias("rest"), F.col("tokens").alias("data"), "sizes", "learn", "ids").unionByName(
+        found.select("block", F.lit(1).alias("rest"), F.col("entries").alias("data"), *none))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, ats, ns, kinds = None, [], [], []
+        texts, entries = None, []
         for batch in batches:
-            heads = np.nonzero(batch.column(1).to_numpy() < 0)[0].tolist()
-            starts = sorted({0, *heads})
-            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
-                if a in heads:
-                    if texts is not None:
-                        yield made(texts, ats, ns, kinds)
-                    texts, ats, ns, kinds = batch.slice(a, 1), [], [], []
-                    a += 1
-                for held, column in ((ats, 1), (ns, 2), (kinds, 3)):
-                    held.append(batch.column(column).to_numpy()[a:b].copy())
+            for row, rest in enumerate(batch.column(1).to_pylist()):
+                if rest:
+                    entries.append(np.frombuffer(batch.column(2)[row].as_py(), _ENTRY))
+                    continue
+                if texts is not None:
+                    yield made(texts, entries)
+                texts, entries = batch.slice(row, 1), []
         if texts is not None:
-            yield made(texts, ats, ns, kinds)
+            yield made(texts, entries)
 
-    def made(texts: pa.RecordBatch, ats: list, ns: list, kinds: list) -> pa.RecordBatch:
-        tokens, sizes, learn = _tokens(*(texts.column(c)[0].as_py() for c in (4, 5, 6)))
-        at = np.concatenate(ats)
+    def made(texts: pa.RecordBatch, entries: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, sizes, learn = _tokens(*(texts.column(c)[0].as_py() for c in (2, 3, 4)))
+        words = np.concatenate([np.zeros(0, _ENTRY), *entries])
+        at = words["at"]
         count, kind_of = np.zeros(len(at) + 1, np.int64), np.full(len(at) + 1, UNKNOWN, np.int64)
-        count[at], kind_of[at] = np.concatenate(ns), np.concatenate(kinds)
+        count[at], kind_of[at] = words["n"], words["class"]
         count[0], kind_of[0] = ends, END
         if not ends:
             kind_of[0] = UNKNOWN
@@ -394,7 +428,7 @@ def coded(read: DataFrame, found: DataFrame, total: int, distinct: int) -> DataF
         counts[:, UNKNOWN] += np.bincount(old[0][learn & once], minlength=SIDES)
         counts[UNKNOWN] += np.bincount(now[learn & after_once], minlength=SIDES)
         counts[UNKNOWN, UNKNOWN] += (learn & after_once & once).sum()
-        texts_ids = texts.column(7)
+        texts_ids = texts.column(5)
         return pa.RecordBatch.from_arrays(
             [texts_ids, pa.array([sizes.tolist()], pa.list_(pa.int32())), *(
                 pa.array([s.tolist()], pa.list_(t)) for s, t in zip(sums, (pa.int64(), pa.float64(), pa.float64()), strict=True)),
@@ -402,8 +436,7 @@ def coded(read: DataFrame, found: DataFrame, total: int, distinct: int) -> DataF
             names=["ids", "sizes", "known", "base", "emission", "classes", "transitions"])
 
     ends = _ends(read)
-    return (both.select("block", "at", "n", "class", *empty).repartition(parts, "block")
-            .sortWithinPartitions("block", "at").mapInArrow(
+    return (both.select(columns).repartition(parts, "block").sortWithinPartitions("block", "rest").mapInArrow(
         scan, f"ids {kind}, sizes array<int>, known array<long>, base array<double>, emission array<double>, "
               "classes binary, transitions binary"))
 
