@@ -345,6 +345,22 @@ def p20_documents(spark, sf_dir):
     return found.filter("kind = 'secret'").select("doc_id", "snippet")
 
 
+@query("P20_inspect_kinds", f"""
+with S as ({_SECRET_SQL})
+select distinct doc_id, 'secret' as kind, {redact_sql('t')} as snippet from S
+union all select doc_id, (['outside_workspace', 'network', 'env_dump', 'bypass'])[doc_id % 5 + 1], (['/etc/p' || doc_id % 3,
+  'curl https://h' || doc_id % 4 || '.example.com/x', 'PrintEnv', 'bypass the guard'])[doc_id % 5 + 1] from documents where doc_id % 5 < 4
+union all select doc_id, 'network', 'h' || doc_id % 4 || '.example.com' from documents where doc_id % 5 = 1""")
+def p20_kinds(spark, sf_dir):
+    """Every document with a piece of one of the other kinds behind it."""
+    d, n = ad.table(spark, sf_dir, "documents"), F.col("doc_id")
+    piece = (F.when(n % 5 == 0, F.format_string("see /etc/p%d", n % 3))
+             .when(n % 5 == 1, F.format_string("curl https://h%d.example.com/x", n % 4))
+             .when(n % 5 == 2, F.lit("PrintEnv")).when(n % 5 == 3, F.lit("now bypass the guard")).otherwise(""))
+    return guard.inspect_outbound(d.select("doc_id", F.concat_ws("\n;\n", "text", piece).alias("text"))).select(
+        "doc_id", "kind", "snippet")
+
+
 @query("F2_trigram_overlap", r"""
 with P as (select conv_id, turn, lower(text) as b,
     lower(lag(text) over (partition by conv_id order by turn)) as a from conversations),

@@ -150,9 +150,9 @@ def stream_findings(
     key: Sequence[str] = ("tenant_id", "session_id"), text: str = "text", cwd: str | None = None,
 ) -> DataFrame:
     """Cage findings of outbound texts, each (kind, snippet) once per session."""
-    found = guard.all_findings(F.col(text), guard.policy_columns(policy), F.col(cwd) if cwd else None)
-    rows = texts.select(*key, F.explode(found).alias("_f")).select(*key, "_f.*")
-    return rows.dropDuplicates([*key, "kind", "snippet"])
+    found = guard.all_findings(F.col(text), guard.policy_columns(policy), F.col("_marks"), F.col(cwd) if cwd else None)
+    rows = texts.withColumn("_marks", guard.marks(F.col(text))).select(*key, F.explode(found).alias("_f"))
+    return rows.select(*key, "_f.*").dropDuplicates([*key, "kind", "snippet"])
 
 
 def stream_windows(tasks: DataFrame, *, width: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
