@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from winledger.functions.stats import newcombe
 from winledger.operators.tasks import at
 from winledger.plans.ordered import Ordered, scan
+from winledger.plans.skew import salted
 from winledger.schema import MONEY_SUM
 
 MIN_EFFECT_POINTS = 5.0
@@ -36,7 +37,8 @@ def stratified_sample(
 ) -> DataFrame:
     """A sample of live tasks with a quota per cluster by cost share, at least one each.
 
-    Members are those with the smallest seeded hash, so the sample is repeatable."""
+    Members are those with the smallest seeded hash, so the sample is repeatable. Only tasks below a bound that a
+    histogram of the hashes gives are ranked (``below_bound``)."""
     sizes = tasks.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_size"))
     everyone = Window.partitionBy()
     # One row per cluster.
@@ -53,24 +55,42 @@ def stratified_sample(
             F.col("_size"), F.greatest(F.lit(1.0), F.rint(F.col("_target") * F.col("_w")))
         ).cast("long").alias("_quota"))
     )
-    key = F.md5(F.concat_ws(":", F.col("tenant_id"), F.col("task_id"), F.lit(str(seed))))
     ranked = scan(
-        tasks.filter(F.col("cluster_id").isNotNull()).withColumn("_key", key),
-        ["cluster_id"], ["_key", "tenant_id", "task_id"], running_sum={"_rank": F.lit(1)},
-    )
-    return ranked.join(quotas, "cluster_id").filter(F.col("_rank") <= F.col("_quota")).drop(
-        "_key", "_rank", "_quota"
+        below_bound(tasks, quotas, seed=seed), ["cluster_id"], ["_key", "tenant_id", "task_id"],
+        running_sum={"_rank": F.lit(1)},
     )
+    return ranked.filter(F.col("_rank") <= F.col("_quota")).drop("_key", "_rank", "_quota")
+
+
+STEPS = 32
+"""Steps of the hash histogram for each doubling of the hash: the bound lies a few hundredths above the quota."""
+
+
+def below_bound(tasks: DataFrame, quotas: DataFrame, *, seed: int) -> DataFrame:
+    """Tasks with ``_key``, their seeded hash, and ``_quota``, that are among the ``_quota`` smallest of their cluster or
+    little above.
+
+    Tasks are counted by cluster and by the logarithm of their hash, a few hundred counts for each cluster; the first
+    step whose running count reaches the quota is the cluster's bound."""
+    key = F.md5(F.concat_ws(":", F.col("tenant_id"), F.col("task_id"), F.lit(str(seed))))
+    step = F.floor(F.log2(F.conv(F.substring("_key", 1, 13), 16, 10).cast("double") + 1) * STEPS).cast("int")
+    hashed = tasks.filter(F.col("cluster_id").isNotNull()).withColumn("_key", key).withColumn("_step", step)
+    counts = hashed.groupBy("cluster_id", "_step").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("cluster_id").orderBy("_step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = counts.withColumn("_upto", F.sum("_n").over(upto)).join(quotas, "cluster_id").filter(F.col("_upto") >= F.col("_quota"))
+    # One row per cluster.
+    bounds = reached.groupBy(F.col("cluster_id").alias("_of")).agg(F.min("_step").alias("_bound"), F.first("_quota").alias("_quota"))
+    return hashed.join(F.broadcast(bounds), (F.col("cluster_id") == F.col("_of")) & (F.col("_step") <= F.col("_bound"))).drop(
+        "_of", "_bound", "_step")
 
 
 def dedup_cases(cases: DataFrame) -> DataFrame:
     """Cases with ``first_case_id``, the first case of the same input by (cache key, case id), and
-    ``is_duplicate``. The first is an aggregate, so many copies of one input are combined early;
-    the join back leaves a heavy fingerprint to the adaptive skew split."""
+    ``is_duplicate``. The first is an aggregate, so many copies of one input are combined early, and a
+    fingerprint with very many cases is spread in the join back."""
     firsts = cases.groupBy("tenant_id", "input_fingerprint").agg(
-        F.min(F.struct("cache_key", "case_id"))["case_id"].alias("first_case_id")
-    )
-    return cases.join(firsts, ["tenant_id", "input_fingerprint"]).withColumn(
+        F.min(F.struct("cache_key", "case_id"))["case_id"].alias("first_case_id"), F.count(F.lit(1)).alias("_n"))
+    return salted(cases, firsts, ["tenant_id", "input_fingerprint"], ["case_id"]).withColumn(
         "is_duplicate", F.col("case_id") != F.col("first_case_id")
     )
 

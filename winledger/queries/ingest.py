@@ -5,10 +5,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from winledger.functions import text as tx
-from winledger.operators import egress, report
+from winledger.operators import egress
 from winledger.plans import adapters as ad
 from winledger.queries import cnt, num, query
-from winledger.queries.tasks import lineitem_tasks
 from winledger.session import ensure_checkpoint_dir
 from winledger.sources import bundle
 from winledger.sources import events as ev
@@ -258,16 +257,31 @@ def p2(spark, sf_dir):
     return egress.scan_metadata_only(d).select("doc_id", F.size("findings").alias("n_findings"))
 
 
-@query("S16_bundle", """
-select 'intact' as state, 0 as n_problems union all select 'altered', 1""")
+def _fold_sql(levels: int) -> str:
+    """Digests (i, d) in L0 folded level by level."""
+    return "".join(f""",
+L{k} as (select i // {bundle.FANOUT} as i, sha256(string_agg(d, '' order by i)) as d from L{k - 1} group by i // {bundle.FANOUT})"""
+                   for k in range(1, levels + 1))
+
+
+@query("S16_bundle", f"""
+with L0 as (select row_number() over (order by d) - 1 as i, d from (
+  select sha256(concat('{{"order_id":"', o_orderkey, '","customer":"', o_custkey, '"',
+    case when o_orderkey % 3 = 0 then concat(',"cost_usd":', round(o_totalprice, 2)::decimal(15,2)) else '' end, '}}')) as d
+  from orders)){_fold_sql(3)}
+select 'orders' as section, (select count(*) from L0) as n_rows,
+  case when (select count(*) from L0) <= 256
+  then (select max(d) from L1) when (select count(*) from L0) <= 65536 then (select max(d) from L2) else (select max(d) from L3) end as root,
+  0 as n_before, 1 as n_after""")
 def s16(spark, sf_dir):
-    """Exports the model inventory and task metrics, verifies, alters a file, verifies again."""
+    """Exports a section, verifies, adds a file, verifies again; the root is that of the rows."""
     folder = f"{ensure_checkpoint_dir(spark)}/bundle-{uuid.uuid4().hex}"
-    t, _ = lineitem_tasks(spark, sf_dir)
-    bundle.write_bundle({"inventory": report.model_inventory(t)}, folder, {"tenant_id": "t0"})
-    before = bundle.verify_bundle(spark, folder).agg(F.count(F.lit(1)).cast("int").alias("n_problems"))
-    intact = before.select(F.lit("intact").alias("state"), "n_problems").collect()
-    report.majority_model(t).write.mode("append").json(f"{folder}/inventory")
-    after = bundle.verify_bundle(spark, folder).agg(F.count(F.lit(1)).cast("int").alias("n_problems"))
-    return spark.createDataFrame(intact, "state string, n_problems int").unionByName(
-        after.select(F.lit("altered").alias("state"), "n_problems"))
+    o = ad.table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").cast("string").alias("order_id"), F.col("o_custkey").cast("string").alias("customer"),
+                    F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice").cast("decimal(15,2)")).alias("cost_usd"))
+    made = bundle.write_bundle({"orders": rows}, folder, {"tenant_id": "t0"})["sections"]["orders"]
+    before = bundle.verify_bundle(spark, folder).count()
+    rows.limit(1).coalesce(1).write.mode("append").json(f"{folder}/orders")
+    after = bundle.verify_bundle(spark, folder).count()
+    return spark.createDataFrame([("orders", made["rows"], made["root"], before, after)],
+                                 "section string, n_rows long, root string, n_before int, n_after int")
