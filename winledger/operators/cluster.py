@@ -84,23 +84,26 @@ def core_levels(grouped: DataFrame, total: int, min_size: int) -> DataFrame:
     return rows.withColumn("core", core).drop("_t", "_s", "_h", "_ts", "_th", "_sh")
 
 
-def _linked(rows: DataFrame, level: int, near: tuple[str, ...], shared: tuple[tuple[str, ...], ...]) -> DataFrame:
-    """``rows`` with the component at the level of each cell active there: cells with equal ``near`` keys are one
-    node, and nodes meet at the ``shared`` keys of their active cells."""
-    key = lambda k: F.xxhash64(F.lit("|".join(k)), *[F.col(c) for c in k])
-    edges = rows.filter(F.col("core") <= level).select(key(near).alias("a"), F.explode(F.array(*map(key, shared))).alias("b"))
-    return rows.withColumn("_near", key(near)).join(components(edges.distinct()), F.col("_near") == F.col("node"), "left").withColumn(
-        f"c{level}", F.when(F.col("core") <= level, F.col("root"))).drop("_near", "node", "root")
+LINKS = ((2, ("t", "s"), (("t", "h"),)), (4, ("t",), (("s", "h"),)), (5, ("t",), (("s",),)), (6, ("t",), (("s",), ("h",))))
+"""Level, the keys that cells of one node share, and the keys at which nodes meet."""
 
 
 def component_levels(rows: DataFrame) -> DataFrame:
-    """Cells with ``c0`` to ``c7``: the component of the cell at each of ``LEVELS``, NULL below its core distance."""
+    """Cells with ``c0`` to ``c7``: the component of the cell at each of ``LEVELS``, NULL below its core distance.
+
+    On some levels the components are the cells with equal keys; on those of ``LINKS`` nodes meet at shared keys of
+    their active cells. All levels are one edge table whose keys hold the level."""
     for level, keys in ((0, ("t", "s", "h")), (1, ("t", "s")), (3, ("t",))):
         rows = rows.withColumn(f"c{level}", F.when(F.col("core") <= level, F.xxhash64(F.lit(level), *keys)))
     rows = held(rows)
-    for level, near, shared in ((2, ("t", "s"), (("t", "h"),)), (4, ("t",), (("s", "h"),)), (5, ("t",), (("s",),)),
-                                (6, ("t",), (("s",), ("h",)))):
-        rows = _linked(rows, level, near, shared)
+    key = lambda level, k: F.xxhash64(F.lit(level), F.lit("|".join(k)), *[F.col(c) for c in k])
+    pairs = [F.when(F.col("core") <= level, F.struct(key(level, near).alias("a"), key(level, k).alias("b")))
+             for level, near, shared in LINKS for k in shared]
+    edges = rows.select(F.explode(F.array_compact(F.array(*pairs))).alias("e")).select("e.*").distinct()
+    roots = held(components(edges))
+    for level, near, _ in LINKS:
+        rows = rows.withColumn("_near", key(level, near)).join(roots, F.col("_near") == F.col("node"), "left").withColumn(
+            f"c{level}", F.when(F.col("core") <= level, F.col("root"))).drop("_near", "node", "root")
     return held(rows.withColumn("c7", F.lit(0).cast("long")))
 
 
