@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from winledger.llm import windows
-from winledger.llm.shared import pieces, stored, table
+from winledger.llm.shared import released, sized_pieces, stored, table
 from winledger.llm.suffixes import once, opened, searched, told_apart, without
 
 WINDOW = 20
@@ -40,7 +40,7 @@ def _single_edges(read: DataFrame, shared: DataFrame, window: int) -> DataFrame:
         large = zstandard.ZstdDecompressor()
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            for part in pieces(batch, 3, _PIECE):
+            for part in sized_pieces(batch, 4, _PIECE):
                 out = []
                 for places, doc, print_, text in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                     letters = windows.word_letters(large.decompress(text))
@@ -58,7 +58,7 @@ def _single_edges(read: DataFrame, shared: DataFrame, window: int) -> DataFrame:
                         [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc), pa.array(print_),
                          pa.array(at), pa.array(own)], names=["label", "check", "doc", "print", "start", "own"])
 
-    return held.mapInArrow(take, "label long, check long, doc long, print long, start long, own long")
+    return held.mapInArrow(released(take), "label long, check long, doc long, print long, start long, own long")
 
 
 def _repeated_edges(edges: DataFrame) -> DataFrame:
@@ -102,15 +102,16 @@ def compacted(units: DataFrame) -> DataFrame:
 
 
 def passages(docs: DataFrame, read: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+             window: int = WINDOW, anchor: int = ANCHOR,
+             apart: tuple[bool, bool] | None = None) -> DataFrame:
     """Repeated passages: ``doc``, ``print``, ``start`` and ``count`` of edges (the passage has ``window - 1``
     words more), ``from_doc`` and ``from_start`` of an earlier occurrence, and the path's first ``label``.
 
-    ``read`` is ``suffixes.opened(docs, ...)``. An edge is repeated if it starts in a document of smaller id or
-    earlier in the same one. Rows without id or text take no part; rows that share an id with different texts
+    ``read`` is ``suffixes.opened(docs, ...)``, ``apart`` as there. An edge is repeated if it starts in a document of
+    smaller id or earlier in the same one. Rows without id or text take no part; rows that share an id with different texts
     take nothing from one another, and identical rows are treated alike.
     """
-    several, repeated = told_apart(docs, id_col, text_col)
+    several, repeated = apart or told_apart(docs, id_col, text_col)
     found = stored(windows.stretches(
         searched(docs, id_col, text_col, several, repeated),
         windows.word_letters, window, anchor, within=True).drop("name", "lead"))
@@ -134,8 +135,9 @@ def _digest(window: int):
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    read = opened(docs, "doc_id", "text", [])
-    found = passages(docs, read)
+    apart = told_apart(docs, "doc_id", "text")
+    read = opened(docs, "doc_id", "text", [], apart)
+    found = passages(docs, read, apart=apart)
     spans = found.select("doc", "print", "start", (F.col("count") + (WINDOW - 1)).cast("long").alias("length"))
     return without(docs, read, spans, "doc_id", [], "n_words long, n_removed long, kept_sha256 string",
                    _digest(WINDOW))

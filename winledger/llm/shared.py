@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -35,11 +36,27 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Texts go to the workers in batches of about ``size``, unless the session names another bound than Spark's own."""
+    if spark.conf.get(_BATCH) == "67108864b":
+        spark.conf.set(_BATCH, size)
+
+
 def utf8(column: str | Column) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def unused(columns: list[str], n: int) -> list[str]:
+    """``n`` column names that a table does not have."""
+    taken = {c.lower() for c in columns}
+    free = (f"_own{k}" for k in range(len(taken) + n))
+    return [c for c in free if c not in taken][:n]
+
+
 def pieces(batch: pa.RecordBatch, text: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about ``limit`` bytes together; one row at least."""
     column = batch.column(text)
@@ -54,6 +71,28 @@ def pieces(batch: pa.RecordBatch, text: int, limit: int) -> Iterator[pa.RecordBa
         yield batch.slice(start)
 
 
+def sized_pieces(batch: pa.RecordBatch, sizes: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose sizes (a column) add up to ``limit``, about; one row at least."""
+    held = batch.column(sizes).fill_null(0).to_numpy()
+    start = 0
+    while start < batch.num_rows:
+        stop = start + max(1, int(np.searchsorted(np.cumsum(held[start:]), limit, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def released(scan):
+    """A task's scan that hands back, at its end, the memory that Arrow and the allocator keep: workers go on with
+    other stages."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from scan(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+    return run
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The column's values as UTF-8; null as no bytes."""
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]

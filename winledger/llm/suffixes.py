@@ -20,7 +20,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winledger.llm import windows
-from winledger.llm.shared import cut, pieces, runs, shuffle_parts, stored, table, text_bytes, utf8
+from winledger.llm.shared import (
+    cut,
+    pieces,
+    released,
+    runs,
+    shuffle_parts,
+    sized_pieces,
+    small_batches,
+    stored,
+    table,
+    text_bytes,
+    unused,
+    utf8,
+)
 
 LENGTH = 50
 ANCHOR = 20
@@ -29,28 +42,33 @@ _PIECE = 4 << 20
 _SPANS = "doc long, print long, start long, length long"
 
 
-def opened(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -> DataFrame:
-    """``_doc``, ``_print`` (tells rows of one id apart), the compressed text ``_zip`` and ``extra`` as ``_x0``...
+def opened(docs: DataFrame, id_col: str, text_col: str, extra: list[str],
+           apart: tuple[bool, bool] | None = None) -> DataFrame:
+    """``_doc``, ``_print`` (tells rows of one id apart), the compressed text ``_zip``, its ``_size`` when opened, and
+    ``extra`` as ``_x0``... ``apart`` is ``told_apart(docs, ...)`` where that is known already.
 
     Both joins with texts read this frame whole, so that one shuffle of it serves them.
     """
+    small_batches(docs.sparkSession)
     text = utf8(text_col)
-    several, _ = told_apart(docs, id_col, text_col)
+    several, _ = apart or told_apart(docs, id_col, text_col)
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part in pieces(batch, 2, _PIECE):
-                zipped = pa.array([small.compress(t) for t in text_bytes(part.column(2))], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), zipped, *part.columns[3:]],
-                                                 names=names)
+                texts = text_bytes(part.column(2))
+                zipped = pa.array([small.compress(t) for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), zipped, pa.array([len(t) for t in texts], pa.int64()), *part.columns[3:]],
+                    names=names)
 
     more = [f"_x{i}" for i in range(len(extra))]
-    names = ["_doc", "_print", "_zip", *more]
+    names = ["_doc", "_print", "_zip", "_size", *more]
     kinds = "".join(f", {x} {docs.schema[c].dataType.simpleString()}" for x, c in zip(more, extra, strict=True))
     return docs.select(F.col(id_col).cast("long").alias("_doc"), _print(text, several), text.alias("_text"),
                        *(F.col(c).alias(x) for x, c in zip(more, extra, strict=True))).mapInArrow(
-        shrink, f"_doc long, _print long, _zip binary{kinds}")
+        released(shrink), f"_doc long, _print long, _zip binary, _size long{kinds}")
 
 
 def told_apart(docs: DataFrame, id_col: str, text_col: str) -> tuple[bool, bool]:
@@ -171,7 +189,7 @@ def _contexts(read: DataFrame, shared: DataFrame, length: int) -> DataFrame:
         large = zstandard.ZstdDecompressor()
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            for part in pieces(batch, 3, _PIECE):
+            for part in sized_pieces(batch, 4, _PIECE):
                 places, doc, print_ = part.column(0), part.column(1), part.column(2)
                 texts = [large.decompress(z) for z in part.column(3).to_pylist()]
                 row = np.repeat(np.arange(part.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
@@ -186,19 +204,20 @@ def _contexts(read: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                     names=["name", "crowd", "doc", "print", "start", "count", "lead", "context"])
 
     return _with_lists(read, lists, "places").mapInArrow(
-        take, "name long, crowd boolean, doc long, print long, start long, count int, lead int, context binary")
+        released(take), "name long, crowd boolean, doc long, print long, start long, count int, lead int, context binary")
 
 
 def repeats(docs: DataFrame, read: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+            length: int = LENGTH, anchor: int = ANCHOR,
+            apart: tuple[bool, bool] | None = None) -> DataFrame:
     """Spans of bytes covered by strings of ``length`` that also start in a document of smaller id.
 
-    ``read`` is ``opened(docs, ...)``. Rows of ``doc``, ``print`` (tells rows of one id with different texts
-    apart), ``start`` and ``length``; spans may overlap. Rows without an id or text take no part. Rows that
-    share an id are no smaller than each other, so they take nothing from one another.
+    ``read`` is ``opened(docs, ...)``, ``apart`` as there. Rows of ``doc``, ``print`` (tells rows of one id with
+    different texts apart), ``start`` and ``length``; spans may overlap. Rows without an id or text take no part.
+    Rows that share an id are no smaller than each other, so they take nothing from one another.
     """
     parts = shuffle_parts(docs.sparkSession)
-    several, repeated = told_apart(docs, id_col, text_col)
+    several, repeated = apart or told_apart(docs, id_col, text_col)
     found = stored(windows.stretches(
         searched(docs, id_col, text_col, several, repeated),
         windows.byte_letters, length, anchor, within=False).drop("context", "from_doc", "from_start"))
@@ -234,7 +253,7 @@ def repeats(docs: DataFrame, read: DataFrame, id_col: str = "doc_id", text_col:
              pa.array(size)], names=["doc", "print", "start", "length"])
 
     sorted_ = (contexts.where("NOT crowd").select("name", "doc", "print", "start", "count", "lead", "context")
-               .repartition(parts, "name").sortWithinPartitions("name").mapInArrow(induce, _SPANS))
+               .repartition(parts, "name").sortWithinPartitions("name").mapInArrow(released(induce), _SPANS))
     spans = whole.unionByName(sorted_)
     if not crowded:
         return spans
@@ -272,16 +291,17 @@ def without(docs: DataFrame, read: DataFrame, spans: DataFrame, id_col: str, ext
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         large = zstandard.ZstdDecompressor()
         for batch in batches:
-            for part in pieces(batch, 3, _PIECE):
+            for part in sized_pieces(batch, 4, _PIECE):
                 made = [finish(large.decompress(z), merged(s or [])) for z, s in
                         zip(part.column(3).to_pylist(), part.column(0).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(1), *part.columns[4:], *(pa.array(c) for c in zip(*made, strict=True))],
-                    names=["_doc", *extra, *made_names])
+                    [part.column(1), *part.columns[5:], *(pa.array(c) for c in zip(*made, strict=True))],
+                    names=[doc, *extra, *made_names])
 
-    made = _with_lists(read, lists, "spans").mapInArrow(scan, kinds.replace(f"`{id_col}` {id_kind.simpleString()}",
-                                                                            "_doc long", 1) + f", {schema}")
-    return made.select(F.col("_doc").cast(id_kind).alias(id_col), *extra, *made_names)
+    doc = unused([*names, *made_names], 1)[0]
+    made = _with_lists(read, lists, "spans").mapInArrow(released(scan), kinds.replace(f"`{id_col}` {id_kind.simpleString()}",
+                                                                            f"{doc} long", 1) + f", {schema}")
+    return made.select(F.col(doc).cast(id_kind).alias(id_col), *extra, *made_names)
 
 
 def _digest(text: bytes, spans: list[tuple[int, int]]) -> tuple:
@@ -314,17 +334,20 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     was empty or null before stay as they are.
     """
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    marked = docs.withColumn("_without", F.col(text_col).isNull())  # the text itself travels compressed
-    read = opened(marked, id_col, text_col, [*rest, "_without"])
-    spans = repeats(docs, read, id_col, text_col, length)
-    cleaned = without(marked, read, spans, id_col, [*rest, "_without"], "_kept string, _bytes long", _keep)
-    kept = F.when(~F.col("_without"), F.col("_kept"))
-    return cleaned.where((F.col("_bytes") == 0) | (F.col("_kept") != "")).select(
+    empty, left, size = unused(docs.columns, 3)
+    marked = docs.withColumn(empty, F.col(text_col).isNull())  # the text itself travels compressed
+    apart = told_apart(docs, id_col, text_col)
+    read = opened(marked, id_col, text_col, [*rest, empty], apart)
+    spans = repeats(docs, read, id_col, text_col, length, apart=apart)
+    cleaned = without(marked, read, spans, id_col, [*rest, empty], f"{left} string, {size} long", _keep)
+    kept = F.when(~F.col(empty), F.col(left))
+    return cleaned.where((F.col(size) == 0) | (F.col(left) != "")).select(
         *((kept if c == text_col else F.col(c)).alias(c) for c in docs.columns))
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    read = opened(docs, "doc_id", "text", [])
-    return without(docs, read, repeats(docs, read), "doc_id", [],
+    apart = told_apart(docs, "doc_id", "text")
+    read = opened(docs, "doc_id", "text", [], apart)
+    return without(docs, read, repeats(docs, read, apart=apart), "doc_id", [],
                    "n_bytes long, n_removed long, n_spans long, kept_sha256 string", _digest)

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winledger.llm.shared import pieces, runs, shuffle_parts
+from winledger.llm.shared import pieces, released, runs, shuffle_parts
 
 U = np.uint64
 _MASK = (1 << 64) - 1
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-SLICE = 1 << 20  # letters hashed at a time; longer documents are cut into overlapping slices
+SLICE = 1 << 18  # letters hashed at a time; longer documents are cut into overlapping slices
 FLUSH = 1 << 18  # tuples a task gathers into one run per bucket
 OPEN, SHARED, COPIED = 0, 1, 2
 CROWD = 64  # contexts of one name in one run; the others go on without being compared here
@@ -312,5 +312,5 @@ def stretches(docs: DataFrame, letters: Callable[[bytes], np.ndarray], length: i
              pa.array(shape.astype(np.int32) % 64), pa.array(copied), pa.array(from_doc), pa.array(from_start)],
             names=[c.split()[0] for c in STRETCHES.split(", ")])
 
-    return (docs.select("_doc", "_print", "_text").mapInArrow(gather, "bucket long, state int, run binary")
-            .repartition(parts, "bucket").sortWithinPartitions("bucket", "state").mapInArrow(merge, STRETCHES))
+    return (docs.select("_doc", "_print", "_text").mapInArrow(released(gather), "bucket long, state int, run binary")
+            .repartition(parts, "bucket").sortWithinPartitions("bucket", "state").mapInArrow(released(merge), STRETCHES))
