@@ -86,8 +86,8 @@ def _records(spark, sf_dir, stream=False):
         '{"type":"thinking","text":"x"}]', k % 2, F.when(n % 2 == 0, "Edit").otherwise("Bash"), k % 2, k % 3)
     stamp = F.when(n % 3 == 0, F.unix_millis(F.col("ts").cast("timestamp")).cast("string")).otherwise(
         F.concat(F.lit('"'), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit('Z"')))
-    assistant = F.concat(F.lit('{"type":"assistant","timestamp":'), stamp, F.lit(',"message":{"model":"claude-opus-5","usage":'),
-                         usage, F.lit(',"content":'), blocks, F.lit("}}"))
+    model = F.when(n % 5 == 0, "").otherwise('"model":"claude-opus-5",')
+    assistant = F.concat(F.lit('{"type":"assistant","timestamp":'), stamp, F.lit(',"message":{'), model, F.lit('"usage":'), usage, F.lit(',"content":'), blocks, F.lit("}}"))
     result = F.concat(F.lit('{"type":"user","timestamp":'), stamp, F.lit(
         ',"message":{"content":[{"type":"tool_result","content":"'),
         F.when(k % 2 == 0, "7 passed").otherwise("failed"), F.lit('"}]}}'))
@@ -99,24 +99,37 @@ def _records(spark, sf_dir, stream=False):
         .when(kind == "signup", human).otherwise('{"type":"system"}').alias("raw"))
 
 
-@query("T2_session_events", """
-with R as (select *, cast(json_extract(props, '$.k') as bigint) as k, cast(floor(value) as bigint) as o from events),
-A as (select * from R where event_type in ('view', 'click'))
-select event_id * 10000 as event_id, 'assistant' as kind, o as out_tokens, k + 5 as in_tokens, k as thinking_tokens,
-  round(((k + 5 + k * 10 * 0.1e0) * 5 + o * 25) / 1e6, 9) as cost_usd, concat('step ', k % 2) as text, '' as tool,
+T2_SQL = """
+with R as (select *, cast(json_extract(props, '$.k') as bigint) as k, cast(floor(value) as bigint) as o,
+    event_id * 2147483648 as place from events),
+A as (select *, count(*) filter (where event_id % 5 <> 0) over (partition by user_id order by event_id rows unbounded preceding) > 0
+    as priced from R where event_type in ('view', 'click'))
+select place as event_id, 'assistant' as kind, o as out_tokens, k + 5 as in_tokens, k as thinking_tokens,
+  case when priced then round(((k + 5 + k * 10 * 0.1e0) * 5 + o * 25) / 1e6, 9) else 0e0 end as cost_usd, concat('step ', k % 2) as text, '' as tool,
   '' as tool_args, false as progress, cast(epoch_us(ts) // 1000 as bigint) as ts_ms from A
-union all select event_id * 10000 + 1, 'tool', 0, 0, 0, 0e0, '', case when event_id % 2 = 0 then 'Edit' else 'Bash' end,
+union all select place + 1, 'tool', 0, 0, 0, 0e0, '', case when event_id % 2 = 0 then 'Edit' else 'Bash' end,
   concat('{"cmd":"cat /etc/p', k % 3, '","z":', k % 2, '}'), event_id % 2 = 0, cast(epoch_us(ts) // 1000 as bigint) from A
-union all select event_id * 10000, 'progress', 0, 0, 0, 0e0, '', '', '', k % 2 = 0, cast(epoch_us(ts) // 1000 as bigint)
+union all select place, 'progress', 0, 0, 0, 0e0, '', '', '', k % 2 = 0, cast(epoch_us(ts) // 1000 as bigint)
   from R where event_type = 'error'
-union all select event_id * 10000, 'user', 0, 0, 0, 0e0, '', '', '', true, cast(epoch_us(ts) // 1000 as bigint)
-  from R where event_type = 'signup'""")
-def t2(spark, sf_dir):
-    e = drained(spark, flows.session_events(_records(spark, sf_dir, stream=True)))
+union all select place, 'user', 0, 0, 0, 0e0, '', '', '', true, cast(epoch_us(ts) // 1000 as bigint)
+  from R where event_type = 'signup'"""
+
+
+def _session_rows(e):
     return e.select("event_id", "kind", "out_tokens", "in_tokens", "thinking_tokens", num("cost_usd", "cost_usd", 9),
                     "text", "tool", "tool_args", "progress", F.round(F.col("ts") * 1000).cast("long").alias("ts_ms"))
 
 
+@query("T2_session_events", T2_SQL)
+def t2(spark, sf_dir):
+    return _session_rows(drained(spark, flows.session_events(stateful.carry_models(_records(spark, sf_dir, stream=True)))))
+
+
+@query("T2_logged_events", T2_SQL)
+def t2_batch(spark, sf_dir):
+    return _session_rows(flows.session_events(_records(spark, sf_dir), carry_model=True))
+
+
 def _expected(spark, sf_dir):
     """The fixed expectations of ``verdict_sql``, for every model of the events."""
     models = guard_events(spark, sf_dir).select("model_id").distinct()

@@ -14,6 +14,7 @@ from winledger.plans.ordered import scan
 from winledger.sources import events as ev
 from winledger.sources import store
 from winledger.sources.chats import BLOCK
+from winledger.streaming import stateful
 
 # Tools that change files, and how a passing run reads.
 PROGRESS_TOOLS = ("Edit", "Write", "MultiEdit", "NotebookEdit")
@@ -24,7 +25,8 @@ RECORD = (
     "usage:struct<output_tokens:bigint,input_tokens:bigint,cache_read_input_tokens:bigint,"
     "cache_creation_input_tokens:bigint,output_tokens_details:struct<thinking_tokens:bigint>>>"
 )
-EVENTS_PER_RECORD = 10_000
+PLACE_BITS = 31
+"""An event's id is its record's line and, in so many bits, its place in the record: a record is shorter than that."""
 
 
 def stream_traces(spark: SparkSession, path: str, out: str, checkpoint: str, tenant_id: str, salt: str, *,
@@ -56,7 +58,8 @@ def record_time(raw: Column, fallback: Column) -> Column:
 
 
 def session_events(records: DataFrame, *, carry_model: bool = False) -> DataFrame:
-    """Session activity from log records (tenant_id, session_id, line, raw, received_at).
+    """Session activity from log records (tenant_id, session_id, line, raw, received_at, and perhaps ``model_hint``,
+    what a record without a model goes by; ``stateful.carry_models`` adds it to a stream).
 
     An assistant record gives one turn and a call per tool block; a user record gives a progress
     event for tool results, else a human turn. ``carry_model`` (batch only) fills a missing model
@@ -70,7 +73,8 @@ def session_events(records: DataFrame, *, carry_model: bool = False) -> DataFram
     plain = F.array(F.struct(
         F.lit("text").alias("type"), raw.alias("text"), *[F.lit(None).cast("string").alias(n)
                                                           for n in ("name", "input", "content")]))
-    rows = rows.withColumn("model_id", F.nullif(F.col("r.message.model"), F.lit(""))).withColumn(
+    given = [F.nullif(F.col("r.message.model"), F.lit("")), *([F.col("model_hint")] if "model_hint" in records.columns else [])]
+    rows = rows.withColumn("model_id", F.coalesce(*given)).withColumn(
         "blocks", F.coalesce(blocks, F.when(raw.isNotNull(), plain), F.array().cast(
             "array<struct<type:string,text:string,name:string,input:string,content:string>>")))
     if carry_model:
@@ -119,7 +123,7 @@ def session_events(records: DataFrame, *, carry_model: bool = False) -> DataFram
         "tenant_id", "session_id", "line", "model_id", "ts", F.posexplode("_e").alias("_i", "e")
     ).select(
         "tenant_id", "session_id",
-        (F.col("line") * EVENTS_PER_RECORD + F.col("_i")).cast("bigint").alias("event_id"), "ts",
+        (F.shiftleft(F.col("line").cast("long"), PLACE_BITS) + F.col("_i")).alias("event_id"), "ts",
         "model_id", "e.*")
 
 
@@ -148,11 +152,14 @@ def outbound_text(records: DataFrame) -> DataFrame:
 def stream_findings(
     texts: DataFrame, policy: Mapping[str, object] | None = None, *,
     key: Sequence[str] = ("tenant_id", "session_id"), text: str = "text", cwd: str | None = None,
+    forget_s: float = stateful.FORGET_S,
 ) -> DataFrame:
-    """Cage findings of outbound texts, each (kind, snippet) once per session."""
+    """Cage findings of outbound texts, each (kind, snippet) once per session; what a session has shown is forgotten
+    ``forget_s`` after it arrived first."""
     found = guard.all_findings(F.col(text), guard.policy_columns(policy), F.col("_marks"), F.col(cwd) if cwd else None)
     rows = texts.withColumn("_marks", guard.marks(F.col(text))).select(*key, F.explode(found).alias("_f"))
-    return rows.select(*key, "_f.*").dropDuplicates([*key, "kind", "snippet"])
+    kept = rows.select(*key, "_f.*", F.current_timestamp().alias("_arrived")).withWatermark("_arrived", f"{int(forget_s)} seconds")
+    return kept.dropDuplicatesWithinWatermark([*key, "kind", "snippet"]).drop("_arrived")
 
 
 def stream_windows(tasks: DataFrame, *, width: str = "1 hour", lateness: str = "1 hour") -> DataFrame:

@@ -8,6 +8,7 @@ through the query's checkpoint. What the state means is judged by the batch oper
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
@@ -166,6 +167,52 @@ def stream_stalls(
         (F.col("state") != F.col("_was")).alias("changed"))
 
 
+class _ModelProcessor(StatefulProcessor):
+    """Remembers a session's last model and tells it to the records that name none."""
+
+    def __init__(self, forget_s: float, columns: list[str]):
+        self.forget_ms, self.columns = int(forget_s * 1000), columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.model = handle.getValueState("model", TEXT_STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("line", ignore_index=True)
+        hint = batch["model_hint"].astype(object).ffill()
+        if self.model.exists():
+            hint = hint.fillna(self.model.get()[0])
+        known = hint.dropna()
+        if len(known):
+            self.model.update((known.iloc[-1],))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(int(time.time() * 1000) + self.forget_ms)
+        batch["model_hint"] = hint.where(hint.notna(), None)
+        yield batch[self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.model.clear()
+        yield pd.DataFrame([], columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def arrived(rows: DataFrame) -> DataFrame:
+    """Rows of a stream with a watermark on ``_arrived``, the time of their micro-batch: state can be forgotten by it, and
+    no row is ever late."""
+    return rows.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", "0 seconds")
+
+
+def carry_models(records: DataFrame, *, forget_s: float = FORGET_S) -> DataFrame:
+    """Log records of a stream (tenant_id, session_id, line, raw, ...) with ``model_hint``: the model their session
+    named last, in this record or before it. A session silent for ``forget_s`` begins without one."""
+    rows = records.withColumn("model_hint", F.nullif(F.get_json_object("raw", "$.message.model"), F.lit("")))
+    return arrived(rows).groupBy("tenant_id", "session_id").transformWithStateInPandas(
+        _ModelProcessor(forget_s, rows.columns), rows.schema, "Append", "EventTime")
+
+
 TASK_ROW = T.StructType([
     T.StructField("tenant_id", T.StringType()), T.StructField("session_id", T.StringType()),
     T.StructField("task_id", T.StringType()), T.StructField("attempts", T.LongType()),
