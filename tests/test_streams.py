@@ -52,3 +52,24 @@ def test_late_rows_are_dropped(spark, tmp_path):
     got = feed(spark, str(tmp_path), [tasks([5, 10]), tasks([300]), tasks([20, 301])],
                lambda s: flows.stream_windows(s, width="1 hour", lateness="1 hour"))
     assert [(r["ts"], r["n"]) for r in got] == [(T0, 2)]
+
+
+def test_long_session_of_attempts(spark, tmp_path):
+    """A hundred thousand attempts wait in one session; each is read when it is due."""
+    n = F.col("id")
+    start = F.timestamp_seconds(F.lit(int(T0.timestamp())) + n + F.floor(n / 10) * 300)
+
+    def attempts(ids):
+        return ids.select(
+            F.lit("x").alias("tenant_id"), F.lit("s").alias("session_id"), F.lpad(n.cast("string"), 9, "0").alias("trace_id"),
+            start.alias("ts_start"), start.alias("ts_end"), F.struct(F.lit("t").alias("system_prompt_fingerprint")).alias("input_shape"),
+            F.lit("m").alias("model_id"), F.struct(F.when(n % 10 == 9, "pass").otherwise("fail").alias("status")).alias("verification"),
+            F.lit("0.5").cast("decimal(20,9)").alias("cost_usd"), F.struct(F.lit(7).cast("long").alias("total_ms")).alias("latency"),
+            F.lit(None).cast("array<string>").alias("input_shingles"))
+
+    got = feed(spark, str(tmp_path), [attempts(spark.range(100_000)), attempts(spark.range(200_000, 200_001))],
+               lambda s: stateful.stream_tasks(s))
+    assert len(got) == 10_000
+    assert {(r["attempts"], r["succeeded"], r["first_attempt_success"], float(r["total_cost_usd"]), r["total_wall_ms"])
+            for r in got} == {(10, True, False, 5.0, 70)}
+    assert sorted(int(r["task_id"]) for r in got) == list(range(0, 100_000, 10))

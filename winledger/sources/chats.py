@@ -104,10 +104,10 @@ def file_lines(files: DataFrame) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, raw) of text files, read in blocks: a large file is cut, and a line knows its number in the file."""
-    place = F.col("_place")
+    at = r"(?s)^(.*)#(\d+)$"
     return events.read_lines(spark, path).select(
-        F.substring_index(place, "#", F.regexp_count(place, F.lit("#"))).alias("path"),
-        F.substring_index(place, "#", -1).cast("long").alias("line"), F.col("value").alias("raw"))
+        F.regexp_extract("_place", at, 1).alias("path"), F.regexp_extract("_place", at, 2).cast("long").alias("line"),
+        F.col("value").alias("raw"))
 
 
 def log_records(lines: DataFrame) -> DataFrame:
