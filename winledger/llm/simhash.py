@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from winledger.llm.graph import components
-from winledger.llm.shared import cut, pieces, runs, shuffle_parts, table, text_bytes, utf8
+from winledger.llm.shared import cut, pieces, runs, shuffle_parts, table, text_bytes, unused, utf8
 
 MAX_BITS = 3
 BLOCKS = 4
@@ -211,11 +211,13 @@ def best_rows(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str) ->
     chosen = (placed.groupBy("root").agg(F.min(rank).alias("_best"))
               .select(F.col("_best._id").alias("_k1"), F.col("_best._hash").alias("_k2")))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    held = docs.withColumns({"_n1": name(id_col), "_n2": F.xxhash64(utf8(text_col))})
-    kept = held.join(chosen.select(name("_k1").alias("_c1"), F.col("_k2").alias("_c2")),
-                     (F.col("_n1") == F.col("_c1")) & (F.col("_n2") == F.col("_c2")), "left_semi")
-    alike = Window.partitionBy("_n1", "_n2").orderBy("_n1")
-    return kept.withColumn("_nth", F.row_number().over(alike)).where("_nth = 1").select(*docs.columns)
+    n1, n2, nth = unused(docs.columns, 3)
+    held = docs.withColumns({n1: name(id_col), n2: F.xxhash64(utf8(text_col))})
+    c1, c2 = unused(held.columns, 2)
+    kept = held.join(chosen.select(name("_k1").alias(c1), F.col("_k2").alias(c2)),
+                     (F.col(n1) == F.col(c1)) & (F.col(n2) == F.col(c2)), "left_semi")
+    alike = Window.partitionBy(n1, n2).orderBy(n1)
+    return kept.withColumn(nth, F.row_number().over(alike)).where(F.col(nth) == 1).select(*docs.columns)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
