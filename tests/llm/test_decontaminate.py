@@ -21,13 +21,13 @@ def plain(docs, items, window):
         for item, itext in items:
             w = plain_words(itext)
             size = min(window, len(w))
-            if item is None or itext is None or not size:
+            if itext is None or not size:
                 continue
             for a in range(len(w) - size + 1):
                 for p in range(len(words) - size + 1):
                     if words[p:p + size] == w[a:a + size]:
                         hit.update(range(p, p + size))
-                        ids.add(item)
+                        ids |= {item} - {None}  # an item without an id marks words only
         out.append((i, len(words), len(hit), sorted(ids)))
     return sorted(out, key=str)
 
@@ -61,6 +61,6 @@ def test_clean_rows(spark, passes):
     item = " ".join(f"w{i}" for i in range(12))
     docs = [(1, "x " + item), (1, "other"), (2, "other"), (None, "q"), (3, None), (4, "y " + item.replace("w", "v"))]
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    b = spark.createDataFrame([(1, item), (2, item.replace("w", "v"))], "item_id long, text string")
+    b = spark.createDataFrame([(1, item), (None, item.replace("w", "v"))], "item_id long, text string")
     got = dec.clean_rows(d, b, item_bytes=passes)
     assert sorted(r.doc_id or 0 for r in got.collect()) == [0, 1, 2, 3] and got.columns == d.columns

@@ -113,7 +113,7 @@ def _searched(docs: DataFrame, items, window: int) -> DataFrame:
                     hits, ids = patterns.search(words)
                     counts.append(len(words))
                     spans.append([{"at": a, "words": n} for a, n in merged(hits)])
-                    found.append(sorted(ids))
+                    found.append(sorted(i for i in ids if i is not None))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(spans, _SPANS),
                      pa.array(found, pa.list_(pa.int64()))],
@@ -126,13 +126,13 @@ def _searched(docs: DataFrame, items, window: int) -> DataFrame:
 def _passes(items: DataFrame, item_col: str, text_col: str, item_bytes: int) -> Iterator:
     """The items, broadcast in passes of about ``item_bytes``: a name for the pass, and its (id, text) rows."""
     spark = items.sparkSession
-    texts = items.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(
+    texts = items.where(F.col(text_col).isNotNull()).select(
         F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = int(-(-2 * total // item_bytes)) if total > item_bytes else 1
     for k in range(passes):
         mine = texts if passes == 1 else texts.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
-        rows = sorted((r.item, r.text.encode()) for r in mine.toLocalIterator())
+        rows = sorted(((r.item, r.text.encode()) for r in mine.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         yield spark.sparkContext.broadcast((hashlib.sha256(repr(rows).encode()).hexdigest(), rows))
 
 
@@ -143,8 +143,8 @@ def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     Item texts are sent to the tasks in passes of at most ``item_bytes`` (one larger item has a pass alone);
     the documents are read once per pass and the passes' hits are merged. Null and empty texts have no words.
-    Items with a null id or text have no windows; rows that share an item id count as one item. Rows that
-    share a document id are searched and returned each for itself.
+    Items with a null text have no windows; an item with a null id marks words and is not among ``items``. Rows
+    that share an item id count as one item. Rows that share a document id are searched and returned each for itself.
     """
     read = docs.select(F.col(id_col).alias("_id"), F.xxhash64(utf8(text_col)).alias("_print"),
                        utf8(text_col).alias("_text"))
@@ -154,7 +154,7 @@ def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         if found is None:
             found = one
             continue
-        more = one.where(F.size("items") > 0).distinct().select(
+        more = one.where(F.size("spans") > 0).distinct().select(
             F.col("_id").alias("_id2"), F.col("_print").alias("_print2"), F.col("spans").alias("_spans2"),
             F.col("items").alias("_items2"))
         found = found.join(more, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_print") == F.col("_print2")),
@@ -221,7 +221,7 @@ WITH lowered AS (
 ), item_words AS (
   SELECT item_id, regexp_extract_all(translate(text,
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+  FROM benchmark WHERE text IS NOT NULL
 ), windows AS (
   SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[p0:p0 + least(10, len(w)) - 1], ' ') AS k
   FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p0 FROM item_words WHERE len(w) > 0)
@@ -236,7 +236,7 @@ WITH lowered AS (
   FROM (SELECT rid, unnest(range(p0, p0 + size)) AS pos FROM hits) GROUP BY rid
 ), named AS (
   SELECT rid, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
-  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS i FROM hits) GROUP BY rid
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS i FROM hits WHERE item_id IS NOT NULL) GROUP BY rid
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
