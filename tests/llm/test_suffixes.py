@@ -111,3 +111,13 @@ def test_rows_of_one_id(spark):
     spans = [suffixes.repeats(f, suffixes.opened(f, "doc_id", "text", [])).count() for f in (frame, many)]
     assert spans[0] == spans[1] > 0
     assert suffixes.dedupe(many).count() == len(rows) + 40
+
+
+def test_clashing_columns(spark):
+    """Columns named as the operator's own come back with their values."""
+    same = "the very same string of more than fifty bytes in two documents "
+    rows = [(1, same + "one", "k", 1, 2, True, 3), (2, same + "two", "l", 4, 5, False, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept string, _bytes long, _doc long, _without boolean, _own0 int")
+    got = suffixes.dedupe(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [rows[0], (2, "two", *rows[1][2:])]
