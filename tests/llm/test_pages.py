@@ -122,6 +122,23 @@ def test_runs_beside_articles(spark):
     assert _got(spark, rows) == want
 
 
+def test_runs_inside_articles(spark):
+    """A notice without a telling class in most articles of a host goes; a quoted paragraph and an article's versions stay."""
+    rng, rows, want = random.Random(8), [], {}
+    notice, quote, own, half = _line(rng, 9), _line(rng, 12), _line(rng, 40), _line(rng, 10)
+    for i in range(8):
+        body, more = _line(rng, 25), f"<p>{quote}</p>" if i < 3 else ""
+        rows.append((i, f"http://h.example/{i}", f"<article><p>{body}</p><div class='q7'>{notice}</div>{more}</article>"))
+        want[i] = f"{body} {quote}" if i < 3 else body
+        rows.append((20 + i, f"http://v.example/{i}", f"<article><p>{own}</p><p>{_line(rng, 3)} {i}</p></article>"))
+        want[20 + i] = f"{own} {rows[-1][2].split('<p>')[2].split('</p>')[0]}"
+        rows.append((40 + i, f"http://m.example/{i}", f"<div>{_line(rng, 9)}</div><article><p>{half} x</p><p>{own}</article>"))
+        want[40 + i] = f"{half} x {own}"  # one article on many pages counts once
+        rows.append((60 + i, f"http://s.example/{i}", f"<article><p>{body}</p><h2>Short heading</h2><p>{notice} {i}</article>"))
+        want[60 + i] = f"{body} Short heading {notice} {i}"
+    assert _got(spark, rows) == want
+
+
 BODY = "<h1>Head</h1><p>" + "the body of the page goes on and on " * 12 + "</p>"
 BODY_TEXT = "Head " + " ".join(["the body of the page goes on and on"] * 12)
 

@@ -5,7 +5,9 @@ one that is no mere card beside a longer main part; else main is; else all block
 footers, asides, forms, adverts, notices and comments hold. Of the blocks outside articles what the distinct pages
 of the host repeat goes, found from suffixes: the token streams of these blocks are cut into suffixes of ``RUN``
 tokens, equal suffixes are brought together in a shuffle by host, and those that start on enough distinct pages
-mark their tokens as covered. The unique runs stay.
+mark their tokens as covered. The unique runs stay. Inside an article that is the text the suffixes that start at
+blocks are taken, and a block goes whole where most of the host's articles repeat the suffix over all of it; what they
+repeat inside a block is a quotation and stays.
 
 A class or id names furniture by whole tokens, and not where the container is most of the page and no list of links.
 """
@@ -29,6 +31,8 @@ RUN = 6  # tokens a repeated string has at least
 # A run is boilerplate on a host if it stands on so many of its n distinct pages: PAGES at least, and the lesser of
 # SHARE * n and ROOT * sqrt(n).
 PAGES, SHARE, ROOT = 3, 0.25, 4.0
+# A block of RUN tokens or more is boilerplate inside articles if over that share of the host's distinct articles have it.
+ARTICLES, ARTICLE_SHARE = 4, 0.5
 _PIECE = 4 << 20
 
 # Raw elements go with their content, to the end of the page if they are not closed.
@@ -219,12 +223,19 @@ def unpacked(lines: str) -> list[tuple[str, int, bool]]:
 
 def unique_text(blocks: list[tuple[str, int, bool]], places: list[int], run: int = RUN) -> str:
     """The chosen blocks without furniture; outside articles without the tokens of repeated runs, of which ``places``
-    are the starts among the tokens outside articles, in page order."""
-    gone = {at + i for at in places for i in range(run)}
+    are the starts among the tokens outside articles, in page order. Places below zero are repeated blocks (``-1 - n``) of
+    the article; they go unless they are over half of it, as in an article that the host has in several versions."""
+    gone = {at + i for at in places if at >= 0 for i in range(run)}
     least, kept, at = chosen(blocks), [], 0
+    article = _article(blocks)
+    common = {-1 - at for at in places if at < 0}
+    if 2 * sum(article[n].count(" ") + 1 for n in common) > sum(text.count(" ") + 1 for text in article):
+        common = set()
+    if least == 2:
+        return " ".join(text for n, text in enumerate(article) if n not in common)
     for text, held, furniture in blocks:
         if held == 2:
-            kept += [] if furniture or held < least else [text]
+            kept += [] if furniture else [text]
             continue
         words = text.split()
         if held >= least and not furniture:
@@ -242,20 +253,27 @@ def _outside(blocks: list[tuple[str, int, bool]]) -> list[str]:
     return [w for text, held, _ in blocks if held != 2 for w in text.split()]
 
 
+def _article(blocks: list[tuple[str, int, bool]]) -> list[str]:
+    """The blocks of the articles of a page whose text they are, in page order."""
+    return [text for text, held, furniture in blocks if held == 2 and not furniture] if chosen(blocks) == 2 else []
+
+
 def _signed(string: bytes) -> int:
     return xxhash.xxh3_64_intdigest(string) - (1 << 63)
 
 
 def _suffixes(parsed: DataFrame, run: int) -> DataFrame:
-    """``page``, ``host``, ``copy``, ``at``, ``open``, ``name``: every suffix of the pages' outside tokens by the hash of its
-    first ``run`` tokens; pages with the same tokens have the same ``copy``. ``open`` runs hold a token that may be text.
-    A page's row without ``at`` says that it is there.
+    """``page``, ``host``, ``copy``, ``at``, ``open``, ``name``, ``inside``: every suffix of the pages' outside tokens by the
+    hash of its first ``run`` tokens; pages with the same tokens have the same ``copy``. ``open`` runs hold a token that
+    may be text. A page's row without ``at`` says that it is there. ``inside`` rows are the suffixes that start at blocks of
+    ``run`` tokens or more of an article, by the hash of the block, at ``-1 - n``; articles with the same text are a ``copy``,
+    and ``host`` is a number of its own.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         large = zstandard.ZstdDecompressor()
         for batch in batches:
             for part in pieces(batch, 2, _PIECE):
-                page, of, copy, at, free, name = [], [], [], [], [], []
+                page, of, copy, at, free, name, inside = [], [], [], [], [], [], []
                 for key, url, data in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     blocks, host = unpacked(large.decompress(data).decode()), _host(url)
                     tokens, least = _outside(blocks), chosen(blocks)
@@ -267,13 +285,24 @@ def _suffixes(parsed: DataFrame, run: int) -> DataFrame:
                     seen = np.cumsum([0, *(held >= least and not f for t, held, f in blocks if held != 2 for _ in t.split())])
                     free += [False, *(seen[run:] > seen[:-run]).tolist()] if n else [False]
                     name += [None, *(_signed("\0".join(tokens[i:i + run]).encode()) for i in range(n))]
+                    inside += [False] * (n + 1)
+                    article = _article(blocks)
+                    if article:
+                        long = [i for i, t in enumerate(article) if t.count(" ") + 1 >= run]
+                        page += [key] * (len(long) + 1)
+                        of += [_signed(f"{host}\0article".encode())] * (len(long) + 1)
+                        copy += [_signed("\0".join((host, *article)).encode())] * (len(long) + 1)
+                        at += [None, *(-1 - i for i in long)]
+                        free += [False, *[True] * len(long)]
+                        name += [None, *(_signed(article[i].encode()) for i in long)]
+                        inside += [True] * (len(long) + 1)
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(c, pa.int64()) for c in (page, of, copy)), pa.array(at, pa.int32()),
-                     pa.array(free, pa.bool_()), pa.array(name, pa.int64())],
-                    names=["page", "host", "copy", "at", "open", "name"])
+                     pa.array(free, pa.bool_()), pa.array(name, pa.int64()), pa.array(inside, pa.bool_())],
+                    names=["page", "host", "copy", "at", "open", "name", "inside"])
 
     return parsed.select("_page", "_url", "_zip").mapInArrow(
-        cut, "page long, host long, copy long, at int, open boolean, name long")
+        cut, "page long, host long, copy long, at int, open boolean, name long, inside boolean")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -308,14 +337,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     parsed = stored(read.mapInArrow(parse, f"_id {kinds[id_col]}, _url {kinds[url_col]}, _zip binary, _page long"))
     suffixes = stored(_suffixes(parsed, run))
-    hosts = suffixes.where("at IS NULL").groupBy(F.col("host").alias("_host")).agg(F.count_distinct("copy").alias("_all"))
-    enough = F.least(F.col("_all") * SHARE, F.sqrt("_all") * ROOT)
+    # Written, so that their sizes are known when others are joined: what is small makes no shuffle.
+    hosts = stored(suffixes.where("at IS NULL").groupBy(F.col("host").alias("_host")).agg(
+        F.count_distinct("copy").alias("_all"), F.first("inside").alias("_inside")))
+    outside = (F.col("_n") >= PAGES) & (F.col("_n") >= F.least(F.col("_all") * SHARE, F.sqrt("_all") * ROOT))
+    inside = (F.col("_n") >= ARTICLES) & (F.col("_n") > F.col("_all") * ARTICLE_SHARE)
     repeated = (suffixes.where("at IS NOT NULL").groupBy(F.col("name").alias("_name"), F.col("host").alias("_of"))
-                .agg(F.count_distinct("copy").alias("_n")).where(F.col("_n") >= PAGES)
-                .join(hosts, F.col("_of") == F.col("_host")).where(F.col("_n") >= enough).select("_name", "_of"))
-    # Written, so that its size is known when the pages are joined: small, they are not shuffled for it.
+                .agg(F.count_distinct("copy").alias("_n")).where(F.col("_n") >= min(PAGES, ARTICLES))
+                .join(hosts, F.col("_of") == F.col("_host")).where(F.when(F.col("_inside"), inside).otherwise(outside))
+                .select("_name", "_of"))
     places = stored(suffixes.where("open").join(repeated, (F.col("name") == F.col("_name")) & (F.col("host") == F.col("_of")))
-              .groupBy(F.col("page").alias("_p")).agg(F.collect_set("at").alias("_places")))
+                    .groupBy(F.col("page").alias("_p")).agg(F.collect_set("at").alias("_places")))
     done = (parsed.join(places, F.col("_page") == F.col("_p"), "left").select("_id", "_url", "_zip", "_places")
             .mapInArrow(by_runs, schema))
     return done.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text")
