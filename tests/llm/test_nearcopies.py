@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 
 from winledger.llm import nearcopies as nc
 
@@ -62,3 +63,46 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _n1 int, _n2 int, _nth int, _own0 string")
     got = nc.representatives(docs)
     assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
+
+
+def _prints(rng, n):
+    return rng.integers(0, 1 << 63, (n, len(nc.PRINT)), np.uint64) * np.uint64(2) + rng.integers(0, 2, (n, len(nc.PRINT)), np.uint64)
+
+
+def test_prints():
+    """Prints of sets alike at 0.8 are close, and share a block; those of other sets are not close."""
+    rng, far, missed = np.random.default_rng(7), 0, 0
+    places = nc.blocks(100_000)
+    for n in (20, 60, 300, 5000):
+        for _ in range(50):
+            both = rng.integers(0, 1 << 63, n, np.uint64)
+            own = [rng.integers(0, 1 << 63, n // 8, np.uint64) for _ in range(2)]
+            x, y = (nc.long_print(np.concatenate((both, o))) for o in own)
+            other = nc.long_print(rng.integers(0, 1 << 63, n, np.uint64))
+            far += np.bitwise_count(x ^ y).sum(dtype=int) > nc.MOST
+            missed += not (nc.block_keys(x[None], places) == nc.block_keys(y[None], places)).any()
+            assert np.bitwise_count(x ^ other).sum(dtype=int) > nc.MOST
+    assert far == 0 and missed <= 1
+
+
+def test_candidates_against_all_pairs(spark, monkeypatch):
+    """Groups by blocks, with and without crowds and tiles, against every pair of prints."""
+    rng = np.random.default_rng(3)
+    prints = _prints(rng, 60)
+    flips = lambda p, n: p ^ np.packbits(
+        np.isin(np.arange(nc.BITS), rng.choice(nc.BITS, n, replace=False)), bitorder="little").view("<u8")
+    prints = np.array([*prints, *(flips(prints[0], rng.integers(1, 30)) for _ in range(150)),
+                       *(flips(prints[i], 40) for i in range(1, 20))])
+    root = list(range(len(prints)))
+    for i, p in enumerate(prints):
+        for j in np.nonzero(np.bitwise_count(prints[:i] ^ p).sum(axis=1, dtype=int) <= nc.MOST)[0]:
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    frame = spark.createDataFrame([(i, *map(int, p.view(np.int64))) for i, p in enumerate(prints)],
+                                  "node long, " + ", ".join(f"{p} long" for p in nc.PRINT))
+    want = {i: r for i, r in enumerate(root) if root.count(r) > 1}
+    assert len(want) == 151 + 2 * 19
+    for crowd, tile in ((4096, 1024), (20, 16)):
+        monkeypatch.setattr(nc, "CROWD", crowd)
+        monkeypatch.setattr(nc, "TILE", tile)
+        assert {r.node: r.root for r in nc.components(nc.candidates(frame), "a", "b").collect()} == want

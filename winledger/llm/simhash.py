@@ -108,7 +108,11 @@ def _forest(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.nda
         keep = x != y
         left.append(x[keep])
         right.append(y[keep])
-    x, y = np.concatenate(left), np.concatenate(right)
+    return spanning(nodes, np.concatenate(left), np.concatenate(right))
+
+
+def spanning(nodes: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join ``nodes`` into the same components as the pairs of places ``x`` and ``y`` do."""
     label = np.arange(len(nodes))
     while len(x):
         least = np.minimum(label[x], label[y])
