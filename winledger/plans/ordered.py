@@ -13,6 +13,7 @@ The input is written to the checkpoint folder once, as several parts of the plan
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from winledger.session import ensure_checkpoint_dir
 
-SLICE_ROWS = 1_000_000
-"""Rows of a slice on average (``spark.winledger.sliceRows``)."""
+SLICE_ROWS = 200_000
+"""Rows of a slice on average (``spark.winledger.sliceRows``). A task sorts and buffers whole slices, and the largest of
+many is several times the average."""
 _BLOCK = 64  # cut points looked through at a time
 
 SLICE = "_slice"
@@ -35,6 +37,14 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared checkpoint folder, for parts of a plan that read some columns again."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keys that have cut points, with ``_cuts``: the points in order, in blocks."""
     every = int(df.sparkSession.conf.get("spark.winledger.sliceRows", str(SLICE_ROWS)))
