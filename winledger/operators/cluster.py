@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winledger.functions.text import squeeze
+from winledger.operators.tasks import TASK
 from winledger.plans.graph import components
 from winledger.plans.ordered import held, ranked
 
@@ -39,8 +40,13 @@ def tool_signature(names: Column) -> Column:
 
 
 def needed() -> dict[str, Column]:
-    """The columns of an attempt that ``task_features`` reads."""
-    return {c: F.col(c) for c in ("input_shape", "tool_calls", "output_shape")}
+    """The fields of an attempt that ``task_features`` reads, under their names."""
+    output = [F.col(f"output_shape.{c}") for c in ("type", "json_valid", "has_code_block", "n_chars")]
+    return {
+        "input_shape": F.struct(F.col("input_shape.system_prompt_fingerprint")),
+        "tool_calls": F.transform("tool_calls", lambda c: F.struct(c["name"].alias("name"))),
+        "output_shape": F.struct(*output),
+    }
 
 
 def task_features(representatives: DataFrame) -> DataFrame:
@@ -360,7 +366,7 @@ def merge_clusters(
 def rank_clusters(assignments: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(clusters, assignments) with ids c01, c02, ... by falling cost; ties by label."""
     costed = assignments.select("tenant_id", "task_id", "label").join(
-        tasks.select("tenant_id", "task_id", "total_cost_usd"), ["tenant_id", "task_id"]
+        tasks.select("tenant_id", "task_id", "total_cost_usd"), TASK
     )
     sums = costed.groupBy("label").agg(
         F.count(F.lit(1)).alias("n_tasks"), F.sum("total_cost_usd").alias("total_cost_usd")
