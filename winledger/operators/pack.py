@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winledger.functions.jsontext import json_field_types
-from winledger.operators.tasks import at, last_passing
+from winledger.operators.tasks import TASK, at, last_passing
 from winledger.plans.ordered import scan
 
 OUTPUT_TYPES = ("json", "text", "code", "mixed")
@@ -29,8 +29,8 @@ def winners(
         "tenant_id", "task_id", "cluster_id", "total_cost_usd"
     )
     return last_passing(task_attempts, columns, measured_only=measured_only).join(
-        info, ["tenant_id", "task_id"]
-    )
+        info, TASK
+    ).select("tenant_id", "task_id", *columns, "cluster_id", "total_cost_usd")
 
 
 def nearest_rank_percentiles(
@@ -278,11 +278,10 @@ def golden_set(
     # Seat s is picked when int(i * size / quota) hits it for some i below the quota; only the
     # neighbours of s * quota / size can.
     placed = placed.withColumn("_step", F.col("_in") / F.nullif(F.col("_quota"), F.lit(0)))
-    near = F.expr(
-        "exists(array(-1, 0, 1, 2), d -> floor((_seat - 1) / _step) + d >= 0 "
-        "and floor((_seat - 1) / _step) + d < _quota "
-        "and floor((floor((_seat - 1) / _step) + d) * _step) = _seat - 1)"
-    )
+    near = F.lit(False)
+    for d in (-1, 0, 1, 2):
+        i = F.floor((F.col("_seat") - 1) / F.col("_step")) + d
+        near = near | ((i >= 0) & (i < F.col("_quota")) & (F.floor(i * F.col("_step")) == F.col("_seat") - 1))
     keep = (
         (F.col("_m") <= F.col("_target"))
         | (F.col("_quota") >= F.col("_in"))

@@ -7,18 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from winledger.operators import waste
 from winledger.operators.metrics import axis_norms, core_metrics, norm_score
-from winledger.operators.waste import waste_total
+from winledger.plans.ordered import stored
 from winledger.schema import MONEY_SUM
 
 UNKNOWN_WARNING = 0.30
 MAX_QUALITY_DROP_POINTS = 2.0
 
 
+def _table(tasks: DataFrame, *scope: str) -> DataFrame:
+    """What the reports read of the tasks, written once, as several parts of a report read it."""
+    wanted = (*scope, *waste.READ, "finishing_model", "total_wall_ms", "total_tokens")
+    return stored(tasks.select(*dict.fromkeys(wanted)))
+
+
 def model_reports(
     tasks: DataFrame, task_attempts: DataFrame, prices: DataFrame, *, period: Sequence[str] = ()
 ) -> DataFrame:
     """Metrics, waste, spend and token sums by finishing model (and period)."""
+    return _model_reports(_table(tasks, *period), task_attempts, prices, period)
+
+
+def _model_reports(
+    tasks: DataFrame, task_attempts: DataFrame, prices: DataFrame, period: Sequence[str]
+) -> DataFrame:
     by = [*period, "model_id"]
     named = tasks.withColumn("model_id", F.col("finishing_model"))
     metrics = core_metrics(named, by=by)
@@ -29,15 +42,15 @@ def model_reports(
         F.sum("total_tokens.reasoning").alias("tokens_reasoning"),
     )
     scoped = tasks.withColumn("_finisher", F.col("finishing_model"))
-    waste = waste_total(
+    wasted = waste.waste_of(
         scoped, task_attempts, prices, scope=[*period, "_finisher"]
     ).withColumnRenamed("_finisher", "model_id")
-    return metrics.join(sums, by).join(waste, by, "left")
+    return metrics.join(sums, by).join(wasted, by, "left")
 
 
 def leaderboard(tasks: DataFrame, task_attempts: DataFrame, prices: DataFrame) -> DataFrame:
     """One ranked row per model; scores are scaled across the whole workload."""
-    rows = model_reports(tasks, task_attempts, prices)
+    rows = stored(model_reports(tasks, task_attempts, prices))  # one row per model
     scores = axis_norms(rows.withColumn("_all", F.lit(1)), cluster="_all").select(
         "model_id", norm_score().alias("score")
     )
@@ -56,13 +69,14 @@ def leaderboard(tasks: DataFrame, task_attempts: DataFrame, prices: DataFrame) -
 
 def report_totals(tasks: DataFrame, task_attempts: DataFrame, prices: DataFrame) -> DataFrame:
     """The report's one-row summary with its unknown-rate warning."""
+    tasks = _table(tasks)
     metrics = core_metrics(tasks)
     spend = tasks.agg(F.sum("total_cost_usd").cast(MONEY_SUM).alias("spend_usd"))
-    waste = waste_total(tasks, task_attempts, prices)
+    wasted = waste.waste_of(tasks, task_attempts, prices)
     one = F.lit(1).alias("_one")
     joined = (
         metrics.select("*", one).join(spend.select("*", one), "_one")
-        .join(waste.select("*", one), "_one", "left").drop("_one")
+        .join(wasted.select("*", one), "_one", "left").drop("_one")
     )
     total = F.nullif(F.col("spend_usd").cast("double"), F.lit(0.0))
     return joined.withColumn(
@@ -76,19 +90,19 @@ def receipt(
     tasks: DataFrame, task_attempts: DataFrame, prices: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """(monthly totals, monthly rows per model), a task counted in the month it started."""
-    dated = tasks.withColumn("period", F.date_format("ts_start", "yyyy-MM"))
+    dated = _table(tasks.withColumn("period", F.date_format("ts_start", "yyyy-MM")), "period")
     metrics = core_metrics(dated, by=["period"])
     spend = dated.groupBy("period").agg(
         F.sum("total_cost_usd").cast(MONEY_SUM).alias("spend_usd")
     )
-    waste = waste_total(dated, task_attempts, prices, scope=["period"])
+    wasted = waste.waste_of(dated, task_attempts, prices, scope=["period"])
     total = F.nullif(F.col("spend_usd").cast("double"), F.lit(0.0))
     months = (
-        metrics.join(spend, "period").join(waste, "period", "left")
+        metrics.join(spend, "period").join(wasted, "period", "left")
         .withColumn("delivered", F.col("cpat_usd.n_successes"))
         .withColumn("waste_share", F.col("total_usd").cast("double") / total)
     )
-    return months, model_reports(dated, task_attempts, prices, period=["period"])
+    return months, _model_reports(dated, task_attempts, prices, ["period"])
 
 
 def recommend_routing(rows: DataFrame, *, period: Sequence[str] = ()) -> DataFrame:

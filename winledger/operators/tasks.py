@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winledger.plans.ordered import Ordered, scan
@@ -13,6 +13,8 @@ from winledger.schema import STATUS, TEMPLATE, grade_rank
 GAP_SECONDS = 120
 MIN_OVERLAP = 0.8
 
+TASK = ["task_id", "tenant_id"]
+"""The id first: rows are sorted by the first bytes of the first key, and a tenant has many tasks."""
 SESSION = ["tenant_id", "session_id"]
 IN_TIME = ["ts_start", "trace_id"]
 """Attempts are ordered by start, then by id."""
@@ -78,13 +80,15 @@ def assemble_tasks(
 
 
 def tasks_from(task_attempts: DataFrame) -> DataFrame:
-    """One row per task from attempts that already carry their ``task_id``."""
+    """One row per task from attempts that already carry their ``task_id``.
+
+    The models of a task are listed by a window over one row for each of them: its sort is the only one of the
+    second step."""
     status = F.col(STATUS)
     failed = status == "fail"
-    per_model = task_attempts.groupBy("tenant_id", "task_id", "model_id").agg(
-        F.min(at()).alias("first_at"),
+    per_model = task_attempts.groupBy(*TASK, "model_id").agg(
+        F.min(F.struct("ts_start", "trace_id", status.alias("status"))).alias("first_at"),
         F.max(F.col("ts_end")).alias("last_end"),
-        F.min_by(status, at()).alias("first_status"),
         F.count(F.lit(1)).alias("attempts"),
         F.max(status == "pass").alias("succeeded"),
         F.sum("cost_usd").alias("cost"),
@@ -98,16 +102,16 @@ def tasks_from(task_attempts: DataFrame) -> DataFrame:
         F.sum(F.when(failed, F.col("cost_usd"))).alias("failed_cost"),
     )
     # At most one entry per model of the task, so this list stays short.
-    models = F.transform(
-        F.array_sort(F.collect_list(F.struct("first_at", "model_id"))), lambda m: m["model_id"]
-    )
+    by_start = Window.partitionBy(*TASK).orderBy("first_at.ts_start", "first_at.trace_id", "model_id")
+    listed = F.collect_list(F.struct("model_id")).over(
+        by_start.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     grades = F.array(F.lit("measured"), F.lit("derived"), F.lit("declared"))
     return (
-        per_model.groupBy("tenant_id", "task_id")
+        per_model.withColumn("_models", F.transform(listed, lambda m: m["model_id"]))
+        .groupBy(*TASK)
         .agg(
             F.sum("attempts").alias("attempts"),
             F.max("succeeded").alias("succeeded"),
-            (F.min_by("first_status", "first_at") == "pass").alias("first_attempt_success"),
             F.sum("cost").cast("decimal(38,9)").alias("total_cost_usd"),
             F.sum("wall").alias("total_wall_ms"),
             F.struct(
@@ -115,7 +119,7 @@ def tasks_from(task_attempts: DataFrame) -> DataFrame:
                 F.sum("tok_out").alias("output"),
                 F.sum("tok_think").alias("reasoning"),
             ).alias("total_tokens"),
-            models.alias("models_used"),
+            F.first("_models").alias("models_used"),
             F.min("grade").alias("_grade"),
             F.sum("failed_attempts").alias("failed_attempts"),
             F.coalesce(F.sum("failed_cost"), F.lit(0)).cast("decimal(38,9)")
@@ -127,7 +131,12 @@ def tasks_from(task_attempts: DataFrame) -> DataFrame:
         .withColumn("ts_start", F.col("_first.ts_start"))
         .withColumn("first_trace_id", F.col("_first.trace_id"))
         .withColumn("finishing_model", F.element_at("models_used", -1))
-        .drop("_grade", "_first")
+        .select(
+            "tenant_id", "task_id", "attempts", "succeeded",
+            (F.col("_first.status") == "pass").alias("first_attempt_success"), "total_cost_usd", "total_wall_ms",
+            "total_tokens", "models_used", "failed_attempts", "failed_cost_usd", "ts_end", "verification_grade",
+            "ts_start", "first_trace_id", "finishing_model",
+        )
     )
 
 
@@ -175,7 +184,7 @@ def representative(task_attempts: DataFrame, columns: Mapping[str, Column] | Non
         F.col("ts_start"), F.col("trace_id"),
     )
     return (
-        task_attempts.groupBy("tenant_id", "task_id")
+        task_attempts.groupBy(*TASK)
         .agg(F.max_by(_kept(task_attempts, columns), rank).alias("_rep"))
         .select("tenant_id", "task_id", "_rep.*")
     )
@@ -190,7 +199,7 @@ def last_passing(
         ok = ok & (F.col("verification.evidence_grade") == "measured")
     return (
         task_attempts.filter(ok)
-        .groupBy("tenant_id", "task_id")
+        .groupBy(*TASK)
         .agg(F.max_by(_kept(task_attempts, columns), at()).alias("_rep"))
         .select("tenant_id", "task_id", "_rep.*")
     )
@@ -198,6 +207,7 @@ def last_passing(
 
 def attach_clusters(tasks: DataFrame, assignments: DataFrame) -> DataFrame:
     """Tasks with ``cluster_id`` filled from (tenant_id, task_id, cluster_id)."""
+    rest = [c for c in tasks.columns if c not in ("tenant_id", "task_id", "cluster_id")]
     return tasks.drop("cluster_id").join(
-        assignments.select("tenant_id", "task_id", "cluster_id"), ["tenant_id", "task_id"], "left"
-    )
+        assignments.select("tenant_id", "task_id", "cluster_id"), TASK, "left"
+    ).select("tenant_id", "task_id", *rest, "cluster_id")

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from winledger.operators.tasks import TASK
+from winledger.plans.ordered import stored
 from winledger.schema import MONEY_SUM, STATUS, TEMPLATE
 
 PER_TOKEN = "decimal(18,12)"
@@ -59,9 +61,9 @@ def _derived(
         F.col("tokens.reasoning").alias("reasoning"),
         (F.col("tokens.input") - F.col("tokens.input_cached")).alias("uncached"),
         (F.col(STATUS) == "pass").alias("passed"),
-    ).join(_verified(tasks).select("tenant_id", "task_id", *scope), ["tenant_id", "task_id"])
+    ).join(_verified(tasks).select("tenant_id", "task_id", *scope), TASK)
     spare = F.greatest(F.col("uncached"), F.lit(0))
-    groups = rows.groupBy(*scope, "template", "model_id", "reasoning").agg(
+    groups = rows.groupBy("reasoning", "template", "model_id", *scope).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("passed").alias("n_pass"),
         F.count_if(F.col("uncached") > 0).alias("n_spare"),
@@ -139,7 +141,22 @@ def waste_total(
     """All four parts, their total, and the distinct attempts that had no price.
 
     The parts may overlap. Baselines and first occurrences are those of the scope, so per-model
-    figures need not add up to the overall ones."""
+    figures need not add up to the overall ones. Verified tasks are written once, as both halves read them."""
+    wanted = [*scope, *READ]
+    return waste_of(stored(_verified(tasks).select(*dict.fromkeys(wanted))), task_attempts, prices, scope=scope)
+
+
+READ = (
+    "tenant_id", "task_id", "succeeded", "verification_grade", "failed_cost_usd", "failed_attempts", "total_cost_usd",
+    "attempts",
+)
+"""What waste reads of a task."""
+
+
+def waste_of(
+    tasks: DataFrame, task_attempts: DataFrame, prices: DataFrame, *, scope: Sequence[str] = ()
+) -> DataFrame:
+    """``waste_total`` of tasks that are a table already."""
     won, lost = F.col("succeeded"), ~F.col("succeeded")
 
     def money(when, col):
