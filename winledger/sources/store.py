@@ -1,8 +1,9 @@
 """Stored traces by day of start, with an index of their ids, and upserts that rewrite touched days only.
 
 The index is a table of Bloom filters beside the data (``_ids``, which readers pass over): a row holds the ids of one
-day and one of ``SEGMENTS`` parts of the ids, ``CHUNK`` ids at most. An upsert tests its ids against the filters,
-rewrites the days in which any may stand, and appends to the others, whose files stay as they are. Filters are
+day and one of ``SEGMENTS`` parts of the ids, ``CHUNK`` ids at most. An upsert tests its ids against the filters, reads
+the ids of the days in which any may stand, rewrites those in which one does, and appends to the others, whose files
+stay as they are. Filters are
 written before the rows they speak of, so a row is never missed when an upsert is cut short; doing it again mends
 the table.
 """
@@ -145,15 +146,26 @@ def touched_days(new: DataFrame, index: DataFrame) -> list:
     return [r["date"] for r in found.distinct().collect()]
 
 
+def days_holding(new: DataFrame, path: str, days: list) -> list:
+    """Those of the ``days`` in which one of the new ids stands. Of many ids some are in a filter by mistake, and a day is
+    rewritten whole, so the ids of these days are read first, and nothing else of their rows."""
+    if not days:
+        return []
+    old = new.sparkSession.read.schema(new.schema).parquet(path).where(F.col("date").isin(days)).select("date", *KEY)
+    asked = new.select(*[F.col(k).alias(f"_{k}") for k in KEY])
+    found = old.join(asked, [F.col(k) == F.col(f"_{k}") for k in KEY], "left_semi")
+    return [r["date"] for r in found.select("date").distinct().collect()]
+
+
 def upsert_traces(new: DataFrame, path: str, *, seq: str | None = None) -> list:
     """Insert or replace by (tenant_id, trace_id) in the stored table; the days that were rewritten.
 
     Among the new rows the one with the largest ``seq`` wins (see ``latest``). A trace whose day of start changes
-    leaves its old day. Days in which no new id may stand only get more files; empty input changes nothing."""
+    leaves its old day. Days in which no new id stands only get more files; empty input changes nothing."""
     spark = new.sparkSession
     won = held(_dated(latest(new, seq)))
     index = _stored(spark, f"{path}/{INDEX}")
-    days = touched_days(won, index) if index is not None else []
+    days = days_holding(won, path, touched_days(won, index)) if index is not None else []
     _write(_index(won), f"{path}/{INDEX}")
     if not days:
         _write(won, path)
