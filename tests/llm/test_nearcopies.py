@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 
 from winledger.llm import nearcopies as nc
 
@@ -106,3 +107,22 @@ def test_candidates_against_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(nc, "CROWD", crowd)
         monkeypatch.setattr(nc, "TILE", tile)
         assert {r.node: r.root for r in nc.components(nc.candidates(frame), "a", "b").collect()} == want
+
+
+def test_marked_texts(spark):
+    """Wanted texts pass with all their copies, and few others; with many wanted for the bits, more pass, none is lost."""
+    rows = spark.range(20_000).selectExpr("xxhash64(id) AS _h", "cast(id AS string) AS _text")
+    wanted = rows.where("cast(_text AS long) % 40 = 0").select(F.col("_text").cast("long").alias("node"), F.col("_h").alias("_hash"))
+    got = {r["_text"] for r in nc._marked(rows.unionByName(rows), wanted).collect()}
+    assert {str(i) for i in range(0, 20_000, 40)} <= got and len(got) < 2500
+    assert nc._marked(rows.unionByName(rows), wanted).join(wanted, F.col("_h") == F.col("_hash")).count() == 1000
+    assert nc._marked(rows, wanted.limit(0)).count() == 0
+
+
+def test_prints_are_shuffled_once(spark):
+    """Without a block of over ``CROWD`` nodes the prints are neither joined with counts nor copied for tiles."""
+    rng = np.random.default_rng(1)
+    frame = spark.createDataFrame([(i, *map(int, p.view(np.int64))) for i, p in enumerate(_prints(rng, 50))],
+                                  "node long, " + ", ".join(f"{p} long" for p in nc.PRINT))
+    plan = nc.candidates(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate") == 1

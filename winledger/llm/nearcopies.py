@@ -38,6 +38,7 @@ TILE = 1024  # nodes that one task compares with as many others
 TILE_HASHES = 1 << 20  # shingles of a tile, about
 _MEETINGS = 1 << 22  # places of equal shingles looked at together
 _WIDTH = 5  # bytes of a shingle's hash that are kept where sets are compared
+MARKS = 1 << 25  # bits by which texts that are not wanted are passed over
 _FILED = 2048  # prints that are cut into blocks at a time
 _SHIFTS = np.random.default_rng(42).integers(0, 1 << 63, len(PRINT), np.uint64)
 
@@ -200,17 +201,17 @@ def _filed(nodes: DataFrame, places: np.ndarray) -> DataFrame:
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """``a``, ``b``: links whose components are those of all ``node`` s that share a block and are close by their prints."""
+    """``a``, ``b``: links whose components are those of all ``node`` s that share a block and are close by their prints.
+
+    The prints are shuffled once, by block; only the few blocks of over ``CROWD`` nodes are counted and cut into tiles for
+    several tasks."""
     filed = _filed(nodes, blocks(nodes.count()))
-    counts = stored(filed.groupBy(F.col("main").alias("_m")).agg(F.count("*").alias("_n"), F.min("node").alias("_first"))
-                    .where("_n > 1"))
-    size = lambda n: F.ceil(F.col(n) / TILE).cast("int")
-    plain = filed.join(counts.where(F.col("_n") <= CROWD).select("_m", size("_n").alias("outer_tiles")),
-                       F.col("main") == F.col("_m")).select(
-        "main", "node", *PRINT, F.lit(False).alias("inner"), F.lit(0).alias("inner_tiles"), "outer_tiles")
-    large = counts.where(F.col("_n") > CROWD)
+    large = stored(filed.groupBy(F.col("main").alias("_m")).agg(F.count("*").alias("_n"), F.min("node").alias("_first"))
+                   .where(F.col("_n") > CROWD))
     if large.isEmpty():
-        return _close(plain)
+        return _close_blocks(filed)
+    plain = filed.join(large, F.col("main") == F.col("_m"), "left_anti")
+    size = lambda n: F.ceil(F.col(n) / TILE).cast("int")
     firsts = large.join(nodes, F.col("_first") == F.col("node")).select("_m", "_first", *(F.col(p).alias(f"_{p}") for p in PRINT))
     differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"_{p}"))) for p in PRINT), F.lit(0))
     crowds = stored(filed.join(firsts, F.col("main") == F.col("_m")).select(
@@ -220,7 +221,26 @@ def candidates(nodes: DataFrame) -> DataFrame:
     tiled = crowds.join(sizes, F.col("main") == F.col("_m")).select(
         "main", "node", *PRINT, "inner", size("_in").alias("inner_tiles"), size("_out").alias("outer_tiles"))
     stars = crowds.where("inner AND node != _first").select(F.col("node").alias("a"), F.col("_first").alias("b")).distinct()
-    return _close(plain).unionByName(_close(tiled)).unionByName(stars)
+    return _close_blocks(plain).unionByName(_close(tiled)).unionByName(stars)
+
+
+def _close_blocks(filed: DataFrame) -> DataFrame:
+    """``a``, ``b``: links with the components of all close pairs of each block of ``CROWD`` nodes at most, tile by tile."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, 1):
+            if run.num_rows < 2:
+                continue
+            nodes = run.column(1).to_numpy()
+            prints = np.stack([run.column(2 + i).to_numpy() for i in range(len(PRINT))], axis=1).view(np.uint64)
+            tiles = [slice(at, at + TILE) for at in range(0, len(nodes), TILE)]
+            for i, one in enumerate(tiles):
+                for two in tiles[i:]:
+                    a, b = close_forest(nodes[one], prints[one], nodes[two], prints[two])
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return (filed.repartition(shuffle_parts(filed.sparkSession), "main").sortWithinPartitions("main")
+            .mapInArrow(released(compare), "a long, b long").distinct())
 
 
 def _close(rows: DataFrame) -> DataFrame:
@@ -250,8 +270,21 @@ def _sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
                                               pa.binary())], names=["node", "shingles"])
 
     texts = docs.select(F.xxhash64(utf8(text_col)).alias("_h"), utf8(text_col).alias("_text"))
-    return (texts.join(wanted, F.col("_h") == F.col("_hash")).groupBy("node").agg(F.first("_text").alias("_text"))
-            .mapInArrow(released(scan), "node long, shingles binary"))
+    return (_marked(texts, wanted).join(wanted, F.col("_h") == F.col("_hash")).groupBy("node")
+            .agg(F.first("_text").alias("_text")).mapInArrow(released(scan), "node long, shingles binary"))
+
+
+def _marked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose ``_h`` falls on a mark of the ``_hash`` es in ``wanted``, and few others, so that the
+    join that follows does not shuffle every text. The marks are a bitmap of ``MARKS`` bits at most, which is broadcast."""
+    size = min(MARKS, 1 << (16 * wanted.count()).bit_length())
+    place = lambda c: F.pmod(F.col(c), F.lit(size)) + 1
+    marks = wanted.groupBy(F.bitmap_bucket_number(place("_hash")).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place("_hash"))).alias("_bits"))
+    held = texts.withColumn("_bit", F.bitmap_bit_position(place("_h")))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 + 1 as int), 1)")), 16, 10).cast("long")
+    return (held.join(F.broadcast(marks), F.bitmap_bucket_number(place("_h")) == F.col("_bucket"))
+            .where(F.getbit(byte, F.pmod("_bit", F.lit(8)).cast("int")) == 1).select(*texts.columns))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
