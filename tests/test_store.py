@@ -91,14 +91,20 @@ def test_upsert_touches_few_days(spark, tmp_path):
 def test_upsert_reads_ids_before_it_rewrites(spark, tmp_path, monkeypatch):
     """A day that only the filters name, by mistake, keeps its files; one that holds an id is rewritten."""
     path = str(tmp_path / "table")
-    store.write_traces(traces(spark, tmp_path, "a", [line(i, 1 + i % 3, trace_id=uid(i)) for i in range(30)]), path)
+    some = traces(spark, tmp_path, "a", [line(1, trace_id=uid(1))])
+    row = some.first().asDict()
+
+    def rows(*places):
+        return spark.createDataFrame([{**row, "trace_id": uid(i), "ts_start": dt.datetime(2026, 1, d, 12)} for i, d in places], some.schema)
+
+    store.write_traces(rows(*((i, 1 + i % 3) for i in range(30))), path)
     before = {d: files(path, d) for d in (1, 2, 3)}
     days = [dt.date(2026, 1, d) for d in (1, 2, 3)]
     monkeypatch.setattr(store, "touched_days", lambda new, index: days)
-    assert store.upsert_traces(traces(spark, tmp_path, "b", [line(50, 1, trace_id=uid(50))]), path) == []
+    assert store.upsert_traces(rows((50, 1)), path) == []
     assert set(before[1]) < set(files(path, 1)) and all(files(path, d) == before[d] for d in (2, 3))
-    new = [line(1, 3, trace_id=uid(1)), line(60, 3, trace_id=uid(60))]  # the first moves from the second day
-    assert store.upsert_traces(traces(spark, tmp_path, "c", new), path) == [dt.date(2026, 1, 2)]
+    moved = rows((1, 3), (60, 3))  # the first moves from the second day
+    assert store.upsert_traces(moved, path) == [dt.date(2026, 1, 2)]
     assert set(before[3]) < set(files(path, 3)) and not set(before[2]) & set(files(path, 2))
     assert sorted(r["trace_id"] for r in store.read_traces(spark, path).select("trace_id").collect()) == sorted(
         map(uid, [*range(30), 50, 60]))
